@@ -14,7 +14,8 @@ from functools import lru_cache
 from itertools import chain, groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import col
 
@@ -161,10 +162,10 @@ def decode_ids(ids: list[int] | None, path: str) -> str | None:
     return b"".join(_token_bytes(t.id_to_token(i), inverse) for i in ids).decode("utf-8", "replace")
 
 
-def _mapped(df: DataFrame, key: list[str], text: str, schema: str, columns) -> DataFrame:
-    """Key columns and what `columns` makes of each batch's texts. Only these columns reach Python."""
-    fields = df.select(*(col(k) for k in key)).schema
-    spelled = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields] + [schema])
+def _mapped(df: DataFrame, key: list[str], value: Column, schema: str, columns) -> DataFrame:
+    """Key columns and what `columns` makes of each batch's values. Only these columns reach Python, under names without dots."""
+    picked = df.select(*(col(k).alias(f"__k{i}") for i, k in enumerate(key)), value.alias("__value"))
+    spelled = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in picked.schema[:-1]] + [schema])
     n = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,8 @@ def _mapped(df: DataFrame, key: list[str], text: str, schema: str, columns) -> D
             names = [*batch.schema.names[:n], *(name for name, _ in made)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(a for _, a in made)], names=names)
 
-    return df.select(*(col(k) for k in key), col(text).cast("string").alias("__text")).mapInArrow(run, spelled)
+    out = picked.mapInArrow(run, spelled)
+    return out.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(key)), *out.columns[n:])
 
 
 def encode(df: DataFrame, key: list[str], text: str, path: str = f"{TOKENIZERS}/{BYTE_BPE}", out: str = "ids") -> DataFrame:
@@ -181,12 +183,12 @@ def encode(df: DataFrame, key: list[str], text: str, path: str = f"{TOKENIZERS}/
 
     One row per row of df, repeated ones too; texts are encoded whole, whatever their length. Other columns are left out.
     """
-    return _mapped(df, key, text, f"`{out}` array<int>", lambda texts: [(out, pa.array(encode_texts(texts, path), pa.list_(pa.int32())))])
+    return _mapped(df, key, col(text).cast("string"), f"`{out}` array<int>", lambda texts: [(out, pa.array(encode_texts(texts, path), pa.list_(pa.int32())))])
 
 
 def count(df: DataFrame, key: list[str], text: str, path: str = f"{TOKENIZERS}/{BYTE_BPE}", out: str = "n_tokens") -> DataFrame:
     """key columns and `out`, the number of tokens; 0 for an empty or null text."""
-    return _mapped(df, key, text, f"`{out}` bigint", lambda texts: [(out, pa.array([len(x) for x in encode_texts(texts, path)], pa.int64()))])
+    return _mapped(df, key, col(text).cast("string"), f"`{out}` bigint", lambda texts: [(out, pa.array([len(x) for x in encode_texts(texts, path)], pa.int64()))])
 
 
 def offsets(df: DataFrame, key: list[str], text: str, path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
@@ -196,18 +198,9 @@ def offsets(df: DataFrame, key: list[str], text: str, path: str = f"{TOKENIZERS}
         made = list(zip(*(encode_offsets(x, path) for x in texts))) or [(), (), ()]
         return [(n, pa.array(list(v), pa.list_(pa.int32()))) for n, v in zip(("ids", "start", "stop"), made)]
 
-    return _mapped(df, key, text, "ids array<int>, start array<int>, stop array<int>", columns)
+    return _mapped(df, key, col(text).cast("string"), "ids array<int>, start array<int>, stop array<int>", columns)
 
 
 def decode(df: DataFrame, key: list[str], ids: str, path: str = f"{TOKENIZERS}/{BYTE_BPE}", out: str = "text") -> DataFrame:
     """key columns and `out`, the text of the ids; null for null."""
-    fields = df.select(*(col(k) for k in key)).schema
-    spelled = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
-    n = len(key)
-
-    def run(batches):
-        for batch in batches:
-            texts = pa.array([decode_ids(x, path) for x in batch.column(n).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], texts], names=[*batch.schema.names[:n], out])
-
-    return df.select(*(col(k) for k in key), col(ids).alias("__ids")).mapInArrow(run, spelled)
+    return _mapped(df, key, col(ids), f"`{out}` string", lambda given: [(out, pa.array([decode_ids(x, path) for x in given], pa.string()))])
