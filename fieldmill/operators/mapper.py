@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logview import LogView
-from .predicates import matches
+from .predicates import matches, necessary
 
 
 class Mapper:
@@ -47,8 +47,11 @@ class Mapper:
 
 
 def parsed(df: DataFrame) -> DataFrame:
-    """df with v, raw as a variant; v is null for text that is no JSON."""
-    return df.withColumn("v", F.try_parse_json("raw"))
+    """df with v, raw as a variant; v is null for text that is no JSON.
+
+    The variant comes from a generated row, which keeps the optimizer from parsing again in every expression that uses it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v")))))
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +61,9 @@ def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def selected(df: DataFrame, mapper: Mapper) -> DataFrame:
-    return df.where(matches(mapper.selectors(), F.col("v")))
+    """The records a mapper wants. The condition on the text alone moves below the parser."""
+    wanted = mapper.selectors()
+    return df.where(necessary(wanted, F.col("raw"))).where(matches(wanted, F.col("v")))
 
 
 def _opaque(mapper: Mapper):

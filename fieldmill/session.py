@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once per context, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_fieldmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="fieldmill-package-")) / "fieldmill.zip"
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("fieldmill") / p.relative_to(root))
+    context.addPyFile(str(made))
+    context._fieldmill_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the session was given, else a new local one (tests only)."""
     context = spark.sparkContext

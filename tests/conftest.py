@@ -15,5 +15,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from fieldmill.session import ship
+
+    ship(session)
     yield session
     session.stop()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmill.functions import scalars as S
 from fieldmill.functions.logview import LogView
 from fieldmill.functions.paths import access, segments
-from fieldmill.operators.predicates import Eq, Gt, Has, In, Prefix, Regex, Selector, java_pattern, matches
+from fieldmill.operators.predicates import Eq, Gt, Has, In, Prefix, Regex, Selector, java_pattern, matches, necessary
 
 DOCS = [
     {"a.b": 1, "a": {"b": 2}}, {"a.b": None, "a": {"b": 2}}, {"a": {"b": 2, "b.c": 3}}, {"a": [1, [2, 3], {"b": "x"}]}, {"a": "text", "": "empty"}, {"a": None}, {"a": {}}, {"a": []},
@@ -80,3 +80,13 @@ def test_selectors(docs):
     assert pick(Selector(all=(Has("a"),), none=(Gt("a", 0.0),))) == {r for r in pick(Selector(all=(Has("a"),))) if r not in pick(Selector(all=(Gt("a", 0.0),)))}
     assert pick(Selector(any=(Eq("a", 5),), all=(Has("nope"),))) == set()
     assert pick(Selector(all=(Eq("a", 5),)), Selector(all=(Eq("a", "5"),))) == {8, 9, 10, 16}
+
+
+def test_condition_on_the_text_never_rules_out_a_match(docs):
+    odd = [(200, '{"\\u0061": "t\\u0065xt"}'), (201, '{"a": "te\\/xt"}')]
+    every = docs.select("i", "raw").unionByName(docs.sparkSession.createDataFrame(odd, "i int, raw string")).withColumn("v", F.try_parse_json("raw"))
+    for p in (Has("a"), Has("a.b"), Has("a[1][1]"), Eq("a", "text"), Eq("a", 5), Eq("a", "te/xt"), Prefix("a", "te"), Gt("a", 1.0), In("a", ("text", 5)), Regex("a", "x"), Has("")):
+        sel = [Selector(all=(p,))]
+        assert every.where(matches(sel, F.col("v")) & ~necessary(sel, F.col("raw"))).count() == 0, p
+    assert every.where(matches([Selector(all=(Eq("a", "text"),))], F.col("v"))).count() == 2
+    assert docs.where(necessary([Selector(all=(Eq("a", "text"),))], F.col("raw"))).count() < docs.count() and docs.where(necessary([], F.col("raw")) & ~F.col("raw").contains("\\")).count() == 0
