@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import product
 
 import pyarrow as pa
 import xxhash
@@ -72,11 +73,12 @@ _NOTICE = re.compile(
 )
 _THING = r"(?:page|file|notebook|document|preview|request|resource|site|server|service|upstream(?:\ host)?|host|link|address|url|content|view|app|cell)s?"
 _CODE = r"(?:4\d\d|5\d\d)"
+_ALONE = rf"^\W*{_CODE}\W*$"
 #: Messages of an error page.
 _ERROR = re.compile(
     rf"""\b{_CODE}\b\s+(?:not\ found|forbidden|gone|unauthori[sz]ed|bad\ (?:request|gateway)|service\ unavailable|internal\ server\ error|too\ many\ requests|gateway\ time-?out|request\ time-?out)
     |^\W*(?:not\ found|forbidden|gone|unauthori[sz]ed|bad\ (?:request|gateway)|service\ (?:temporarily\ )?unavailable|internal\ server\ error|too\ many\ requests|gateway\ time-?out|access\ denied|permission\ denied)\W*$
-    |\b(?:error|status|code|http|fehler|erreur|estado|c[óo]digo|statut|エラー|error\ del\ servidor)\b\W{{0,3}}{_CODE}\b|^\W*{_CODE}\W*$|エラー\s*{_CODE}
+    |\b(?:error|status|code|http|fehler|erreur|estado|c[óo]digo|statut|エラー|error\ del\ servidor)\b\W{{0,3}}{_CODE}\b|{_ALONE}|エラー\s*{_CODE}
     |\b{_THING}\b[^.!?\n]{{0,60}}\b(?:not\ be\ (?:found|rendered|displayed|loaded|opened|shown|reached|processed|completed)|cannot\ be\ (?:found|rendered|displayed|loaded|opened|shown|reached)|is\ not\ available|is\ unavailable|is\ no\ longer\ available|does\ not\ exist|no\ longer\ exists?|failed\ to\ load|timed\ out|took\ too\ long|was\ (?:refused|moved|removed|deleted)|(?:has|have)\ been\ (?:removed|moved|deleted|renamed)|is\ denied|returned\ (?:status|an\ error)|is\ down|did\ not\ respond|closed\ the\ connection|could\ not\ be)
     |\b(?:we|you)\b[^.!?\n]{{0,20}}(?:can['’]?t|cannot|could\ not|couldn['’]?t|do\ not\ have)\b[^.!?\n]{{0,20}}\b(?:find|access|permission|{_THING})\b|something\ went\ wrong|unable\ to\ (?:load|find|display|render|open|connect)|went\ wrong\ on\ our
     |\btoo\ many\ requests\b|\bslow\ down\b|zu\ viele\ anfragen|trop\ de\ (?:requ[êe]tes|demandes)|demasiadas\ (?:solicitudes|peticiones)|リクエストが多すぎ
@@ -132,11 +134,14 @@ def cells_of(text: str, cells) -> list[tuple[str, str]]:
 
 _WORDS = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[\u2e80-\uffdc]")
+_MUTE = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def weight(text: str) -> int:
     """Letters and digits, a wide character as two: what a reader gets out of a text."""
-    return sum(map(len, _WORDS.findall(text))) + (0 if text.isascii() else len(_WIDE.findall(text)))
+    if text.isascii():
+        return len(text.encode().translate(None, _MUTE))
+    return sum(map(len, _WORDS.findall(text))) + len(_WIDE.findall(text))
 
 
 _LEET = re.compile(r"(?<=[A-Za-z])3(?=[A-Za-z\W]|$)|(?<![A-Za-z0-9])3(?=[A-Za-z])")
@@ -152,19 +157,29 @@ def plain(text: str) -> str:
     return _LEET.sub("e", text) if "3" in text and len(_LEET.findall(text)) >= 2 else text
 
 
+#: One of these is in every match of _MARKED.
+_MARKS = re.compile(r"[{<_\[@%＜]")
+_GAP = re.compile(r"[ \t ]+")
+
+
+def _lines(text: str) -> list[str]:
+    """The lines of a cell without tags and wrappers."""
+    if "{" in text:
+        text = _MESSAGE.sub(lambda m: "\n" + m.group(1) + "\n", text)
+    return (_TAG.sub("\n", text) if "<" in text else text).split("\n")
+
+
+def _sentences(line: str) -> list[str]:
+    if _MARKER.match(line):
+        return []
+    marked = _MARKS.search(line) and _MARKED.search(line)
+    line = (_PROMPT.sub("", line) if "]:" in line else line).strip().lstrip("#*-> ").strip("* " if marked else "*`_ ")
+    return [x for x in _SENTENCE.split(_GAP.sub(" ", line)) if x]
+
+
 def units_of(text: str) -> list[str]:
     """The sentences of a cell without marks, tags and wrappers."""
-    out = []
-    text = _MESSAGE.sub(lambda m: "\n" + m.group(1) + "\n", text)
-    text = _TAG.sub("\n", text)
-    for line in text.split("\n"):
-        if _MARKER.match(line):
-            continue
-        line = _PROMPT.sub("", line).strip().lstrip("#*-> ").strip("*`_ " if not _MARKED.search(line) else "* ")
-        line = re.sub(r"[ \t ]+", " ", line)
-        if line:
-            out.extend(x for x in _SENTENCE.split(line) if x)
-    return out
+    return [x for line in _lines(text) for x in _sentences(line)]
 
 
 def skeleton(unit: str) -> str:
@@ -181,14 +196,24 @@ _FUNCTION = frozenset(
 )
 
 
-def _babble(unit: str) -> bool:
-    words = re.findall(r"\w+", unit.lower())
+_TOKENS = re.compile(r"\w+")
+_DRAWL = re.compile(r"ああ+|xxx+|(?:bla)+")
+
+
+def _babble(unit: str, known: bool = True) -> bool:
+    """known: whether a word of filler may be in the unit."""
+    if not known and len(unit) < 15 and unit.isascii() and _WORDS.search(unit):
+        return False  # too short for eight words
+    words = _TOKENS.findall(unit.lower())
     if len(words) < 2:
-        return bool(re.fullmatch(r"(?:ああ+|x{3,}|(?:bla)+)", "".join(words)))
+        return bool(_DRAWL.fullmatch("".join(words)))
     if len(words) >= 8 and len(set(words)) <= 0.35 * len(words) and not any(w[0].isdigit() for w in words):
         return True
+    if not known and _WORDS.search(unit):
+        return False
+    whole = weight(unit)
     kept = weight(_BABBLE.sub(" ", unit))
-    return kept <= 0.2 * weight(unit) and (len(words) >= 4 or len(set(words)) < len(words))
+    return kept <= 0.2 * whole and (len(words) >= 4 or len(set(words)) < len(words))
 
 
 #: A longer run of words is a message only if this share of it is made up of known ones; otherwise it speaks about one.
@@ -204,19 +229,114 @@ def _unbound(words: list[str]) -> bool:
     return len(words) >= 5 and not any(w in _FUNCTION for w in words)
 
 
-def kind_of(unit: str) -> str:
+# Hints -----------------------------------------------------------------------------------------------------------------
+
+#: What ignoring case takes for the same letter besides lower case.
+_ALIKE = str.maketrans("ıİſ\u212a", "iisk")
+
+
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_ALIKE).lower()
+
+
+def _joined(some: set[str] | None, more: set[str] | None) -> set[str] | None:
+    return None if some is None or more is None or len(some) * len(more) > 256 else {x + y for x, y in product(some, more)}
+
+
+def _spelled(op, held) -> set[str] | None:
+    """All folded texts that one item of a parsed pattern can match, or None if they are too many to tell."""
+    name = str(op)
+    if name == "LITERAL":
+        return {_folded(chr(held))}
+    if name in ("AT", "ASSERT", "ASSERT_NOT"):
+        return {""}
+    if name == "IN" and all(str(o) == "LITERAL" for o, _ in held):
+        return {_folded(chr(c)) for _, c in held}
+    if name == "SUBPATTERN":
+        return reduce(_joined, (_spelled(*x) for x in held[-1]), {""})
+    if name == "BRANCH":
+        each = [reduce(_joined, (_spelled(*x) for x in way), {""}) for way in held[1]]
+        return None if None in each or sum(map(len, each)) > 256 else set().union(*each)
+    if name in ("MAX_REPEAT", "MIN_REPEAT") and held[0] in (0, 1) and held[1] == 1:
+        inner = reduce(_joined, (_spelled(*x) for x in held[2]), {""})
+        return inner if inner is None or held[0] else inner | {""}
+    return None
+
+
+def _needed(items) -> set[str]:
+    """Folded texts one of which is in everything that the items of a parsed pattern match; one is empty if there is no such set."""
+    found, run = [{""}], {""}
+    for op, held in items:
+        spelled = _spelled(op, held)
+        longer = _joined(run, spelled)
+        if longer is not None:
+            run = longer
+            continue
+        found.append(run)
+        run = {""} if spelled is None else spelled
+        name = str(op)
+        if name == "SUBPATTERN":
+            found.append(_needed(held[-1]))
+        elif name == "BRANCH":
+            found.append(set().union(*map(_needed, held[1])))
+        elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in held):
+            found.append({_folded(chr(c)) for o, x in held for c in ([x] if str(o) == "LITERAL" else range(x[0], x[1] + 1))} if sum(1 if str(o) == "LITERAL" else x[1] - x[0] for o, x in held) < 12 else {""})
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and held[0]:
+            found.append(_needed(held[2]))
+    return max(*found, run, key=lambda some: (min(len(x) + len(_WIDE.findall(x)) for x in some), -len(some)))
+
+
+#: The detectors whose matches are asked for only where a text they need is there; bit i of the hints is the i-th.
+_HINTED = (_FILL_IN, _NOTICE, _ERROR, _BABBLE, _DRAWL)
+_FILLS, _NOTICES, _ERRORS, _BABBLES, _DRAWLS = (1 << i for i in range(5))
+_NUMBER = re.compile(_ALONE, re.M)
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    """The needed texts of the detectors, taken from the patterns themselves, and the hints of detectors that need none."""
+    import ahocorasick
+    from re import _parser
+
+    words: dict[str, int] = {}
+    for i, pattern in enumerate(_HINTED):
+        # a number alone, which needs no more than a digit, is searched for itself
+        for word in _needed(_parser.parse(pattern.pattern.replace(f"|{_ALONE}|", "|"), pattern.flags)):
+            words[word] = words.get(word, 0) | 1 << i
+    always = words.pop("", 0)
+    a = ahocorasick.Automaton()
+    for word, bits in words.items():
+        a.add_word(word, bits)
+    a.make_automaton()
+    return a, always
+
+
+def hints(unit: str) -> int:
+    """The detectors that can match somewhere in a text: one whose bit is not set matches nowhere in it."""
+    a, out = _automaton()
+    if ("4" in unit or "5" in unit) and _NUMBER.search(unit):
+        out |= _ERRORS
+    for _, bits in a.iter(_folded(unit)):
+        out |= bits
+    return out
+
+
+def kind_of(unit: str, hinted=hints) -> str:
     """placeholder, filler, error, notice, frame, stub or empty for anything else."""
     if _FRAME.match(unit):
         return "frame"
     if _STUB.match(unit):
         return "stub"
-    left = _FILL_IN.sub(" ", _MARKED.sub(" ", unit))
+    may = hinted(unit)
+    left = _MARKED.sub(" ", unit) if _MARKS.search(unit) else unit
+    if (may if left == unit else hinted(left)) & _FILLS:
+        left = _FILL_IN.sub(" ", left)
     if left != unit and (weight(left) <= 0.34 * weight(unit) or weight(left) <= 6):
         return "placeholder"
-    if _babble(unit):
+    if _babble(unit, bool(may & (_BABBLES | _DRAWLS))):
         return "filler"
-    for kind, pattern in (("notice", _NOTICE), ("error", _ERROR)):
-        found = pattern.search(unit)
+    for kind, bit, pattern in (("notice", _NOTICES, _NOTICE), ("error", _ERRORS, _ERROR)):
+        found = may & bit and pattern.search(unit)
         if found and (len(unit.split()) <= MESSAGE_WORDS or _covered(unit) >= MESSAGE_SHARE * len(unit)):
             return kind
     return ""
@@ -224,60 +344,16 @@ def kind_of(unit: str) -> str:
 
 RESIDUE = frozenset(("placeholder", "filler", "error", "notice"))
 
-#: What every unit that a detector knows contains at least one of, in lower case.
-TRIGGERS = (
-    "{{", "${", "#{", "{0:", "{1:", "{2:", "<%", "{%", "__", "[[", "<<", "@@", "%%", "＜", "[insert", "[add", "[enter", "[type", "[put", "[your", "goes here", "to edit", "to add", "to change", "replace ",
-    " here", "todo", "fixme", "tbd", " hier ", "hier ", "zum bearb", "zur bearb", "ersetzen", "[ins", "[sais", "[ajout", "cliqu", "remplace", " ici", "compléter", "faire", "[escrib", "[añad", "clic ", "pulse ", "sustituya",
-    "reemplace", "aquí", "aqui", "ここに", "クリック", "この文", "このテキスト", "asdf", "qwer", "tzui", "foo bar", "bla bla", "blah", "yada", "abc abc", "xxx", "dummy", "test test", "text text", "texte", "relleno", "lorem", "ipsum",
-    "dolor", "amet", "aliqua", "placeholder", "mustertext", "fülltext", "blindtext", "platzhalter", "ああ", "テスト", "ダミー", "テキスト", "script", " js", "js ", "jsを", "jsが", "jsは", "allow it", "browser", "error ", "status ", "code ", "fehler", "erreur", "estado", "código",
-    "statut", "エラー", "not found", "not available", "not be", "not exist", "forbidden", "gone", "unauthori", "bad gateway", "bad request", "time-out", "timeout", "unavailable", "internal server", "too many", "slow down", "denied", "cannot", "no longer", "failed to", "timed out",
-    "took too", "refused", "removed", "deleted", "moved", "renamed", "is down", "respond", "closed the", "could not", "can't", "can’t", "couldn", "do not have", "wrong", "unable", "maintenance", "try again", "come back", "contact the",
-    "oops", "back to", "request id", "returned", "nicht", "verschoben", "gelöscht", "entfernt", "abgelehnt", "abgelaufen", "umbenannt", "verweigert", "versuchen", "wartung", "startseite", "vorgangsnummer", "viele anfragen", "existiert",
-    "n'a pas", "n’a pas", "n'est", "n’est", "n'existe", "n’existe", "ne répond", "introuvable", "supprim", "déplac", "refus", "renomm", "indisponible", "impossible", "revenez", "réessayez", "retour", "référence", "trop de", "no se ", "no está", "no existe",
-    "no responde", "no disponible", "ya no", "ha sido", "fue ", "eliminad", "movid", "denegado", "inténtelo", "vuelva", "mantenimiento", "volver", "referencia", "demasiadas", "ません", "応答", "拒否", "削除", "移動", "メンテ", "お試し", "再度", "お越し", "受付番号",
-    "を編集", "を入力", "schalten sie", "aktivieren", "erlauben", "activez", "autorisez", "javasc", "java sc", "permita", "habilite",
-)
-_ANGLED = re.compile(r"<(?:[a-z][a-z0-9_]*(?:[_ ][a-z0-9_]+)*|[A-Z][A-Z0-9_]*|(?:your|ihre?n?|votre|vos|su|tu)\s[^<>\n]{1,60})>|\{[A-Za-z][A-Za-z0-9_]*\}")
-
-
-@lru_cache(maxsize=1)
-def _automaton():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for word in TRIGGERS:
-        a.add_word(word, 1)
-    a.make_automaton()
-    return a
-
-
-def _may_be_residue(line: str) -> bool:
-    if next(_automaton().iter(line.lower()), None) is not None or (("<" in line or "{" in line) and _ANGLED.search(line)):
-        return True
-    words = line.split() if len(line) > 40 else ()
-    return len(words) >= 8 and len(set(words)) <= 0.35 * len(words)
-
 
 def parts_of(text: str, cells) -> list[tuple[str, str, str, int]]:
     """(cell kind, unit, unit kind, weight) of a document; pseudo-Latin is told apart by the document as a whole."""
-    held = [(kind, plain(cell)) for kind, cell in cells_of(text, cells)]
-    size = suspect = 0
-    for _, cell in held:
-        size += len(cell)
-        suspect += sum(len(line) for line in cell.split("\n") if len(line) > 1 and _may_be_residue(line))
-    looked = 4 * suspect >= size
-    out = []
-    for kind, cell in held:
-        for unit in units_of(cell) if looked else (cell,):
-            what = kind_of(unit) if looked and (len(unit) < 60 or _may_be_residue(unit)) else ""
-            out.append([kind, unit, what, weight(unit)])
-    if looked:
-        loose = [(p, re.findall(r"[^\W\d_]+", p[1].lower())) for p in out if p[2] == "" and p[0] != "code"]
-        loose = [(p, w) for p, w in loose if _unbound(w)]
-        seeds = sum(1 for _, ws in loose for w in ws if _LATIN.match(w))
-        if seeds and seeds >= 0.06 * sum(len(ws) for _, ws in loose):
-            for p, _ in loose:
-                p[2] = "filler"
+    out = [[kind, unit, kind_of(unit), weight(unit)] for kind, cell in cells_of(text, cells) for unit in units_of(plain(cell))]
+    loose = [(p, re.findall(r"[^\W\d_]+", p[1].lower())) for p in out if p[2] == "" and p[0] != "code" and p[3] >= 5]
+    loose = [(p, w) for p, w in loose if _unbound(w)]
+    seeds = sum(1 for _, ws in loose for w in ws if _LATIN.match(w))
+    if seeds and seeds >= 0.06 * sum(len(ws) for _, ws in loose):
+        for p, _ in loose:
+            p[2] = "filler"
     return [tuple(p) for p in out]
 
 

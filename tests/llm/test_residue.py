@@ -1,7 +1,9 @@
 import json
+import os
 
 import pytest
 
+from compare import DATA
 from fieldmill.llm import residue as R
 
 NOTEBOOK = "# Cleaning: the wind record\n\nThe wind record was cleaned after our second batch.\n\nIn [1]: rows = read('a.csv')\nrows.groupby('site').mean()\n\nOut[1]:\n17.5\n"
@@ -71,3 +73,21 @@ def test_long_repeated_and_empty(spark):
 @pytest.mark.parametrize("unit,kind", [("{{ owner }}", "placeholder"), ("# <your dataset>", "placeholder"), ("bla bla bla bla", "filler"), ("Request id: 8ac841b8-3e81", "frame"), ("Untitled", "stub"), ("The river rose.", "")])
 def test_kinds(unit, kind):
     assert R.kind_of(unit) == kind
+
+
+@pytest.mark.parametrize("message", ["ノートブックを表示できません。", "Accès refusé…"])
+def test_a_short_message_in_a_large_frame(spark, message):
+    text = f"Start Suche Anmelden\n{message}\nHome | Notebooks | Sign in"
+    assert [r.flagged for r in R.residue(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").collect()] == [True]
+
+
+@pytest.mark.parametrize("unit", ["İNSERT", "[ ıNſERT your course ]", "ENABLE JAVAſCRIPT", "5\n404\n", "KÖNNTEN NICHT", "foo{{x}}bar", "replace{{x}}this{{x}}with it", "Accès refusé…"])
+def test_hints_leave_out_no_kind(unit):
+    assert R.kind_of(unit) == R.kind_of(unit, lambda _: ~0)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_hints_leave_out_no_kind_in_the_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text", "cells").where("text is not null").collect()
+    units = {u for d in docs for _, cell in R.cells_of(d.text, d.cells) for u in R.units_of(R.plain(cell))}
+    assert units and not [u for u in units if R.kind_of(u) != R.kind_of(u, lambda _: ~0)]
