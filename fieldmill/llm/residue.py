@@ -403,7 +403,8 @@ def terms(text: str | None) -> set[str]:
 
 
 def judge(text: str, cells, path: str | None) -> tuple[int, int, int, bool, list[tuple[int, int]]]:
-    """residue, open and firm weight; whether the body names a term of its address or title; (skeleton hash, weight) of open units.
+    """residue, open and firm weight; whether the body names a term of its address or title; (skeleton hash, weight) of open units,
+    each wording once.
 
     Units are told only for documents without firm code: only those can turn out to be residue by the corpus's evidence.
     """
@@ -414,8 +415,12 @@ def judge(text: str, cells, path: str | None) -> tuple[int, int, int, bool, list
     title = next((u for kind, u, _, _ in parts if kind != "code"), "")
     body = " ".join(u for _, u, _, _ in parts if u is not title).lower()
     named = any(t in body for t in terms(path and path.rsplit("/", 1)[-1]) | terms(title))
-    units = [(xxhash.xxh64_intdigest(k.encode()) - (1 << 63), w) for _, u, what, w in parts if what == "" and w and (k := skeleton(u))]
-    return residue, open_, firm, named, units
+    units: dict[int, int] = {}
+    for _, u, what, w in parts:
+        if what == "" and w and (k := skeleton(u)):
+            h = xxhash.xxh64_intdigest(k.encode()) - (1 << 63)
+            units[h] = units.get(h, 0) + w
+    return residue, open_, firm, named, list(units.items())
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,27 @@ def test_hints_leave_out_no_kind_in_the_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text", "cells").where("text is not null").collect()
     units = {u for d in docs for _, cell in R.cells_of(d.text, d.cells) for u in R.units_of(R.plain(cell))}
     assert units and not [u for u in units if R.kind_of(u) != R.kind_of(u, lambda _: ~0)]
+
+
+def judged(spark, wording, others):
+    """(flagged, learned) of a document that is the wording alone, beside 30 error pages that hold it and others."""
+    rows = [(i, f"404 Not Found\nThe server took too long to answer.\n{wording}", f"h{i % 7}", f"a/{i}_width.ipynb") for i in range(30)]
+    rows += [(100, wording, "h9", "b/1_width.ipynb"), *((200 + i, text, f"h{i % 7}", f"c/{i}_depth.ipynb") for i, text in enumerate(others))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, path string")
+    return {int(r.key): (r.flagged, r.learned) for r in R.residue(df, "doc_id", "text", path="path", host="repo").collect()}[100]
+
+
+def test_a_document_of_two_learnt_wordings(spark):
+    flagged, learned = judged(spark, "Please fetch a biscuit, traveller. Kindly wave at the gate.", [])
+    assert flagged and learned == R.weight("Please fetch a biscuit, traveller. Kindly wave at the gate.")
+
+
+def test_a_wording_common_in_notebooks_is_not_learnt(spark):
+    wording = "Please fetch a biscuit, traveller."
+    texts = [f"The river rose by {i} metres in May. {wording} We measured its width at noon and drew the curve again." for i in range(30)]
+    assert judged(spark, wording, texts) == (False, 0)
+
+
+def test_a_document_counts_once_for_a_wording(spark):
+    wording = "Please fetch a biscuit, traveller."
+    assert judged(spark, wording, ["The river rose in May. " + f"{wording} " * 40])[0]
