@@ -99,23 +99,35 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(rows(counted("community_id"), "flow_per_orig_day", 60, None, 0))
 
 
-def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct identifiers by every combination of service, sensor and day. `*` in a column stands for all of its values."""
-    conn = table(spark, sf_dir, "conn").select(col("id.orig_h").alias("orig_h"), col("id.resp_h").alias("resp_h"), "community_id", "service", F.col("_system_name").alias("sensor"), "ts")
+def _cubed(spark: SparkSession, sf_dir: str, identifiers: tuple[str, ...], fixed: list[str]) -> DataFrame:
+    """Distinct identifiers by the fixed columns and every combination of service, sensor and day. `*` stands for all values of a column."""
+    conn = table(spark, sf_dir, "conn")
+    conn = conn.select(col("id.orig_h").alias("orig_h"), col("id.orig_h").alias("host"), col("id.resp_h").alias("resp_h"), "community_id", "service", F.col("_system_name").alias("sensor"), "ts")
     first, days = _day_range(conn)
     out = None
-    for name in ("orig_h", "resp_h", "community_id"):
-        base = distinct.patterns(conn, ["service", "sensor"], name, _day(first), days)
-        for scope in (["service", "sensor"], ["service"], ["sensor"], []):
-            held = base if len(scope) == 2 else distinct.merge_patterns(base, scope, name)
+    for name in identifiers:
+        base = distinct.patterns(conn, [*fixed, "service", "sensor"], name, _day(first), days)
+        for open_ in (["service", "sensor"], ["service"], ["sensor"], []):
+            scope = [*fixed, *open_]
+            held = base if len(open_) == 2 else distinct.merge_patterns(base, scope, name)
             counts = distinct.per_group(distinct.totals(held, scope), scope)
-            shown = [F.coalesce(F.col(c), F.lit("(none)")).alias(c) if c in scope else F.lit("*").alias(c) for c in ("service", "sensor")]
+            shown = [F.coalesce(F.col(c), F.lit("(none)")).alias(c) if c in scope else F.lit("*").alias(c) for c in (*fixed, "service", "sensor")]
             day = F.when(F.col("index") < 0, "*").otherwise(F.date_from_unix_date(F.col("index").cast("int") + first).cast("string"))
             part = counts.select(F.lit(name).alias("identifier"), *shown, day.alias("day"), F.col("n").alias("n_distinct"))
             out = part if out is None else out.unionByName(part)
     return out
 
 
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers by every combination of service, sensor and day. `*` in a column stands for all of its values."""
+    return _cubed(spark, sf_dir, ("orig_h", "resp_h", "community_id"), [])
+
+
+def p5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct peers and flows of each host, by every combination of service, sensor and day as in p5_counts."""
+    return _cubed(spark, sf_dir, ("resp_h", "community_id"), ["host"])
+
+
 def p5_week_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sensor: hosts seen in the first week, in the second, in both, and in the first only, from one table of totals."""
     conn = table(spark, sf_dir, "conn").select(col("id.orig_h").alias("orig_h"), F.col("_system_name").alias("sensor"), "ts").where(F.col("_system_name").isNotNull())
@@ -163,7 +175,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found)
+    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_hosts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found)
 }
 
 _PERCENTILES = """
@@ -187,6 +199,14 @@ _DISTINCT = " UNION ALL ".join(
     for name, column in (("orig_h", "id.orig_h"), ("resp_h", "id.resp_h"), ("community_id", "community_id"))
 )
 
+_HOSTS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS identifier, h AS host, CASE WHEN grouping(s) = 1 THEN '*' ELSE s END AS service, CASE WHEN grouping(n) = 1 THEN '*' ELSE n END AS sensor,
+        CASE WHEN grouping(day) = 1 THEN '*' ELSE day END AS day, count(DISTINCT id) AS n_distinct
+        FROM (SELECT coalesce("id.orig_h", '(none)') AS h, coalesce(service, '(none)') AS s, coalesce(_system_name, '(none)') AS n, substr(ts, 1, 10) AS day, "{column}" AS id FROM conn WHERE "{column}" IS NOT NULL)
+        GROUP BY h, CUBE (s, n, day)"""
+    for name, column in (("resp_h", "id.resp_h"), ("community_id", "community_id"))
+)
+
 SQL = {
     "p1_percentiles": _PERCENTILES + " SELECT tbl, part, grp, day, q, n_rows, value FROM found",
     "p1_found": _PERCENTILES + """
@@ -198,6 +218,7 @@ SQL = {
         UNION ALL SELECT 'resp_per_orig', "id.orig_h", '' FROM conn WHERE "id.orig_h" IS NOT NULL GROUP BY ALL HAVING count(DISTINCT "id.resp_h") > 100
         UNION ALL SELECT 'flow_per_orig_day', "id.orig_h", substr(ts, 1, 10) FROM conn WHERE "id.orig_h" IS NOT NULL GROUP BY ALL HAVING count(DISTINCT community_id) > 60""",
     "p5_counts": _DISTINCT,
+    "p5_hosts": _HOSTS,
     "p5_week_overlap": """
         WITH d AS (SELECT _system_name AS sensor, "id.orig_h" AS h, date_diff('day', (SELECT min(CAST(substr(ts, 1, 10) AS DATE)) FROM conn WHERE _system_name IS NOT NULL), CAST(substr(ts, 1, 10) AS DATE)) AS i
                    FROM conn WHERE _system_name IS NOT NULL AND "id.orig_h" IS NOT NULL),

@@ -68,3 +68,14 @@ def test_empty_and_out_of_range(spark):
     assert counts(spark.createDataFrame([("s", "i", 9, "x"), ("s", "i", -1, "x")], SCHEMA), 5) == {("s", -1): 1}
     long = "i" * 100_000
     assert counts(spark.createDataFrame([("s", long, 1, "x"), ("s", "", 1, "x")], SCHEMA), 5) == {("s", -1): 2, ("s", 1): 2}
+
+
+def test_hosts_are_counted_by_service_and_sensor(spark, tmp_path):
+    rows = [("h", "p1", "c1", "dns", "s", "2024-10-20T00:00:00Z"), ("h", "p1", "c2", "dns", "t", "2024-10-21T00:00:00Z"), ("h", "p2", None, None, "s", "2024-10-21T00:00:00Z"), (None, "p1", "c1", "dns", "s", "2024-10-21T00:00:00Z")]
+    spark.createDataFrame(rows, "`id.orig_h` string, `id.resp_h` string, community_id string, service string, _system_name string, ts string").write.parquet(f"{tmp_path}/conn.parquet")
+    from __spark_entry__ import queries
+
+    got = {tuple(r[:5]): r[5] for r in queries()["p5_hosts"](spark, str(tmp_path)).collect()}
+    assert got["resp_h", "h", "*", "*", "*"] == 2 and got["resp_h", "h", "dns", "*", "*"] == 1 and got["resp_h", "h", "*", "s", "*"] == 2
+    assert got["resp_h", "h", "*", "*", "2024-10-21"] == 2 and got["resp_h", "h", "(none)", "s", "2024-10-21"] == 1 and got["community_id", "h", "*", "*", "*"] == 2
+    assert got["resp_h", "(none)", "*", "*", "*"] == 1
