@@ -103,3 +103,13 @@ def test_estimated_history_finds_the_change_of_offset(spark):
     df = spark.createDataFrame(rows, "place string, text string, ref bigint")
     got = [(r.place, r.offset_minutes, r.readings, r.violations) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("from_day").collect()]
     assert got == [("s", 120, 84, 7), ("s", 60, 84, 7)]
+
+
+def test_readings_that_no_offset_explains_are_counted(spark):
+    day, hour, base = 86_400_000_000, 3_600_000_000, us(2024, 10, 20)
+    spelled = lambda t: datetime.fromtimestamp(t / 1e6, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    rows = [("s", spelled(base + k * hour + hour), base + k * hour) for k in range(5)]
+    rows += [("s", spelled(base + 40 * hour), base), ("s", spelled(base - 30 * hour), base), ("s", spelled(base + 3 * day), base + day), ("far", spelled(base + 2 * day), base)]
+    df = spark.createDataFrame(rows, "place string, text string, ref bigint")
+    got = [(r.place, r.offset_minutes, r.readings, r.violations, r.to_day - r.from_day) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("place").collect()]
+    assert got == [("far", None, 1, 1, 0), ("s", 60, 8, 3, 1)]
