@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..session import col
 
@@ -169,6 +170,11 @@ def table_of(path: str) -> str:
     return path[: path.rfind("[]") + 2] if "[]" in path else ""
 
 
+def leaf_name(path: str) -> str:
+    """A leaf's column in its table: what follows the ancestor, `value` if nothing does."""
+    return path[len(table_of(path)) :].lstrip(".") or "value"
+
+
 def pivot_table(triples: DataFrame, table: str, leaves: Iterable[str]) -> DataFrame:
     """One flat table of the triples under a repeated ancestor: key, rec_pos, ordinals and a string column for each leaf.
 
@@ -182,6 +188,32 @@ def pivot_table(triples: DataFrame, table: str, leaves: Iterable[str]) -> DataFr
     return kept.groupBy("key", "rec_pos", "ordinals").agg(*(F.max(F.when(F.col("path") == p, F.col("value"))).alias(n) for p, n in names.items()))
 
 
+def flat_tables(triples: DataFrame, leaves: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The flat table of each repeated ancestor, by ancestor; the leaves are grouped by it, without leaves all paths found.
+
+    Paths are found by one pass; triples that are costly to make should be kept, as every table reads them.
+    """
+    if leaves is None:
+        leaves = sorted(r.path for r in triples.select("path").distinct().collect())
+    by: dict[str, list[str]] = {}
+    for path in leaves:
+        by.setdefault(table_of(path), []).append(path)
+    return {table: pivot_table(triples, table, own) for table, own in by.items()}
+
+
+def typed_record(df: DataFrame) -> DataFrame:
+    """One row per row: the leaves of all structs as columns, named by their path with _ for dots. Arrays are left to their own tables."""
+
+    def leaves(schema: StructType, at: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+        for f in schema.fields:
+            if isinstance(f.dataType, StructType):
+                yield from leaves(f.dataType, (*at, f.name))
+            elif not isinstance(f.dataType, ArrayType):
+                yield (*at, f.name)
+
+    return df.select(*(F.col(".".join(f"`{x}`" for x in path)).alias("_".join(path)) for path in leaves(df.schema, ())))
+
+
 def typed_table(df: DataFrame, keys: dict[str, Column], array: Column, fields: dict[str, str] | None = None) -> DataFrame:
     """One flat table of a typed array column: the keys, pos (0-based, null elements counted) and the element or its fields.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.instants import CANONICAL, FIRST, LAST, MICRO, estimate_offsets, normalise
-from ..operators.nested import json_triples, pivot_table, typed_table
+from ..operators.nested import flat_tables, json_triples, leaf_name, pivot_table, table_of, typed_record, typed_table
 from ..operators.sessions import sessions
-from ..session import broadcast_if_small, col
+from ..session import broadcast_if_small, col, durable
 
 GAP_US = 30 * 60 * MICRO
 
@@ -103,12 +103,14 @@ def observables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triples = raw_triples(spark, sf_dir, LEAVES).where(F.col("value").isNotNull())
-    field = F.coalesce(*(F.when(F.col("path") == p, F.lit(n)) for p, n in LEAVES.items()))
-    raw = triples.select(F.lit("conn_raw").alias("tbl"), F.col("key").alias("rec_key"), "rec_pos", field.alias("field"), F.col("ordinals")[0].alias("pos"), F.col("value").alias("val"))
     typed = observables(spark, sf_dir).where(F.col("score_id").isNotNull())
-    typed = typed.select(F.lit("conn_out").alias("tbl"), F.col("uid").alias("rec_key"), F.lit(0).cast("bigint").alias("rec_pos"), F.lit("score_id").alias("field"), "pos", F.col("score_id").cast("string").alias("val"))
-    return raw.unionByName(typed).distinct()
+    out = typed.select(F.lit("conn_out").alias("tbl"), F.col("uid").alias("rec_key"), F.lit(0).cast("bigint").alias("rec_pos"), F.lit("score_id").alias("field"), "pos", F.col("score_id").cast("string").alias("val"))
+    for ancestor, rows in flat_tables(durable(raw_triples(spark, sf_dir, LEAVES))).items():
+        for path, field in LEAVES.items():
+            if table_of(path) == ancestor and (name := leaf_name(path)) in rows.columns:
+                held = rows.where(col(name).isNotNull())
+                out = out.unionByName(held.select(F.lit("conn_raw").alias("tbl"), F.col("key").alias("rec_key"), "rec_pos", F.lit(field).alias("field"), F.col("ordinals")[0].alias("pos"), col(name).alias("val")))
+    return out.distinct()
 
 
 def p4_raw_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +128,28 @@ def p4_raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("raw_id"), "rec_pos", *(col(x).alias(x.replace(".", "_")) for x in leaves))
 
 
+def p4_raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of host names in the raw payloads, each row linked to its record and place."""
+    path = "id.orig_h_name.vals[]"
+    (rows,) = flat_tables(raw_triples(spark, sf_dir, [path]), [path]).values()
+    return rows.select(F.col("key").alias("raw_id"), "rec_pos", F.col("ordinals")[0].alias("pos"), F.col("value").alias("name"))
+
+
+def p4_raw_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of capture rules in the raw payloads, each row linked to its record, the object that holds it and its place."""
+    paths = [p for p, field in LEAVES.items() if field == "spcap_rule"]
+    out = None
+    for ancestor, rows in flat_tables(durable(raw_triples(spark, sf_dir, paths)), paths).items():
+        part = rows.select(F.col("key").alias("raw_id"), "rec_pos", F.lit(ancestor.removesuffix(".rule[]")).alias("parent"), F.col("ordinals")[0].alias("pos"), F.col("value").alias("rule"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p4_out_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of records of conn_out: one row per row."""
+    return typed_record(table(spark, sf_dir, "conn_out"))
+
+
 def p4_out_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observables(spark, sf_dir)
 
@@ -137,10 +161,18 @@ def p4_conn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_zones, p3_found, p3_sessions, p4_found, p4_raw_observables, p4_raw_records, p4_out_observables, p4_conn_names)
+    for f in (p2_found, p2_zones, p3_found, p3_sessions, p4_found, p4_raw_observables, p4_raw_records, p4_raw_names, p4_raw_rules, p4_out_records, p4_out_observables, p4_conn_names)
 }
 
+_STRUCTS = {
+    "metadata": "version product.name product.vendor_name logged_time log_name uid", "connection_info": "direction_id protocol_name protocol_num community_uid flag_history",
+    "src_endpoint": "ip port mac", "dst_endpoint": "ip port mac location.country", "traffic": "bytes_in packets_in bytes_out packets_out bytes_missed bytes packets",
+}
+_OUT = ["category_uid", "class_uid", "severity_id", "activity_id", "type_uid", "time", "start_time", "end_time", "duration", "app_name", "status_code", "unmapped"]
+_OUT += [f"{k}.{x} AS {k}_{x.replace('.', '_')}" for k, names in _STRUCTS.items() for x in names.split()]
+
 SQL = {
+    "p4_out_records": f"SELECT {', '.join(_OUT)} FROM conn_out",
     "p4_out_observables": """
         SELECT o.metadata.uid AS uid, CAST(i - 1 AS BIGINT) AS pos, o.observables[i].name AS name, o.observables[i].value AS value,
                o.observables[i].reputation.provider AS provider, o.observables[i].reputation.base_score AS base_score,

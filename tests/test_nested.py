@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from fieldmill.operators.nested import json_triples, pivot_table, typed_table
+from fieldmill.operators.nested import flat_tables, json_triples, pivot_table, typed_table
 
 LISTS = ("id.vals", "spcap.rule", "unmapped.spcap.rule", "observables")
 
@@ -44,3 +44,21 @@ def test_typed(spark):
     df = spark.createDataFrame([(1, [None, ("a", (5,))]), (2, []), (3, None)], "k int, a array<struct<n string, r struct<s int>>>")
     got = typed_table(df, {"k": F.col("k")}, F.col("a"), {"n": "n", "s": "r.s"}).collect()
     assert sorted(((r.k, r.pos, r.n or "~", r.s or 0) for r in got)) == [(1, 0, "~", 0), (1, 1, "a", 5)]
+
+
+def test_paths_found_are_grouped_by_their_ancestor(spark):
+    df = spark.createDataFrame([(1, '{"u":"x","o":[{"s":1,"t":"a"},null,{"s":2}],"v":["n"]}')], "k int, p string")
+    found = flat_tables(json_triples(df, "k", "p"))
+    assert set(found) == {"", "o[]", "v[]"} and found[""].first().u == "x"
+    assert sorted((r.ordinals[0], r.s, r.t or "~") for r in found["o[]"].fillna("~").collect()) == [(0, "1", "a"), (1, "~", "~"), (2, "2", "~")]
+    assert [(r.ordinals[0], r.value) for r in found["v[]"].collect()] == [(0, "n")]
+
+
+def test_raw_names_and_rules(spark, tmp_path):
+    payload = '[{"id.orig_h_name.vals":["a",null]},{"spcap.rule":7,"unmapped":{"spcap":{"rule":[8]}}}]'
+    spark.createDataFrame([(5, payload)], "raw_id long, payload string").write.parquet(f"{tmp_path}/conn_raw.parquet")
+    from fieldmill.queries.records import QUERIES
+
+    names = sorted(tuple(r) for r in QUERIES["p4_raw_names"](spark, str(tmp_path)).fillna("~").collect())
+    assert names == [("5", 0, 0, "a"), ("5", 0, 1, "~")]
+    assert sorted(tuple(r) for r in QUERIES["p4_raw_rules"](spark, str(tmp_path)).collect()) == [("5", 1, "spcap", 0, "7"), ("5", 1, "unmapped.spcap", 0, "8")]
