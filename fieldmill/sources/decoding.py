@@ -38,13 +38,18 @@ def resolve_compression(setting: str | None = "auto", header: str | None = None,
 
 
 def decompress(data: bytes, kind: str) -> bytes:
-    """The plain bytes; of gzip the first member."""
-    if kind == "gzip":
-        return zlib.decompressobj(wbits=31).decompress(data)
-    if kind == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    """The plain bytes; of gzip the first member. A stream that is cut off is refused; no bytes at all give none."""
+    if kind in ("gzip", "zstd"):
+        if kind == "gzip":
+            reader = zlib.decompressobj(wbits=31)
+        else:
+            import zstandard
+
+            reader = zstandard.ZstdDecompressor().decompressobj()
+        plain = reader.decompress(data)
+        if data and not reader.eof:
+            raise ValueError(f"the {kind} stream is cut off")
+        return plain
     if kind in ("none", "auto"):
         return data
     raise ValueError(f"unknown compression: {kind}")

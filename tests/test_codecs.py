@@ -91,3 +91,17 @@ def test_webhooks(spark):
     files = spark.createDataFrame([(1, "o/r", "s", "f", "﻿2025-11-25T20:22:08.9044760Z ##[group]Run npm publish --access public\r\n\r\nplain log without ts")], "run_id int, repo string, sha string, log_file string, content string")
     a, b = log_events(files).orderBy("pos").collect()
     assert a.message == "##[group]Run npm publish --access public" and a["key"].timestamp == "2025-11-25T20:22:08.9044760Z" and b.message == "plain log without ts" and b["key"] is None
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zstd"])
+def test_a_stream_cut_off_is_refused(spark, kind):
+    whole = compress("".join(f'{{"a":{i}}}\n' for i in range(50_000)).encode(), kind)
+    for cut in (whole[: len(whole) // 2], whole[:-1]):
+        with pytest.raises(ValueError):
+            decompress(cut, kind)
+        df = spark.createDataFrame([(cut,)], "c binary")
+        (row,) = decode(df, "c").collect()
+        assert row.raw is None and "cut off" in row.error
+        with pytest.raises(Exception):
+            decode(df, "c", on_error="fail").collect()
+    assert decompress(b"", kind) == b"" and spark.createDataFrame([(whole,)], "c binary").transform(lambda d: decode(d, "c")).count() == 50_000
