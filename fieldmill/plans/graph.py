@@ -7,10 +7,12 @@ the same DataFrame, and fans in by a union.
 from __future__ import annotations
 
 import importlib
+import logging
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.mapper import Mapper, apply, lines, parsed, split_malformed
 from ..session import durable
@@ -25,6 +27,8 @@ class Compiled:
     sinks: dict[tuple[str, str | None], DataFrame]
     #: What each plugin could not read, by name.
     quarantined: dict[str, DataFrame] = field(default_factory=dict)
+    #: (raw, error) of payloads that could not be decoded, by source.
+    undecoded: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def make_mapper(settings: dict) -> Mapper:
@@ -43,7 +47,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_source(spark: SparkSession, name: str, settings: dict, streaming: bool) -> DataFrame:
-    """(raw) of a configured source."""
+    """(raw) of a configured source; (raw, error) if its payloads may fail to decode, raw null where one did."""
     kind, how = settings["type"], settings.get("decoding") or {}
     form, compression = how.get("format", "ndjson"), how.get("compression", "auto")
     if kind == "file":
@@ -70,6 +74,10 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
     out: dict[tuple[str, str], DataFrame] = {}
     for name, settings in config.sources.items():
         out["source", name] = sources[name] if name in sources else read_source(spark, name, settings, streaming)
+    failed = {name: df for (_, name), df in out.items() if df.columns == ["raw", "error"]}
+    for name, df in failed.items():
+        out["source", name] = df.where(F.col("error").isNull()).select("raw")
+    undecoded = {name: df.where(F.col("error").isNotNull()) for name, df in failed.items()}
     quarantined: dict[str, DataFrame] = {}
     for node in config.order():
         origins = config.origins(node)
@@ -86,7 +94,7 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
     for a, b in config.edges:
         if b.kind == "sink" and (a.kind, a.name) in out:
             arriving.setdefault((b.name, b.key_prefix), []).append(out[a.kind, a.name])
-    return Compiled({k: frames[0] if len(frames) == 1 else _union([lines(f) for f in frames]) for k, frames in arriving.items()}, quarantined)
+    return Compiled({k: frames[0] if len(frames) == 1 else _union([lines(f) for f in frames]) for k, frames in arriving.items()}, quarantined, undecoded)
 
 
 def _write(config: Config, name: str, prefix: str | None, df: DataFrame) -> None:
@@ -100,27 +108,45 @@ def _write(config: Config, name: str, prefix: str | None, df: DataFrame) -> None
     write(df, folder, encoding, compression, prefix, schema)
 
 
+def _set_aside(config: Config, made: Compiled, count: bool) -> None:
+    """What could not be read, as JSON rows (kind, name, raw, error) in the folder `runtime.quarantine`; without one, counted and logged if asked for."""
+    kinds = [("plugin", n, df.select("raw", F.lit(None).cast("string").alias("error"))) for n, df in made.quarantined.items()]
+    kinds += [("source", n, df) for n, df in made.undecoded.items()]
+    folder = config.runtime.get("quarantine")
+    for kind, name, df in kinds:
+        if folder:
+            df.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "raw", "error").write.mode("append").json(folder)
+        elif count and (n := df.count()):
+            logging.getLogger(__name__).warning("%s %s: %d rows could not be read", kind, name, n)
+
+
 def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
-    """Every sink written from the sources as they are now."""
+    """Every sink written from the sources as they are now, and what could not be read into the folder `runtime.quarantine`, if there is one."""
     made = compile(spark, config, **more)
     for (name, prefix), df in made.sinks.items():
         _write(config, name, prefix, df)
+    _set_aside(config, made, count=False)
     return made
 
 
 def run_stream(spark: SparkSession, config: Config, checkpoint: str, mappers: dict[str, Mapper] | None = None, available_now: bool = False, trigger: str = "1 second") -> list:
-    """One query per source. A batch's source offsets are committed after all its sinks returned, so delivery is at least once."""
+    """One query per source. A batch's source offsets are committed after all its sinks returned, so delivery is at least once.
+
+    Malformed lines and undecodable payloads of a batch are written to the folder `runtime.quarantine`; without one they are counted in the log.
+    """
     started = []
     for name, settings in config.sources.items():
         stream = read_source(spark, name, settings, streaming=True)
         empty = spark.createDataFrame([], "raw string")
 
         def each(batch: DataFrame, _: int, name: str = name) -> None:
-            held = batch.select("raw").persist()
+            held = batch.select(*(c for c in ("raw", "error") if c in batch.columns)).persist()
             try:
                 given = {n: held if n == name else empty for n in config.sources}
-                for (sink, prefix), df in compile(spark, config, given, mappers).sinks.items():
+                made = compile(spark, config, given, mappers)
+                for (sink, prefix), df in made.sinks.items():
                     _write(config, sink, prefix, df)
+                _set_aside(config, made, count=True)
             finally:
                 held.unpersist()
 

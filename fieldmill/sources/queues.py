@@ -30,10 +30,10 @@ def kafka_options(bootstrap: str, topic: str, group_id: str = "fieldmill", secur
 
 
 def stream_kafka(spark: SparkSession, options: dict[str, str], form: str = "ndjson", compression: str = "auto") -> DataFrame:
-    """(raw) of a topic. The connector is not part of Spark's core; without its package this fails when it is called."""
+    """(raw, error) of a topic, raw null and the error told where a payload cannot be decoded. The connector is not part of Spark's core; without its package this fails when it is called."""
     messages = spark.readStream.format("kafka").options(**options).load()
     name = F.element_at(F.filter("headers", lambda h: F.lower(h["key"]) == "filename")["value"], 1).cast("string")
-    return decode(messages.select(F.col("value"), name.alias("filename")), "value", form, compression, "filename").where(F.col("error").isNull()).select("raw")
+    return decode(messages.select(F.col("value"), name.alias("filename")), "value", form, compression, "filename")
 
 
 def object_key(spelled: str) -> str:

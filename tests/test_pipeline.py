@@ -220,3 +220,58 @@ def test_synth(spark):
     with pytest.raises(ValueError):
         Synth({"$nope": 1}).record()
     assert generate(spark, t, 100).count() == 100
+
+
+@pytest.fixture
+def broken_stream(spark, tmp_path, monkeypatch):
+    """A configuration whose source has a malformed line and a payload that cannot be decoded."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.ndjson").write_text("\n".join(json.dumps(x) for x in FLAT) + "\n{broken\n")
+    (tmp_path / "in/b.ndjson").write_text("no object\n")
+
+    def source(spark, name, settings, streaming):
+        from fieldmill.sources.decoding import decode
+
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(str(tmp_path / "in"))
+        return decode(files, "content")
+
+    monkeypatch.setattr(G, "read_source", source)
+    return C.load(YAML, {"FOLDER": str(tmp_path)})
+
+
+def finish(queries):
+    for q in queries:
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+
+def test_a_stream_writes_its_quarantine(spark, tmp_path, broken_stream):
+    broken_stream.runtime["quarantine"] = str(tmp_path / "quarantine")
+    finish(G.run_stream(spark, broken_stream, str(tmp_path / "checkpoint"), available_now=True))
+    got = {(r.kind, r.name, r.raw, bool(r.error)) for r in spark.read.schema("kind string, name string, raw string, error string").json(str(tmp_path / "quarantine")).collect()}
+    assert got == {("plugin", "flat", "{broken", False), ("source", "in", None, True)}
+    assert spark.read.text(str(tmp_path / "out/p")).count() == 2
+
+
+def test_a_stream_without_a_folder_counts(spark, tmp_path, broken_stream, caplog):
+    finish(G.run_stream(spark, broken_stream, str(tmp_path / "checkpoint"), available_now=True))
+    assert sorted(r.getMessage() for r in caplog.records if r.name == G.__name__) == ["plugin flat: 1 rows could not be read", "source in: 1 rows could not be read"]
+
+
+def test_run_once_writes_its_quarantine(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.ndjson").write_text("{broken\n")
+    config = C.load(YAML, {"FOLDER": str(tmp_path)})
+    config.runtime["quarantine"] = str(tmp_path / "quarantine")
+    G.run_once(spark, config)
+    assert [(r.kind, r["name"], r.raw) for r in spark.read.json(str(tmp_path / "quarantine")).collect()] == [("plugin", "flat", "{broken")]
+
+
+def test_messages_that_cannot_be_decoded_leave_a_trace(spark):
+    from types import SimpleNamespace
+
+    from fieldmill.sources.queues import stream_kafka
+
+    rows = spark.createDataFrame([(b'{"a":1}', None), (b"oops", None)], "value binary, headers array<struct<key string, value binary>>")
+    reader = SimpleNamespace(format=lambda _: reader, options=lambda **_: reader, load=lambda: rows)
+    assert sorted((r.raw or "~", bool(r.error)) for r in stream_kafka(SimpleNamespace(readStream=reader), {}).collect()) == [('{"a":1}', False), ("~", True)]
