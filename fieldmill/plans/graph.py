@@ -7,6 +7,7 @@ the same DataFrame, and fans in by a union.
 from __future__ import annotations
 
 import importlib
+import json
 import logging
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapper import Mapper, apply, lines, parsed, split_malformed
-from ..session import durable
 from ..sinks.writers import discard, write
 from ..sources.files import read_records, stream_records
 from .config import Config, ConfigError, Node, encoding_of
@@ -29,6 +29,8 @@ class Compiled:
     quarantined: dict[str, DataFrame] = field(default_factory=dict)
     #: (raw, error) of payloads that could not be decoded, by source.
     undecoded: dict[str, DataFrame] = field(default_factory=dict)
+    #: Frames kept for several readers, to be given up after use.
+    kept: list[DataFrame] = field(default_factory=list)
 
 
 def make_mapper(settings: dict) -> Mapper:
@@ -65,10 +67,11 @@ def read_source(spark: SparkSession, name: str, settings: dict, streaming: bool)
     raise ConfigError(f"source {name}: a {kind} source is read by its functions in fieldmill.sources and given to compile()")
 
 
-def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] | None = None, mappers: dict[str, Mapper] | None = None, routing: str = "dag", streaming: bool = False) -> Compiled:
+def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] | None = None, mappers: dict[str, Mapper] | None = None, routing: str = "dag", streaming: bool = False, keep: bool = False) -> Compiled:
     """sources and mappers given here replace configured ones of the same name.
 
     routing `dag` sends a record to the plugins its edges name; `broadcast` to every plugin, once for each edge to a plugin.
+    keep persists what several nodes read of one plugin, so that it is computed once.
     """
     sources, mappers = dict(sources or {}), dict(mappers or {})
     out: dict[tuple[str, str], DataFrame] = {}
@@ -79,6 +82,7 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
         out["source", name] = df.where(F.col("error").isNull()).select("raw")
     undecoded = {name: df.where(F.col("error").isNotNull()) for name, df in failed.items()}
     quarantined: dict[str, DataFrame] = {}
+    kept: list[DataFrame] = []
     for node in config.order():
         origins = config.origins(node)
         if routing == "broadcast":
@@ -90,14 +94,17 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
         quarantined[node.name] = bad.select("raw")
         mapper = mappers.get(node.name) or make_mapper(config.plugins[node.name])
         out["plugin", node.name] = apply(records, mapper)
+        if keep and len(config.targets(node)) > 1:
+            out["plugin", node.name] = out["plugin", node.name].persist()
+            kept.append(out["plugin", node.name])
     arriving: dict[tuple[str, str | None], list[DataFrame]] = {}
     for a, b in config.edges:
         if b.kind == "sink" and (a.kind, a.name) in out:
             arriving.setdefault((b.name, b.key_prefix), []).append(out[a.kind, a.name])
-    return Compiled({k: frames[0] if len(frames) == 1 else _union([lines(f) for f in frames]) for k, frames in arriving.items()}, quarantined, undecoded)
+    return Compiled({k: frames[0] if len(frames) == 1 else _union([lines(f) for f in frames]) for k, frames in arriving.items()}, quarantined, undecoded, kept)
 
 
-def _write(config: Config, name: str, prefix: str | None, df: DataFrame) -> None:
+def _write(config: Config, name: str, prefix: str | None, df: DataFrame, batch: str | None = None) -> None:
     s = config.sinks[name]
     if s["type"] == "blackhole":
         discard(df)
@@ -105,7 +112,7 @@ def _write(config: Config, name: str, prefix: str | None, df: DataFrame) -> None
     encoding, compression = encoding_of(s)
     folder = s["path"] if s["type"] == "file" else f"s3a://{s['bucket_name']}"
     schema = s["encoding"].get("schema") if isinstance(s.get("encoding"), dict) else None
-    write(df, folder, encoding, compression, prefix, schema)
+    write(df, folder, encoding, compression, prefix, schema, batch=batch)
 
 
 def _set_aside(config: Config, made: Compiled, count: bool) -> None:
@@ -121,43 +128,54 @@ def _set_aside(config: Config, made: Compiled, count: bool) -> None:
 
 
 def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
-    """Every sink written from the sources as they are now, and what could not be read into the folder `runtime.quarantine`, if there is one."""
-    made = compile(spark, config, **more)
-    for (name, prefix), df in made.sinks.items():
-        _write(config, name, prefix, df)
-    _set_aside(config, made, count=False)
+    """Every sink written from the sources as they are now, and what could not be read into the folder `runtime.quarantine`, if there is one.
+
+    The records of a plugin that several nodes read are kept on the executors until all sinks are written.
+    """
+    made = compile(spark, config, keep=True, **more)
+    try:
+        for (name, prefix), df in made.sinks.items():
+            _write(config, name, prefix, df)
+        _set_aside(config, made, count=False)
+    finally:
+        for df in made.kept:
+            df.unpersist()
     return made
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint; it survives restarts, and a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+
+
 def run_stream(spark: SparkSession, config: Config, checkpoint: str, mappers: dict[str, Mapper] | None = None, available_now: bool = False, trigger: str = "1 second") -> list:
-    """One query per source. A batch's source offsets are committed after all its sinks returned, so delivery is at least once.
+    """One query per source. A batch's source offsets are committed after all its sinks returned.
 
-    Malformed lines and undecodable payloads of a batch are written to the folder `runtime.quarantine`; without one they are counted in the log.
+    A batch's objects are named by the query and the number of the batch, so a batch that runs again after a failure replaces what it wrote
+    before. Malformed lines and undecodable payloads of a batch are written to the folder `runtime.quarantine`; without one they are
+    counted in the log.
     """
     started = []
     for name, settings in config.sources.items():
         stream = read_source(spark, name, settings, streaming=True)
         empty = spark.createDataFrame([], "raw string")
 
-        def each(batch: DataFrame, _: int, name: str = name) -> None:
+        def each(batch: DataFrame, number: int, name: str = name) -> None:
             held = batch.select(*(c for c in ("raw", "error") if c in batch.columns)).persist()
+            made = None
             try:
                 given = {n: held if n == name else empty for n in config.sources}
-                made = compile(spark, config, given, mappers)
+                made = compile(spark, config, given, mappers, keep=True)
                 for (sink, prefix), df in made.sinks.items():
-                    _write(config, sink, prefix, df)
+                    _write(config, sink, prefix, df, f"{_query_id(spark, f'{checkpoint}/{name}')}-{number:08d}")
                 _set_aside(config, made, count=True)
             finally:
-                held.unpersist()
+                for df in [held, *(made.kept if made else [])]:
+                    df.unpersist()
 
         writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/{name}")
         started.append((writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start())
     return started
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A node's records computed once for several consumers."""
-    return durable(df)
-
-
-__all__ = ["Compiled", "Node", "compile", "make_mapper", "run_once", "run_stream", "settle"]
+__all__ = ["Compiled", "Node", "compile", "make_mapper", "run_once", "run_stream"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..functions.paths import access
 from ..operators.mapper import Mapper, parsed, split_malformed
 from ..operators.predicates import Eq, Gt, Has, Selector
 from ..plans.config import load
-from ..plans.graph import compile
+from ..plans.graph import compile, run_stream
 from ..session import ensure_checkpoint_dir
 from ..sinks.writers import write
 from ..sources.decoding import compress, decode
@@ -169,18 +168,97 @@ def _flat_events(spark, sf_dir) -> DataFrame:
 def _round_trip(encoding: str, compression: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = _folder(spark)
-        plain = urlparse(folder).path
-        write(_flat_events(spark, sf_dir), plain if encoding == "json" or compression == "zstd" and encoding == "ndjson" else folder, encoding, compression)
+        write(_flat_events(spark, sf_dir), folder, encoding, compression)
         if encoding == "parquet":
             return spark.read.parquet(folder)
-        rows = read_records(spark, folder, "json-array" if encoding == "json" else "ndjson")
-        return rows.select(F.from_json("raw", "event_id bigint, msg string, value double").alias("r")).select("r.*")
+        return _read_back(spark, folder, encoding)
+
+    return query
+
+
+def _read_back(spark: SparkSession, folder: str, encoding: str) -> DataFrame:
+    rows = read_records(spark, folder, "json-array" if encoding == "json" else "ndjson")
+    return rows.select(F.from_json("raw", "event_id bigint, msg string, value double").alias("r")).select("r.*")
+
+
+def _append_twice(encoding: str, compression: str):
+    """Two appends to one folder: what the first wrote stays."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, rows = _folder(spark), _flat_events(spark, sf_dir)
+        for half in (0, 1):
+            write(rows.where(F.col("event_id") % 2 == half), folder, encoding, compression)
+        return _read_back(spark, folder, encoding)
 
     return query
 
 
+def batch_written_again(spark, sf_dir):
+    """A micro-batch that is written twice, as after a failure, beside another one: every record is there once."""
+    folder, rows = _folder(spark), _flat_events(spark, sf_dir)
+    for half in (0, 1, 0):
+        write(rows.where(F.col("event_id") % 2 == half), folder, "ndjson", "zstd", batch=f"q-{half:08d}")
+    return _read_back(spark, folder, "ndjson")
+
+
+def sink_overwrite(spark, sf_dir):
+    """A sink in mode overwrite keeps the last writing only."""
+    folder, rows = _folder(spark), _flat_events(spark, sf_dir)
+    for half in (0, 1):
+        write(rows.where(F.col("event_id") % 2 == half), folder, "json", "gzip", mode="overwrite")
+    return _read_back(spark, folder, "json")
+
+
+_STREAM = """
+sources: {{in: {{type: file, path: "{0}/in"}}}}
+plugins: {{flat: {{}}}}
+sinks:
+  out: {{type: file, path: "{0}/out", encoding: ndjson, compression: zstd}}
+runtime: {{quarantine: "{0}/quarantine"}}
+dag:
+  - {{from: {{kind: source, name: in}}, to: [{{kind: plugin, name: flat}}]}}
+  - {{from: {{kind: plugin, name: flat}}, to: [{{kind: sink, name: out, key_prefix: some/place}}]}}
+"""
+
+
+class _Whole(Mapper):
+    """Event records as they are."""
+
+    def selectors(self):
+        return [Selector()]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        v = F.col("v")
+        return df.select(S.bigint(access(v, "event_id")).alias("event_id"), S.string(access(v, "msg")).alias("msg"), S.double(access(v, "value")).alias("value"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the sink and the quarantine of a stream of two batches, in which every seventh record is cut off."""
+    folder = _folder(spark)
+    config = load(_STREAM.format(folder))
+    for half in (0, 1):
+        raw = F.to_json(F.struct("event_id", "msg", "value"))
+        broken = F.when(F.col("event_id") % 7 == 0, F.substring(raw, 1, 20)).otherwise(raw)
+        _flat_events(spark, sf_dir).where(F.col("event_id") % 2 == half).select(broken.alias("value")).write.mode("append").text(f"{folder}/in")
+        for q in run_stream(spark, config, f"{folder}/checkpoint", {"flat": _Whole()}, available_now=True):
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
+    return folder
+
+
+def stream_two_batches(spark, sf_dir):
+    return _read_back(spark, f"{_streamed(spark, sf_dir)}/out/some/place", "ndjson")
+
+
+def quarantine_written(spark, sf_dir):
+    """What a stream could not read, from its quarantine folder."""
+    return spark.read.schema("kind string, name string, raw string, error string").json(f"{_streamed(spark, sf_dir)}/quarantine").select("kind", "name", "raw")
+
+
 QUERIES = {f.__name__: f for f in (route_fanout, route_fanin, route_chain, route_key_prefix_counts, malformed_quarantined, decode_fallback_raw, logline_split, ci_log_events)}
-QUERIES |= {"recent_versions": recent_versions_query}
+QUERIES |= {"recent_versions": recent_versions_query} | {f.__name__: f for f in (batch_written_again, sink_overwrite, stream_two_batches, quarantine_written)}
+QUERIES |= {"append_twice_zstd": _append_twice("ndjson", "zstd"), "append_twice_json": _append_twice("json", "none"), "append_twice_gzip": _append_twice("ndjson", "gzip")}
 QUERIES |= {
     "decode_json_array": _decoded("json-array"), "decode_ndjson": _decoded("ndjson"), "decode_msgpack": _decoded("msgpack"), "decode_gzip_lines": _decoded("ndjson", "gzip"), "decode_zstd_array": _decoded("json-array", "zstd"),
     "encode_ndjson_roundtrip": _round_trip("ndjson", "none"), "encode_ndjson_gzip_roundtrip": _round_trip("ndjson", "gzip"), "encode_ndjson_zstd_roundtrip": _round_trip("ndjson", "zstd"),
@@ -188,7 +266,11 @@ QUERIES |= {
 }
 
 _FLAT = "SELECT event_id, event_type AS msg, value FROM events"
-SQL = {name: _FLAT for name in QUERIES if name.startswith(("decode_json", "decode_nd", "decode_ms", "decode_g", "decode_z", "encode_"))} | {
+SQL = {name: _FLAT for name in QUERIES if name.startswith(("decode_json", "decode_nd", "decode_ms", "decode_g", "decode_z", "encode_", "append_"))} | {
+    "batch_written_again": _FLAT,
+    "sink_overwrite": _FLAT + " WHERE event_id % 2 = 1",
+    "stream_two_batches": _FLAT + " WHERE event_id % 7 <> 0",
+    "quarantine_written": """SELECT 'plugin' AS kind, 'flat' AS name, substr('{"event_id":' || event_id || ',"msg":"' || event_type || '"', 1, 20) AS raw FROM events WHERE event_id % 7 = 0""",
     "route_fanout": """SELECT event_id, 'a' AS branch, 'x' AS sink, '' AS prefix FROM events WHERE user_id = 3
         UNION ALL SELECT event_id, 'b', s, '' FROM events, (VALUES ('x'), ('y')) AS t(s) WHERE value > 80""",
     "route_fanin": "SELECT event_id, 'a' AS branch, 'x' AS sink, '' AS prefix FROM events",

@@ -37,17 +37,35 @@ def resolve_compression(setting: str | None = "auto", header: str | None = None,
     return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else "none"
 
 
+def _unzstd(data: bytes) -> tuple[bytes, bool]:
+    """The plain bytes of all frames, and whether the last one is whole. Skippable frames are skipped."""
+    import zstandard
+
+    out = []
+    while data:
+        if data[1:4] == b"\x2a\x4d\x18" and 0x50 <= data[0] <= 0x5F:
+            end = 8 + int.from_bytes(data[4:8], "little")
+            if len(data) < max(end, 8):
+                return b"".join(out), False
+            data = data[end:]
+            continue
+        reader = zstandard.ZstdDecompressor().decompressobj()
+        out.append(reader.decompress(data))
+        if not reader.eof:
+            return b"".join(out), False
+        data = reader.unused_data
+    return b"".join(out), True
+
+
 def decompress(data: bytes, kind: str) -> bytes:
-    """The plain bytes; of gzip the first member. A stream that is cut off is refused; no bytes at all give none."""
+    """The plain bytes; of gzip the first member, of zstd all frames. A stream that is cut off is refused; no bytes at all give none."""
     if kind in ("gzip", "zstd"):
         if kind == "gzip":
             reader = zlib.decompressobj(wbits=31)
+            plain, whole = reader.decompress(data), reader.eof
         else:
-            import zstandard
-
-            reader = zstandard.ZstdDecompressor().decompressobj()
-        plain = reader.decompress(data)
-        if data and not reader.eof:
+            plain, whole = _unzstd(data)
+        if data and not whole:
             raise ValueError(f"the {kind} stream is cut off")
         return plain
     if kind in ("none", "auto"):
