@@ -173,9 +173,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("flagged").select(F.col("key").cast("bigint").alias("doc_id"))
 
 
+def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the corpus alone shows to be residue, without the detectors, and the weights that decide it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "cells", "path", "repo")
+    found = residue.residue(docs, "doc_id", "text", "cells", "path", "repo", detectors=False)
+    return found.where("flagged").select(F.col("key").cast("bigint").alias("doc_id"), "learned", "total")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_hosts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found)
+    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_hosts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_corpus)
 }
 
 _PERCENTILES = """

@@ -1,9 +1,13 @@
 """Documents that hold template residue, filler, error-page messages or script notices in place of content.
 
-A document is taken apart into units, the sentences and placeholders of its cells, without cell marks, layout and the frame of the
-site it was taken from. A unit is residue if a detector knows its kind, or if the corpus shows it: the same wording, its numbers and
-ids removed, is duplicated over documents of several hosts, most of which say nothing else and nothing that their address or title
-names. A document is flagged if most of its text by weight is residue, where code and what code prints never count as residue.
+No list says what residue reads like: the corpus does. A document is taken apart into the sentences of its cells, without cell marks and
+markup, and every sentence into pairs of neighbouring words. A document is mismatched if it is low in information, that
+is in different words, none of its code was run and no term of its address slug comes back in its title or body. A word pair is residue if it is duplicated over several hosts
+and at least a set share of all documents that hold it, real ones counted, are mismatched: what sites send in place of content
+comes again and again under addresses and titles it says nothing about, while real wording comes mostly in documents that run
+or speak of what their address names. A sentence most of whose pairs are residue is residue. Two detectors of placeholders support this,
+which know form and not wording: names enclosed in marks of templates, and sentences that repeat a few words over and over. A
+document is flagged if most of its text by weight is residue.
 """
 
 from __future__ import annotations
@@ -11,17 +15,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from itertools import product
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import col
+from ..session import broadcast_if_small, col, durable
 
-# Words of the detectors --------------------------------------------------------------------------------
+# Detectors and markup --------------------------------------------------------------------------------------------------
 
 #: Marks that enclose the name of a value to be filled in.
 _SLOT = r"[A-Za-z][A-Za-z0-9_ .\-]{0,60}"
@@ -35,76 +36,18 @@ _HTML = {
     "html", "i", "iframe", "img", "input", "li", "link", "main", "meta", "nav", "noscript", "ol", "p", "pre", "script", "section", "small", "span", "strong", "style",
     "table", "tbody", "td", "th", "thead", "title", "tr", "u", "ul", "font", "label", "svg",
 }
-#: Instructions to fill something in.
-_FILL_IN = re.compile(
-    r"""\[\s*(?:insert|add|enter|type|put|your)\b[^\]\n]{0,60}\]|\[[^\]\n]{1,60}\bgoes\ here\s*\]
-    |\(\s*(?:click|tap)\ (?:here\ )?to\ (?:edit|add|change)\b[^)\n]{0,60}\)
-    |\breplace\ (?:this|me)(?:\ text)?\ with\b[^.,:;\n]{0,60}\.?
-    |\byour\ [\w ]{1,40}?\ (?:goes\ )?here\b\.?
-    |\b(?:TODO|FIXME|TBD)\s*:?\s*(?:describe|write|add|fill\ in|insert|explain)\b[^.,:;\n]{0,60}
-    |\[[^\]\n]{1,60}\bhier\ (?:einf(?:ü|ue)gen|eintragen|eingeben)\s*\]|\bhier\ [^.,:;()\[\]\n]{1,60}?\ (?:eintragen|einf(?:ü|ue)gen|eingeben)\b
-    |\(\s*(?:zum|zur)\ (?:bearbeiten|bearbeitung)\b[^)\n]{0,60}\)|\bersetzen\ sie\ (?:dies|diesen|den)\b[^.,:;\n]{0,60}\.?|\b(?:ihr|ihre)\ [\w ]{1,40}?\ hier\b
-    |\[\s*(?:ins[ée]rer|saisir|ajouter)\b[^\]\n]{0,60}\]|\(\s*cliquer?z?\ pour\ (?:modifier|ajouter|[ée]diter)\b[^)\n]{0,60}\)|\bremplace[zr]\ ce(?:ci|\ texte)?\ par\b[^.,:;()\[\]\n]{0,60}
-    |\bvotre\ [\w ]{1,40}?\ ici\b|à\ (?:faire|compléter)\s*:\s*(?:décrire|décrivez)\b[^.,:;\n]{0,60}
-    |\[\s*(?:inserte|insertar|escriba|a[ñn]ada)\b[^\]\n]{0,60}\]|\(\s*(?:haga\ )?clic\ (?:aqu[íi]\ )?para\ (?:editar|modificar|cambiar)\b[^)\n]{0,60}\)|\(\s*pulse\ para\ (?:editar|modificar|cambiar)\b[^)\n]{0,60}\)
-    |\b(?:sustituya|reemplace)\ (?:este\ texto|esto)\ (?:por|con)\b[^.,:;()\[\]\n]{0,60}|\bsu\ [\w ]{1,40}?\ aqu[íi]\b
-    |[［\[（(][^］\]）)\n]{1,60}(?:をここに(?:入力|記入|挿入)|を(?:クリックして)?編集|を入力|を記入)[^］\]）)\n]{0,20}[］\]）)]|ここに[\w ]{1,40}?を(?:入力|記入|挿入|書い|書き|入れ)(?:し?て?ください|込んでください|て)?
-    |この(?:文|文章|テキスト)を[\w ]{1,40}?(?:に|と)(?:置き換え|差し替え|書き換え)(?:てください|る)?|[\w ]{1,40}?を編集するにはクリック|クリックして[\w ]{1,40}?を編集""",
-    re.I | re.X,
-)
-#: Filler that a keyboard or habit gives, repeated at will.
-_BABBLE = re.compile(
-    r"\b(?:asdf|qwer(?:ty|tz)?|tzui|hjkl|jkl[ö;]?|foo|bar|baz|bla|blah|yada|abc|xyz|xxx+|dummy|test|text|123|lorem|ipsum|sample|placeholder|faux texte|texto de relleno|texte|relleno|fülltext|blindtext|mustertext|platzhalter)\b|ああ+|テスト|ダミー|テキスト",
-    re.I,
-)
-#: Words of pseudo-Latin filler; more are learnt from the corpus by the company they keep.
-_LATIN = re.compile(r"^(?:lorem|ipsum|dolor|amet|aliqua|consectetur|adipiscing|elit|tempor|incididunt|labore|magna|minim|veniam|nostrud|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|sed|eiusmod)$")
-
-_JS = r"(?:java\s?scripts?|js|scripts?|scripting|ecmascript)"
-#: Notices that scripts are needed.
-_NOTICE = re.compile(
-    rf"""\b(?:enable|activate|allow|permit|turn\ on|switch\ on|re-?enable|unblock)\b[^.!?\n]{{0,30}}\b{_JS}\b|\b{_JS}\b[^.!?\n]{{0,40}}\b(?:is|are|was|has\ been)\b[^.!?\n]{{0,20}}\b(?:disabled|required|needed|necessary|off|not\ available|unavailable|blocked|not\ supported|not\ enabled)\b
-    |\b(?:needs?|requires?|without|depends\ on)\b[^.!?\n]{{0,20}}\b{_JS}\b|\b{_JS}\b\ (?:disabled|required|needed)\b|allow\ it\ for\ this\ (?:site|domain)|your\ browser\ has\ it\ switched\ off|does\ not\ support\ it
-    |\b(?:aktivieren|erlauben|einschalten|zulassen|schalten)\b[^.!?\n]{{0,40}}\b{_JS}\b|\b{_JS}\b[^.!?\n]{{0,50}}\b(?:deaktiviert|aktivieren|erlauben|erforderlich|ben[öo]tigt|ausgeschaltet|einschalten|zulassen)\b|\b(?:ben[öo]tigt|braucht|erfordert|ohne)\b[^.!?\n]{{0,20}}\b{_JS}\b
-    |\b(?:activez|activer|autorisez|autoriser|permettez|n[ée]cessite|requiert|sans)\b[^.!?\n]{{0,40}}\b{_JS}\b|\b{_JS}\b[^.!?\n]{{0,50}}\b(?:d[ée]sactiv[ée]e?|n[ée]cessaire|requis|activ[ée])
-    |\b(?:active|activar|habilite|habilitar|permita|permitir|requiere|necesita|sin)\b[^.!?\n]{{0,40}}\b{_JS}\b|\b{_JS}\b[^.!?\n]{{0,50}}\b(?:desactivad|deshabilitad|necesari|requerid|habilit)
-    |{_JS}\s?(?:を|が|は)[^。\n]{{0,30}}(?:許可|有効|無効|必要|オンに|オフ)|(?:許可|有効)[^。\n]{{0,20}}{_JS}""",
-    re.I | re.X,
-)
-_THING = r"(?:page|file|notebook|document|preview|request|resource|site|server|service|upstream(?:\ host)?|host|link|address|url|content|view|app|cell)s?"
-_CODE = r"(?:4\d\d|5\d\d)"
-_ALONE = rf"^\W*{_CODE}\W*$"
-#: Messages of an error page.
-_ERROR = re.compile(
-    rf"""\b{_CODE}\b\s+(?:not\ found|forbidden|gone|unauthori[sz]ed|bad\ (?:request|gateway)|service\ unavailable|internal\ server\ error|too\ many\ requests|gateway\ time-?out|request\ time-?out)
-    |^\W*(?:not\ found|forbidden|gone|unauthori[sz]ed|bad\ (?:request|gateway)|service\ (?:temporarily\ )?unavailable|internal\ server\ error|too\ many\ requests|gateway\ time-?out|access\ denied|permission\ denied)\W*$
-    |\b(?:error|status|code|http|fehler|erreur|estado|c[óo]digo|statut|エラー|error\ del\ servidor)\b\W{{0,3}}{_CODE}\b|{_ALONE}|エラー\s*{_CODE}
-    |\b{_THING}\b[^.!?\n]{{0,60}}\b(?:not\ be\ (?:found|rendered|displayed|loaded|opened|shown|reached|processed|completed)|cannot\ be\ (?:found|rendered|displayed|loaded|opened|shown|reached)|is\ not\ available|is\ unavailable|is\ no\ longer\ available|does\ not\ exist|no\ longer\ exists?|failed\ to\ load|timed\ out|took\ too\ long|was\ (?:refused|moved|removed|deleted)|(?:has|have)\ been\ (?:removed|moved|deleted|renamed)|is\ denied|returned\ (?:status|an\ error)|is\ down|did\ not\ respond|closed\ the\ connection|could\ not\ be)
-    |\b(?:we|you)\b[^.!?\n]{{0,20}}(?:can['’]?t|cannot|could\ not|couldn['’]?t|do\ not\ have)\b[^.!?\n]{{0,20}}\b(?:find|access|permission|{_THING})\b|something\ went\ wrong|unable\ to\ (?:load|find|display|render|open|connect)|went\ wrong\ on\ our
-    |\btoo\ many\ requests\b|\bslow\ down\b|zu\ viele\ anfragen|trop\ de\ (?:requ[êe]tes|demandes)|demasiadas\ (?:solicitudes|peticiones)|リクエストが多すぎ
-    |\baccess\ (?:to\ this\ \w+\ )?(?:is\ |was\ )?denied|down\ for\ maintenance|under\ maintenance|(?:try\ again|come\ back)\ (?:in\ a\ few|later)|contact\ the\ (?:site\ )?(?:owner|administrator|webmaster)|^\W*oops\b|back\ to\ the\ (?:start|home)\ ?page|^\W*request\ id\b
-    |\b(?:seite|datei|notebook|vorschau|dokument|anfrage|ressource|dienst|server|blatt)\b[^.!?\n]{{0,70}}(?:nicht\ (?:gefunden|geladen|angezeigt|verf[üu]gbar|erreichbar|mehr|ge[öo]ffnet)|verschoben|gel[öo]scht|entfernt|existiert\ nicht|antwortet\ nicht|abgelehnt|abgelaufen|umbenannt)|zugriff\ verweigert|versuchen\ sie\ es\ (?:sp[äa]ter|in)|wegen\ wartung|zur[üu]ck\ zur\ startseite|^\W*vorgangsnummer
-    |\b(?:page|feuille|fichier|carnet|ressource|pr[ée]visualisation|aper[çc]u|service|serveur|demande|document)\b[^.!?\n]{{0,70}}(?:n['’]a\ pas\ (?:pu|[ée]t[ée])|n['’]est\ (?:pas|plus)|n['’]existe\ (?:pas|plus)|ne\ r[ée]pond\ pas|introuvable|a\ [ée]t[ée]\ (?:supprim|d[ée]plac|refus|renomm)|indisponible|en\ maintenance)|impossible\ d['’](?:afficher|ouvrir|acc[ée]der)|impossible\ de\ (?:charger|trouver)|acc[èe]s\ refus[ée]|(?:revenez|r[ée]essayez)\ (?:plus\ tard|dans)|en\ maintenance|retour\ [àa]\ l['’]accueil|^\W*r[ée]f[ée]rence\s?:\s?[0-9a-f]
-    |\b(?:p[áa]gina|archivo|cuaderno|copia|hoja|recurso|vista\ previa|servicio|servidor|solicitud|documento)\b[^.!?\n]{{0,70}}(?:no\ (?:se\ (?:encontr|pudo|puede|ha\ podido)|est[áa]|existe|responde|disponible)|ya\ no|ha\ sido|fue\ (?:eliminad|movid|rechazad)|se\ ha\ (?:movido|eliminado)|eliminad|movid)|no\ se\ (?:encontr[óo]|pudo|puede|ha\ podido)\b[^.!?\n]{{0,60}}|acceso\ denegado|int[ée]ntelo\ (?:de\ nuevo|m[áa]s\ tarde)|vuelva\ m[áa]s\ tarde|en\ mantenimiento|volver\ al\ inicio|^\W*referencia\s?:\s?[0-9a-f]
-    |(?:ページ|ファイル|ノートブック|プレビュー|サーバー?|リソース|文書|サービス|アクセス|お探し|ご指定)[^。\n]{{0,40}}(?:見つかりません|読み込め|表示でき|利用でき|存在しません|応答|拒否|削除|移動|メンテナンス|ありません|できません)|(?:しばらく|後ほど|後で)[^。\n]{{0,20}}(?:お試し|再度|アクセス|お越し)|アクセスが拒否|メンテナンス中|トップ(?:ページ)?へ戻る|^\W*受付番号""",
-    re.I | re.X | re.M,
-)
-#: The frame of a site: navigation, banners, versions. It counts neither way.
-_FRAME = re.compile(
-    r"""^\W*(?:skip\ to\ (?:main\ )?content|menu\W*|home(?:\W+\w+(?:\ \w+)?){1,4}|status\ page|©.{0,40}|v\d+(?:\.\d+)+|start\s+suche\s+anmelden|inicio\W+cuadernos|accueil\W+carnets|sign\ in|log\ in|search|notebooks
-    |ホーム.{0,20}|loading\s?…|(?:request\ id|vorgangsnummer|r[ée]f[ée]rence|referencia|受付番号)\W*[0-9a-f\-]*)\W*$""",
-    re.I | re.X,
-)
-_STUB = re.compile(r"^\W*(?:title|untitled|notebook|pass|\.\.\.|print\(['\"]\w*['\"]\)|todo|none|null|-)?\W*$", re.I)
-
-# Units ---------------------------------------------------------------------------------------------------------------
+# Sentences -----------------------------------------------------------------------------------------------------------
 
 _MARKER = re.compile(r"^\s*(?:#\s*%%\s*(?:\[\w+\])?|#\s*output|```\s*(?:out|\w{0,12})?)\s*$")
 _PROMPT = re.compile(r"^\s*(In|Out)\s?\[\s*\d*\s*\]:\s?")
 _TAG = re.compile(r"</?(?:%s)\b[^<>]*>|<!--.*?-->|<!doctype[^>]*>" % "|".join(sorted(_HTML, key=len, reverse=True)), re.I | re.S)
-_MESSAGE = re.compile(r'\{\s*"(?:error|fault|detail|status)"\s*:\s*\{?.{0,60}?"(?:message|msg|reason)"\s*:\s*"((?:[^"\\]|\\.)*)"[^\n]*', re.I)
+#: A key of a JSON object, and what encloses values: markup, like tags.
+_KEY = re.compile(r'"[A-Za-z_]\w*"\s*:|[{}]')
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])(?<!\d\.)\s*(?=\S)")
 _ID = re.compile(r"\b[0-9a-f]{6,}(?:-[0-9a-f]{3,})*\b|\d+", re.I)
+#: A word; of scripts without blanks, a character.
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+")
+_SOFT = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def cells_of(text: str, cells) -> list[tuple[str, str]]:
@@ -144,283 +87,94 @@ def weight(text: str) -> int:
     return sum(map(len, _WORDS.findall(text))) + len(_WIDE.findall(text))
 
 
-_LEET = re.compile(r"(?<=[A-Za-z])3(?=[A-Za-z\W]|$)|(?<![A-Za-z0-9])3(?=[A-Za-z])")
-
-
-_SOFT = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
-_BLANKS = re.compile(r"[ \t\u00a0\u2000-\u200a\u202f\u3000]{2,}|[\t\u00a0\u2000-\u200a\u202f\u3000]")
+def sentences(cell: str) -> Iterator[str]:
+    """The sentences of a cell without cell marks, prompts and markup."""
+    if not cell.isascii():
+        cell = _SOFT.sub("", cell)
+    if "<" in cell:
+        cell = _TAG.sub("\n", cell)
+    for line in cell.split("\n"):
+        if not line or line.isspace() or _MARKER.match(line):
+            continue
+        line = _PROMPT.sub("", line) if "]:" in line else line
+        if line.lstrip()[:1] == "{" and '":' in line:
+            line = _KEY.sub(" ", line)
+        yield from (x for x in _SENTENCE.split(line.strip()) if x)
 
 
-def plain(text: str) -> str:
-    """A text with runs of blanks as one blank, soft marks gone, and 3 for e undone where it stands in words."""
-    text = _BLANKS.sub(" ", text if text.isascii() else _SOFT.sub("", text))
-    return _LEET.sub("e", text) if "3" in text and len(_LEET.findall(text)) >= 2 else text
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence in lower case, numbers and ids as 0."""
+    return _WORD.findall(_ID.sub("0", sentence.lower()))
 
 
 #: One of these is in every match of _MARKED.
 _MARKS = re.compile(r"[{<_\[@%＜]")
-_GAP = re.compile(r"[ \t ]+")
-
-
-def _lines(text: str) -> list[str]:
-    """The lines of a cell without tags and wrappers."""
-    if "{" in text:
-        text = _MESSAGE.sub(lambda m: "\n" + m.group(1) + "\n", text)
-    return (_TAG.sub("\n", text) if "<" in text else text).split("\n")
-
 
-def _sentences(line: str) -> list[str]:
-    if _MARKER.match(line):
-        return []
-    marked = _MARKS.search(line) and _MARKED.search(line)
-    line = (_PROMPT.sub("", line) if "]:" in line else line).strip().lstrip("#*-> ").strip("* " if marked else "*`_ ")
-    return [x for x in _SENTENCE.split(_GAP.sub(" ", line)) if x]
 
-
-def units_of(text: str) -> list[str]:
-    """The sentences of a cell without marks, tags and wrappers."""
-    return [x for line in _lines(text) for x in _sentences(line)]
-
-
-def skeleton(unit: str) -> str:
-    """A unit's wording: case, numbers, ids and spacing removed."""
-    return re.sub(r"\W+", " ", _ID.sub("0", unit.lower())).strip()
-
-
-#: Words that hold sentences of real languages together.
-_FUNCTION = frozenset(
-    "the a an of and to in is are was were be this that it we our you your for on with as by not or from at has have can will if but i'd"
-    " der die das ein eine und ist sind war nicht mit für von zu im den dem des auf wir sie es nach über ohne"
-    " le la les l un une des de du et est sont pas pour dans sur avec nous notre ce cette il elle au aux n d"
-    " el los las una y es son no para en con por nuestro su al del lo se que o e di il che per non um os as do da".split()
-)
-
-
-_TOKENS = re.compile(r"\w+")
-_DRAWL = re.compile(r"ああ+|xxx+|(?:bla)+")
-
-
-def _babble(unit: str, known: bool = True) -> bool:
-    """known: whether a word of filler may be in the unit."""
-    if not known and len(unit) < 15 and unit.isascii() and _WORDS.search(unit):
-        return False  # too short for eight words
-    words = _TOKENS.findall(unit.lower())
-    if len(words) < 2:
-        return bool(_DRAWL.fullmatch("".join(words)))
-    if len(words) >= 8 and len(set(words)) <= 0.35 * len(words) and not any(w[0].isdigit() for w in words):
-        return True
-    if not known and _WORDS.search(unit):
+def placeholder(sentence: str, whole: int) -> bool:
+    """Whether little but enclosed names is in a sentence of so much weight."""
+    if not _MARKS.search(sentence):
         return False
-    whole = weight(unit)
-    kept = weight(_BABBLE.sub(" ", unit))
-    return kept <= 0.2 * whole and (len(words) >= 4 or len(set(words)) < len(words))
-
-
-#: A longer run of words is a message only if this share of it is made up of known ones; otherwise it speaks about one.
-MESSAGE_WORDS, MESSAGE_SHARE = 14, 0.3
-
-
-def _covered(unit: str) -> int:
-    return sum(len(m.group()) for pattern in (_NOTICE, _ERROR) for m in pattern.finditer(unit))
+    left = _MARKED.sub(" ", sentence)
+    return left != sentence and (rest := weight(left)) <= max(6, 0.34 * whole)
 
 
-def _unbound(words: list[str]) -> bool:
-    """Whether a run of words has none that would hold a sentence together."""
-    return len(words) >= 5 and not any(w in _FUNCTION for w in words)
-
-
-# Hints -----------------------------------------------------------------------------------------------------------------
-
-#: What ignoring case takes for the same letter besides lower case.
-_ALIKE = str.maketrans("ıİſ\u212a", "iisk")
-
-
-def _folded(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_ALIKE).lower()
-
-
-def _joined(some: set[str] | None, more: set[str] | None) -> set[str] | None:
-    return None if some is None or more is None or len(some) * len(more) > 256 else {x + y for x, y in product(some, more)}
-
-
-def _spelled(op, held) -> set[str] | None:
-    """All folded texts that one item of a parsed pattern can match, or None if they are too many to tell."""
-    name = str(op)
-    if name == "LITERAL":
-        return {_folded(chr(held))}
-    if name in ("AT", "ASSERT", "ASSERT_NOT"):
-        return {""}
-    if name == "IN" and all(str(o) == "LITERAL" for o, _ in held):
-        return {_folded(chr(c)) for _, c in held}
-    if name == "SUBPATTERN":
-        return reduce(_joined, (_spelled(*x) for x in held[-1]), {""})
-    if name == "BRANCH":
-        each = [reduce(_joined, (_spelled(*x) for x in way), {""}) for way in held[1]]
-        return None if None in each or sum(map(len, each)) > 256 else set().union(*each)
-    if name in ("MAX_REPEAT", "MIN_REPEAT") and held[0] in (0, 1) and held[1] == 1:
-        inner = reduce(_joined, (_spelled(*x) for x in held[2]), {""})
-        return inner if inner is None or held[0] else inner | {""}
-    return None
-
-
-def _needed(items) -> set[str]:
-    """Folded texts one of which is in everything that the items of a parsed pattern match; one is empty if there is no such set."""
-    found, run = [{""}], {""}
-    for op, held in items:
-        spelled = _spelled(op, held)
-        longer = _joined(run, spelled)
-        if longer is not None:
-            run = longer
-            continue
-        found.append(run)
-        run = {""} if spelled is None else spelled
-        name = str(op)
-        if name == "SUBPATTERN":
-            found.append(_needed(held[-1]))
-        elif name == "BRANCH":
-            found.append(set().union(*map(_needed, held[1])))
-        elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in held):
-            found.append({_folded(chr(c)) for o, x in held for c in ([x] if str(o) == "LITERAL" else range(x[0], x[1] + 1))} if sum(1 if str(o) == "LITERAL" else x[1] - x[0] for o, x in held) < 12 else {""})
-        elif name in ("MAX_REPEAT", "MIN_REPEAT") and held[0]:
-            found.append(_needed(held[2]))
-    return max(*found, run, key=lambda some: (min(len(x) + len(_WIDE.findall(x)) for x in some), -len(some)))
-
-
-#: The detectors whose matches are asked for only where a text they need is there; bit i of the hints is the i-th.
-_HINTED = (_FILL_IN, _NOTICE, _ERROR, _BABBLE, _DRAWL)
-_FILLS, _NOTICES, _ERRORS, _BABBLES, _DRAWLS = (1 << i for i in range(5))
-_NUMBER = re.compile(_ALONE, re.M)
-
-
-@lru_cache(maxsize=1)
-def _automaton():
-    """The needed texts of the detectors, taken from the patterns themselves, and the hints of detectors that need none."""
-    import ahocorasick
-    from re import _parser
-
-    words: dict[str, int] = {}
-    for i, pattern in enumerate(_HINTED):
-        # a number alone, which needs no more than a digit, is searched for itself
-        for word in _needed(_parser.parse(pattern.pattern.replace(f"|{_ALONE}|", "|"), pattern.flags)):
-            words[word] = words.get(word, 0) | 1 << i
-    always = words.pop("", 0)
-    a = ahocorasick.Automaton()
-    for word, bits in words.items():
-        a.add_word(word, bits)
-    a.make_automaton()
-    return a, always
-
-
-def hints(unit: str) -> int:
-    """The detectors that can match somewhere in a text: one whose bit is not set matches nowhere in it."""
-    a, out = _automaton()
-    if ("4" in unit or "5" in unit) and _NUMBER.search(unit):
-        out |= _ERRORS
-    for _, bits in a.iter(_folded(unit)):
-        out |= bits
-    return out
-
-
-def kind_of(unit: str, hinted=hints) -> str:
-    """placeholder, filler, error, notice, frame, stub or empty for anything else."""
-    if _FRAME.match(unit):
-        return "frame"
-    if _STUB.match(unit):
-        return "stub"
-    may = hinted(unit)
-    left = _MARKED.sub(" ", unit) if _MARKS.search(unit) else unit
-    if (may if left == unit else hinted(left)) & _FILLS:
-        left = _FILL_IN.sub(" ", left)
-    if left != unit and (weight(left) <= 0.34 * weight(unit) or weight(left) <= 6):
-        return "placeholder"
-    if _babble(unit, bool(may & (_BABBLES | _DRAWLS))):
-        return "filler"
-    for kind, bit, pattern in (("notice", _NOTICES, _NOTICE), ("error", _ERRORS, _ERROR)):
-        found = may & bit and pattern.search(unit)
-        if found and (len(unit.split()) <= MESSAGE_WORDS or _covered(unit) >= MESSAGE_SHARE * len(unit)):
-            return kind
-    return ""
-
-
-RESIDUE = frozenset(("placeholder", "filler", "error", "notice"))
-
-
-def parts_of(text: str, cells) -> list[tuple[str, str, str, int]]:
-    """(cell kind, unit, unit kind, weight) of a document; pseudo-Latin is told apart by the document as a whole."""
-    out = [[kind, unit, kind_of(unit), weight(unit)] for kind, cell in cells_of(text, cells) for unit in units_of(plain(cell))]
-    loose = [(p, re.findall(r"[^\W\d_]+", p[1].lower())) for p in out if p[2] == "" and p[0] != "code" and p[3] >= 5]
-    loose = [(p, w) for p, w in loose if _unbound(w)]
-    seeds = sum(1 for _, ws in loose for w in ws if _LATIN.match(w))
-    if seeds and seeds >= 0.06 * sum(len(ws) for _, ws in loose):
-        for p, _ in loose:
-            p[2] = "filler"
-    return [tuple(p) for p in out]
-
-
-def split_weights(parts) -> tuple[int, int, int]:
-    """(residue, open, firm): weight of residue, of undecided prose and of what can never be residue.
-
-    Code is firm unless all of its cell is residue or trivial. With firm code, outputs are firm too: code prints what it likes.
-    """
-    by_cell: list[list] = []
-    for kind, unit, what, w in parts:
-        if not by_cell or by_cell[-1][0] != kind:
-            by_cell.append([kind, []])
-        by_cell[-1][1].append((what, w))
-    residue = open_ = firm = printed = 0
-    for kind, held in by_cell:
-        bad = sum(w for what, w in held if what in RESIDUE)
-        other = sum(w for what, w in held if what == "")
-        if kind == "code" and other > bad:
-            firm += bad + other
-        elif kind == "output":
-            printed += bad
-            open_ += other
-        else:
-            residue += bad
-            open_ += other
-    if firm > 12:
-        firm += printed
-    else:
-        residue += printed
-    return residue, open_, firm
+def repeats(words: list[str]) -> bool:
+    """Whether a sentence of eight words or more says a few words over and over."""
+    return len(words) >= 8 and len(set(words)) <= 0.35 * len(words) and not any(w == "0" for w in words)
 
 
 # Documents -----------------------------------------------------------------------------------------------------------
 
 #: Code of more weight than this makes a document one that runs.
 _FIRM = 12
-_JUDGED = "doc string, residue bigint, open bigint, firm bigint, named boolean, host string, units array<struct<h:bigint,w:int>>"
+#: A document of more different words than this is not low in information.
+LOW = 100
+_MARKDOWN, _OUTPUT, _CODE_CELL = 0, 1, 2
+_JUDGED = "doc string, host string, mismatched boolean, residue bigint, firm bigint, units array<struct<c:int,k:int,w:int,u:string>>"
 _ARROW = pa.schema([
-    ("doc", pa.string()), ("residue", pa.int64()), ("open", pa.int64()), ("firm", pa.int64()), ("named", pa.bool_()), ("host", pa.string()),
-    ("units", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))),
+    ("doc", pa.string()), ("host", pa.string()), ("mismatched", pa.bool_()), ("residue", pa.int64()), ("firm", pa.int64()),
+    ("units", pa.list_(pa.struct([("c", pa.int32()), ("k", pa.int32()), ("w", pa.int32()), ("u", pa.string())]))),
 ])
+_COMMON = frozenset(("ipynb", "http", "https", "www", "html", "untitled", "title", "notebook"))
 
 
 def terms(text: str | None) -> set[str]:
-    """The words of an address or a title that could name what a body is about."""
-    return {w for w in re.findall(r"[^\W\d_]{3,}", (text or "").lower()) if w not in {"ipynb", "title", "untitled", "notebook", "http", "https", "www", "html"}}
+    """The words of an address slug or a title that could name what a body is about."""
+    return {w for w in re.findall(r"[^\W\d_]{3,}", (text or "").lower()) if w not in _COMMON}
+
+
+def ran(cells) -> bool:
+    """Whether a cell of code was executed."""
+    return any(c is not None and c["kind"] == "code" and c["exec_count"] is not None for c in cells or ())
 
 
-def judge(text: str, cells, path: str | None) -> tuple[int, int, int, bool, list[tuple[int, int]]]:
-    """residue, open and firm weight; whether the body names a term of its address or title; (skeleton hash, weight) of open units,
-    each wording once.
+def judge(text: str, cells, path: str | None) -> tuple[bool, int, int, list[tuple[int, int, int, str]]]:
+    """(mismatched, residue, firm, units) of a document.
 
-    Units are told only for documents without firm code: only those can turn out to be residue by the corpus's evidence.
+    residue is the weight of sentences that a detector knows, firm of code that was run. units are the other sentences as (cell, kind,
+    weight, words): prose, what code printed, and the code of documents in which no code was run, since that may be a message as well.
     """
-    parts = parts_of(text, cells)
-    residue, open_, firm = split_weights(parts)
-    if firm > _FIRM or not open_:
-        return residue, open_, firm, True, []
-    title = next((u for kind, u, _, _ in parts if kind != "code"), "")
-    body = " ".join(u for _, u, _, _ in parts if u is not title).lower()
-    named = any(t in body for t in terms(path and path.rsplit("/", 1)[-1]) | terms(title))
-    units: dict[int, int] = {}
-    for _, u, what, w in parts:
-        if what == "" and w and (k := skeleton(u)):
-            h = xxhash.xxh64_intdigest(k.encode()) - (1 << 63)
-            units[h] = units.get(h, 0) + w
-    return residue, open_, firm, named, list(units.items())
+    executed, residue, firm, units = ran(cells), 0, 0, []
+    for n, (kind, cell) in enumerate(cells_of(text, cells)):
+        k = _CODE_CELL if kind == "code" else _OUTPUT if kind == "output" else _MARKDOWN
+        if k == _CODE_CELL and executed:
+            firm += weight(cell)
+            continue
+        for s in sentences(cell):
+            w = weight(s)
+            if not w:
+                continue
+            words = words_of(s)
+            known = placeholder(s, w) or repeats(words)
+            if known and k != _CODE_CELL:
+                residue += w
+            else:  # within code it depends on the rest of the cell
+                units.append((n, k, -w if known else w, " ".join(words)))
+    slug = terms(path and path.rsplit("/", 1)[-1])
+    body = set() if executed else set().union(*(u.split(" ") for _, _, _, u in units))
+    mismatched = not executed and len(body) <= LOW and slug.isdisjoint(body)
+    return mismatched, residue, firm, units
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,41 +182,84 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text, cells, path, host in zip(*(c.to_pylist() for c in batch.columns)):
             if text and not text.isspace():
-                residue, open_, firm, named, units = judge(text, cells, path)
-                rows.append((doc, residue, open_, firm, named, host, [{"h": h, "w": w} for h, w in units]))
+                mismatched, residue, firm, units = judge(text, cells, path)
+                rows.append((doc, host, mismatched, residue, firm, [dict(zip("ckwu", u)) for u in units]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def residue(df: DataFrame, key: str, text: str, cells: str | None = None, path: str | None = None, host: str | None = None, share: float = 0.5, hosts: int = 3, purity: float = 0.8) -> DataFrame:
-    """(key string, residue, learned, total, flagged): the weights of every document that has a text, and whether it is residue.
+def _if_small(df: DataFrame) -> DataFrame:
+    """df, durable, with a broadcast hint if its counted rows are within the limit."""
+    held = durable(df)
+    return broadcast_if_small(held, held.count())
+
 
-    A document is flagged if residue known by detectors and residue learnt make up more than `share` of its weight. A wording is
-    learnt if it occurs on at least about `hosts` hosts (counted by a mergeable sketch, 5 % error) and at least `purity` of the
-    documents without code that hold it are otherwise residue and name none of their address or title terms. Null, empty
-    and blank texts give no row; texts are read whole; repeated rows give a row each; missing cells, path or host columns
-    and nulls in them count as unknown; other columns are ignored; an empty table gives an empty one.
+def pairs(words: Column) -> Column:
+    """The pairs of neighbouring words of a sentence as hashes, its ends counting as words."""
+    w = F.split(words, " ")
+    return F.transform(F.arrays_zip(F.concat(F.array(F.lit("^")), w).alias("a"), F.concat(w, F.array(F.lit("$"))).alias("b")), lambda x: F.xxhash64(x["a"], x["b"]))
+
+
+def wordings(judged: DataFrame) -> DataFrame:
+    """h, n, n_bad, hosts: each word pair of prose and output with the documents that hold it, the mismatched ones and their hosts.
+
+    A document counts once for a pair. Counts add up on the map side; hosts are a mergeable sketch.
     """
-    from ..session import BROADCAST_ROWS, durable
+    prose = F.filter("units", lambda u: u["k"] != _CODE_CELL)
+    held = judged.select("host", "mismatched", F.explode(F.array_distinct(F.flatten(F.transform(prose, lambda u: pairs(u["u"]))))).alias("h"))
+    return held.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("mismatched").cast("bigint")).alias("n_bad"), F.approx_count_distinct(F.when(F.col("mismatched"), F.col("host"))).alias("hosts"))
+
 
+def residue(
+    df: DataFrame, key: str, text: str, cells: str | None = None, path: str | None = None, host: str | None = None,
+    share: float = 0.5, hosts: int = 3, purity: float = 0.4, coverage: float = 0.6, detectors: bool = True,
+) -> DataFrame:
+    """(key string, residue, learned, total, flagged): the weights of every document that has a text, and whether it is residue.
+
+    A document is flagged if the residue that detectors know and the residue that the corpus shows make up more than `share` of its weight. A
+    word pair is residue if mismatched documents on at least about `hosts` hosts (a sketch, 5 % error) hold it and at least
+    `purity` of the documents that hold it are mismatched; a sentence if at least `coverage` of its pairs are. Code that was run never is; of a document
+    in which none was run, a cell of code counts as the larger part of it does. Null, empty and blank texts give no row; texts are read whole; repeated rows give a
+    row each; missing cells, path or host columns and nulls in them count as unknown; other columns are ignored; an empty table
+    gives an empty one. detectors=False leaves everything to the corpus.
+    """
     picked = [col(key).cast("string").alias("doc"), col(text).cast("string").alias("text")]
-    cell = col(cells) if cells else F.lit(None).cast("array<struct<kind:string,start:int,len:int>>")
-    if cells:
-        cell = F.transform(cell, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["len"].alias("len")))
+    spans = "array<struct<kind:string,exec_count:int,start:int,len:int>>"
+    cell = F.transform(col(cells), lambda c: F.when(c.isNotNull(), F.struct(*(c[n].alias(n) for n in ("kind", "exec_count", "start", "len"))))) if cells else F.lit(None).cast(spans)
     picked += [cell.alias("cells"), (col(path) if path else F.lit(None)).cast("string").alias("path"), (col(host) if host else F.lit(None)).cast("string").alias("host")]
     judged = durable(df.select(*picked).mapInArrow(_run, _JUDGED).withColumn("row", F.monotonically_increasing_id()))
-    total = F.col("residue") + F.col("open") + F.col("firm")
-    bad = (F.col("residue") > 0.3 * total) & ~F.col("named")
-    units = judged.where(F.size("units") > 0).select("row", "host", bad.alias("bad"), F.explode("units").alias("u")).select("row", "host", "bad", "u.h", "u.w")
-    seen = units.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("n_bad"), F.approx_count_distinct("host").alias("hosts"))
-    learnt = durable(seen.where((F.col("hosts") >= hosts) & (F.col("n_bad") >= purity * F.col("n"))).select("h"))
-    n = learnt.count()
-    if n:
-        hit = units.join(F.broadcast(learnt) if n <= BROADCAST_ROWS else learnt, "h", "left_semi")
-        added = hit.groupBy("row").agg(F.sum("w").alias("learned"))
-        judged = judged.join(added, "row", "left")
-    else:
-        judged = judged.withColumn("learned", F.lit(None).cast("bigint"))
-    learned = F.coalesce("learned", F.lit(0).cast("bigint"))
-    flagged = (F.col("residue") + learned > share * total) & ~((F.col("firm") > _FIRM) & (F.col("residue") + learned <= F.col("firm")))
-    return judged.select(F.col("doc").alias("key"), "residue", learned.alias("learned"), total.alias("total"), flagged.alias("flagged"))
+    found = wordings(judged).where((F.col("hosts") >= hosts) & (F.col("n_bad") >= purity * F.col("n"))).select("h")
+    learnt = _if_small(found)
+    # only units of documents that could come out as residue need to be looked at: run code alone may already be most of the weight
+    open_ = F.aggregate("units", F.lit(0).cast("bigint"), lambda a, u: a + F.abs(u["w"]))
+    judged = judged.withColumn("open", open_)
+    possible = judged.where(F.col("residue") + F.col("open") > share * (F.col("residue") + F.col("open") + F.col("firm")))
+    each = possible.select("row", F.posexplode("units").alias("p", "u")).select("row", "p", pairs(F.col("u.u")).alias("hs"))
+    met = each.select("row", "p", F.size("hs").alias("of"), F.explode("hs").alias("h")).join(learnt, "h")
+    hit = met.groupBy("row", "p").agg(F.count("*").alias("n"), F.max("of").alias("of")).where(F.col("n") >= coverage * F.col("of"))
+    judged = judged.join(hit.groupBy("row").agg(F.collect_set("p").alias("hits")), "row", "left")
+    # (weight known by detectors, weight learnt) of units, -w marks a unit of code that a detector knows
+    each_of = F.transform("units", lambda u, i: F.struct(u["c"].alias("c"), u["k"].alias("k"), F.abs(u["w"]).alias("w"), ((u["w"] < 0) & F.lit(detectors)).alias("known"), F.coalesce(F.array_contains("hits", i), F.lit(False)).alias("bad")))
+    judged = judged.withColumn("each", each_of).withColumn("residue", F.col("residue") if detectors else F.lit(0).cast("bigint"))
+    sure = F.lit(0).cast("bigint")
+    weigh = lambda keep: F.aggregate("each", sure, lambda a, u: a + F.when(keep(u), u["w"]).otherwise(0))
+    in_code = lambda u: u["k"] == _CODE_CELL
+    of_cells = F.transform(
+        F.array_distinct(F.transform(F.filter("each", in_code), lambda u: u["c"])),
+        lambda c: F.struct(
+            F.aggregate(F.filter("each", lambda u: in_code(u) & (u["c"] == c)), sure, lambda a, u: a + F.when(u["known"] | u["bad"], u["w"]).otherwise(0)).alias("bad"),
+            F.aggregate(F.filter("each", lambda u: in_code(u) & (u["c"] == c)), sure, lambda a, u: a + u["w"]).alias("all"),
+        ),
+    )
+    judged = judged.withColumn("code", of_cells)
+    sum_of = lambda field, when: F.aggregate("code", sure, lambda a, c: a + F.when(when(c), c[field]).otherwise(0))
+    turned = lambda c: c["bad"] * 2 >= c["all"]
+    judged = judged.select(
+        "doc", "residue", "open", (F.col("firm") + sum_of("all", lambda c: ~turned(c))).alias("firm"), sum_of("bad", turned).alias("coded"), (F.col("firm") + F.col("residue") + F.col("open")).alias("total"),
+        weigh(lambda u: ~in_code(u) & u["bad"] & (u["k"] == _OUTPUT)).alias("printed"), weigh(lambda u: ~in_code(u) & u["bad"] & (u["k"] == _MARKDOWN)).alias("said"),
+    )
+    # with code that runs, outputs are no residue: code prints what it likes
+    learned = F.col("said") + F.col("coded") + F.when(F.col("firm") > _FIRM, 0).otherwise(F.col("printed"))
+    bad = F.col("residue") + learned
+    flagged = (bad > share * F.col("total")) & ~((F.col("firm") > _FIRM) & (bad <= F.col("firm")))
+    return judged.select(F.col("doc").alias("key"), "residue", learned.alias("learned"), "total", flagged.alias("flagged"))

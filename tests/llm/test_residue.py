@@ -1,50 +1,78 @@
 import json
-import os
 
 import pytest
 
-from compare import DATA
 from fieldmill.llm import residue as R
 
-NOTEBOOK = "# Cleaning: the wind record\n\nThe wind record was cleaned after our second batch.\n\nIn [1]: rows = read('a.csv')\nrows.groupby('site').mean()\n\nOut[1]:\n17.5\n"
-CASES = {
-    "# {{title}}\n\n- {{ owner }} {{ DATE }}\n\n**${METRIC}, <your goal>, [Insert course here]\nIn [ ]: pass\n": True,
-    "# [titre ici]\n[insérer project ici], (cliquer pour modifier date)\nRemplacez ce texte par metric\n": True,
-    "# Title\nasdf asdf asdf asdf qwer tzui asdf asdf bla bla bla bla\n": True,
-    "# Setup\nLorem ipsum praes vexar sapur ipsum aliqua ultra orbis egest fermis maros amet maros vexar. Tincid sapur maros velora orbis quendi.\n": True,
-    "Menu  ≡\n404 Not Found\nThe server took too long to answer.\nHome | Notebooks | Sign in": True,
-    '{"error": {"code": 403, "message": "Die Seite wurde verschoben oder gelöscht. Zugriff verweigert."}}': True,
-    "<html><head><title>502</title></head><body><h1>Bad Gateway</h1><p>This notebook could not be rendered.</p></body></html>": True,
-    "<noscript>Please enable JavaScript to view this notebook.</noscript>": True,
-    "Th3 s3rv3r took too long to answ3r. This not3book could not b3 r3nd3r3d.": True,
-    "続けるには、ブラウザでjavascriptを許可してください。 javascriptが無効になっています。": True,
-    "ノートブックを表示できません。 お探しのページは見つかりませんでした。": True,
-    json.dumps({"cells": [{"cell_type": "code", "source": ["Dieses Notebook konnte nicht geladen werden (502)."]}]}): True,
-    NOTEBOOK: False,
-    "# What went wrong: the wind record\n\nThe wind record hides our second batch at night and that is fine.\n": False,
-    NOTEBOOK + "\nPlease enable JavaScript to view this notebook.\n": False,
-    "# Status codes\n\nWe count how often the log says 404 Not Found, and plot the share of each host over the first week of the study.\n": False,
-    "# Error pages\n\nThe string 'This page could not be found' marks such a reply. We drop those replies before the model sees them, and keep the others as they are.\n": False,
-    "x": False,
-}
+CELL = "array<struct<kind:string,exec_count:int,start:int,len:int>>"
+SCHEMA = f"doc_id long, text string, cells {CELL}, path string, repo string, residue string, total string"
+PROSE = "The {0} of the river was measured at noon, and the curve of it rose after rain in May."
+PAGE = "The server took too long to answer.\nThis {0} could not be rendered. Try again in a few minutes."
+
+
+def doc(i, text, path="a/00_width.ipynb", host=None, cells=None):
+    return (i, text, cells, path, host or f"h{i % 7}", "x", "y")
+
+
+def notebook(i, more="", executed=1):
+    """A notebook whose one cell of code was run."""
+    prose, code = PROSE.format(i) + "\n" + more, f"rows = read('a{i}.csv').groupby('site').mean()"
+    return doc(i, f"{prose}\n{code}\n17.5", cells=[("markdown", None, 0, len(prose)), ("code", executed, len(prose) + 1, len(code)), ("output", executed, len(prose) + len(code) + 2, 4)])
+
+
+def flags(spark, rows, **more):
+    df = spark.createDataFrame(rows, SCHEMA)
+    return {int(r.key): (r.flagged, r.learned) for r in R.residue(df, "doc_id", "text", "cells", "path", "repo", **more).collect()}
 
 
 def test_documents(spark):
-    rows = list(enumerate(CASES)) + [(100, None), (101, ""), (102, " \n\t")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'extra' AS residue", "'extra' AS total")
-    got = {int(r.key): r.flagged for r in R.residue(df, "doc_id", "text").collect()}
-    assert got == {i: w for i, w in enumerate(CASES.values())}
+    pages = [doc(i, PAGE.format(("file", "page", "view")[i % 3])) for i in range(30)]
+    notices = [doc(i, "<noscript>Please enable scripting to see the cells.</noscript>") for i in range(30, 40)]
+    fill = [doc(i, f"# (click to edit the {w})\n\nReplace this with your {w}.") for i, w in enumerate(("title", "goal", "course", "date", "author", "metric", "plan") * 2, 40)]
+    real = [notebook(i) for i in range(100, 160)]
+    cases = {
+        200: (doc(200, "# Server\nThis chart could not be rendered. Try again in a few minutes."), True),
+        201: (doc(201, json.dumps({"error": {"code": 503, "message": "The server took too long to answer."}})), True),
+        202: (doc(202, "<html><title>502</title><h1>The server took too long to answer.</h1></html>"), True),
+        203: (doc(203, json.dumps({"cells": [{"cell_type": "code", "source": ["The server took too long to answer."]}]})), True),
+        204: (doc(204, "Replace this with your name. (click to edit the colour)"), True),
+        205: (doc(205, "# {{title}}\n\n- {{ owner }} {{ DATE }}\n\n**${METRIC}, <your goal>\nIn [ ]: pass\n"), True),
+        206: (doc(206, "# Title\nasdf asdf asdf asdf qwer tzui asdf asdf asdf asdf qwer tzui"), True),
+        207: (doc(207, PROSE.format("width")), False),
+        208: (doc(208, PROSE.format("depth") + " It said the server took too long to answer, so we measured the curve of it at noon."), False),
+        209: (notebook(209, "The server took too long to answer."), False),
+        210: (doc(210, "x"), False),
+        211: (doc(211, None), None), 212: (doc(212, ""), None), 213: (doc(213, " \n\t"), None),
+        214: (doc(214, PAGE.format("file"), path=None), True),
+        215: ((215, PAGE.format("file"), [None, ("markdown", None, None, 3)], None, None, None, None), True),
+    }
+    rows = pages + notices + fill + real + [d for d, _ in cases.values()]
+    got = flags(spark, rows)
+    assert {i: got[i][0] if i in got else None for i in cases} == {i: w for i, (_, w) in cases.items()}
+    assert all(got[i][0] for i in range(54)) and not any(got[i][0] for i in range(100, 160))
+    # the corpus decides nearly all of it by itself; only form is left to the detectors
+    alone = flags(spark, rows, detectors=False)
+    assert {i for i in cases if i in alone and alone[i][0] != got[i][0]} == {205, 206} and all(alone[i][0] for i in range(54))
+
+
+def test_what_real_documents_say_is_not_learnt(spark):
+    wording = "Please fetch a biscuit, traveller."
+    pages = [doc(i, PAGE.format("page") + "\n" + wording) for i in range(30)]
+    assert flags(spark, [*pages, doc(100, wording)])[100] == (True, R.weight(wording))
+    assert flags(spark, [*pages, *(notebook(i, wording) for i in range(200, 260)), doc(100, wording)])[100] == (False, 0)
+    # one host, or an address that the body speaks of, is no evidence
+    assert not flags(spark, [doc(i, PAGE.format("page"), host="one") for i in range(30)])[0][0]
+    assert not flags(spark, [doc(i, PAGE.format("page"), path="a/00_server.ipynb") for i in range(30)])[0][0]
+    # a long text that was copied is not low in information
+    long = " ".join(f"Sentence {chr(97 + i % 26)}{chr(97 + i // 26)}a is about {chr(97 + i // 26)}{chr(97 + i % 26)}b." for i in range(120))
+    assert not flags(spark, [doc(i, long) for i in range(30)])[0][0]
 
 
-def test_code_that_prints_an_error_page_is_no_residue():
-    page = "404 Not Found\nThe server took too long to answer.\nThis notebook could not be rendered. Try again in a few minutes.\n"
-    code = "reply = fetch('http://example.org/missing')\nprint(reply.text)\n"
-    doc = json.dumps({"cells": [{"cell_type": "code", "source": [code]}, {"cell_type": "output", "source": [page]}]})
-    residue, open_, firm = R.split_weights(R.parts_of(doc, None))
-    assert residue == 0 and firm > 0
-    alone = json.dumps({"cells": [{"cell_type": "output", "source": [page]}]})
-    residue, open_, firm = R.split_weights(R.parts_of(alone, None))
-    assert residue > 0 and not open_ + firm
+def test_code_that_was_run_prints_what_it_likes(spark):
+    page, code = PAGE.format("page"), "reply = fetch('http://example.org/missing')\nprint(reply.text)"
+    cells = [("code", 3, 0, len(code)), ("output", 3, len(code) + 1, len(page))]
+    pages = [doc(i, page) for i in range(30)]
+    assert flags(spark, [*pages, doc(100, f"{code}\n{page}", cells=cells), doc(101, page, cells=[("output", None, 0, len(page))])]) | {100: (False, 0)} == flags(spark, [*pages, doc(100, f"{code}\n{page}", cells=cells), doc(101, page)])
 
 
 def test_spans_name_the_cells():
@@ -54,64 +82,14 @@ def test_spans_name_the_cells():
     assert R.cells_of(text, None) == [("markdown", text)]
 
 
-def test_wording_is_learnt_from_the_corpus(spark):
-    # the second sentence is in no detector; it is learnt where it stands beside known messages on several hosts
-    rows = [(i, f"404 Not Found\nThe server took too long to answer.\nPlease fetch a biscuit, traveller {i}.", f"h{i % 7}", f"a/{i}_width.ipynb") for i in range(30)]
-    rows += [(100, "Please fetch a biscuit, traveller 7.", "h9", "b/1_width.ipynb"), (101, "The width of the river rose by three metres in May.", "h9", "b/2_width.ipynb")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, path string")
-    got = {int(r.key): (r.flagged, r.learned) for r in R.residue(df, "doc_id", "text", path="path", host="repo").collect()}
-    assert got[100][0] and got[100][1] > 0 and not got[101][0] and all(got[i][0] for i in range(30))
+@pytest.mark.parametrize("sentence,is_one", [("{{ owner }}", True), ("# <your dataset>", True), ("${a}, [[ b ]]: %%c%%", True), ("The value of {{ x }} is set by the reader of this page", False), ("a < b > c", False)])
+def test_placeholders(sentence, is_one):
+    assert R.placeholder(sentence, R.weight(sentence)) == is_one
 
 
 def test_long_repeated_and_empty(spark):
     long = "lorem ipsum dolor amet " * 20_000
-    df = spark.createDataFrame([(1, long), (1, long), (2, "word " * 50_000 + NOTEBOOK)], "doc_id long, text string")
+    rows = [doc(1, long), doc(1, long), doc(2, "word " * 50_000 + PROSE)]
+    df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((int(r.key), r.flagged) for r in R.residue(df, "doc_id", "text").collect())[:2] == [(1, True), (1, True)]
     assert R.residue(df.limit(0), "doc_id", "text").count() == 0
-
-
-@pytest.mark.parametrize("unit,kind", [("{{ owner }}", "placeholder"), ("# <your dataset>", "placeholder"), ("bla bla bla bla", "filler"), ("Request id: 8ac841b8-3e81", "frame"), ("Untitled", "stub"), ("The river rose.", "")])
-def test_kinds(unit, kind):
-    assert R.kind_of(unit) == kind
-
-
-@pytest.mark.parametrize("message", ["ノートブックを表示できません。", "Accès refusé…"])
-def test_a_short_message_in_a_large_frame(spark, message):
-    text = f"Start Suche Anmelden\n{message}\nHome | Notebooks | Sign in"
-    assert [r.flagged for r in R.residue(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").collect()] == [True]
-
-
-@pytest.mark.parametrize("unit", ["İNSERT", "[ ıNſERT your course ]", "ENABLE JAVAſCRIPT", "5\n404\n", "KÖNNTEN NICHT", "foo{{x}}bar", "replace{{x}}this{{x}}with it", "Accès refusé…"])
-def test_hints_leave_out_no_kind(unit):
-    assert R.kind_of(unit) == R.kind_of(unit, lambda _: ~0)
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_hints_leave_out_no_kind_in_the_whole_table(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text", "cells").where("text is not null").collect()
-    units = {u for d in docs for _, cell in R.cells_of(d.text, d.cells) for u in R.units_of(R.plain(cell))}
-    assert units and not [u for u in units if R.kind_of(u) != R.kind_of(u, lambda _: ~0)]
-
-
-def judged(spark, wording, others):
-    """(flagged, learned) of a document that is the wording alone, beside 30 error pages that hold it and others."""
-    rows = [(i, f"404 Not Found\nThe server took too long to answer.\n{wording}", f"h{i % 7}", f"a/{i}_width.ipynb") for i in range(30)]
-    rows += [(100, wording, "h9", "b/1_width.ipynb"), *((200 + i, text, f"h{i % 7}", f"c/{i}_depth.ipynb") for i, text in enumerate(others))]
-    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, path string")
-    return {int(r.key): (r.flagged, r.learned) for r in R.residue(df, "doc_id", "text", path="path", host="repo").collect()}[100]
-
-
-def test_a_document_of_two_learnt_wordings(spark):
-    flagged, learned = judged(spark, "Please fetch a biscuit, traveller. Kindly wave at the gate.", [])
-    assert flagged and learned == R.weight("Please fetch a biscuit, traveller. Kindly wave at the gate.")
-
-
-def test_a_wording_common_in_notebooks_is_not_learnt(spark):
-    wording = "Please fetch a biscuit, traveller."
-    texts = [f"The river rose by {i} metres in May. {wording} We measured its width at noon and drew the curve again." for i in range(30)]
-    assert judged(spark, wording, texts) == (False, 0)
-
-
-def test_a_document_counts_once_for_a_wording(spark):
-    wording = "Please fetch a biscuit, traveller."
-    assert judged(spark, wording, ["The river rose in May. " + f"{wording} " * 40])[0]
