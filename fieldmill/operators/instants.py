@@ -6,17 +6,22 @@ session's time zone. Texts already in the canonical form skip the patterns.
 
 Where a text names no zone, the zone comes from an offset history of the place that wrote it. `declared` histories come from a
 zone table. `estimate_offsets` finds the history of a place from its own readings: it aligns each zoneless reading with a
-reference instant of the same row, counts for each day how many readings every offset would violate, and takes the sequence of
-offsets with the fewest violations, each change of offset counting as some violations too.
+reference instant of the same row, counts for each hour how many readings every offset would violate, and takes the sequence of
+offsets with the fewest violations, each change of offset counting as some violations too. `settled_histories` puts the declared zone
+to the test against that, and `convert` reads zoneless texts by the history that came out.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import col
+from ..session import broadcast_if_small, col
 
 MICRO = 1_000_000
 #: Real instants lie in [FIRST, LAST), in seconds.
@@ -93,7 +98,6 @@ def read_texts(df: DataFrame, text: Column, prefix: str = "__at_") -> DataFrame:
     month = F.when(part[2].rlike("^[0-9]"), part[2]).when(month % 3 == 0, F.expr(f"string((instr('janfebmaraprmayjunjulaugsepoctnovdec', substr(lower(`{p}part`[2]), 1, 3)) + 2) div 3)"))
     hour = part[4].try_cast("int")
     hour = F.when(part[6] == "", part[4]).when(hour.between(1, 12), (hour % 12 + F.when(F.lower(part[6]) == "p", 12).otherwise(0)).cast("string"))
-    zone = F.translate(part[7], "[]() −", "")
     zone = F.translate(F.translate(part[7], "−", "-"), "[]() ", "")
     wall_text = F.concat(part[1], F.lit("-"), month, F.lit("-"), part[3], F.lit(" "), hour, F.lit(":"), part[5])
     read = _fixed(read, **{p + "text": wall_text, p + "zone": zone, p + "stated": F.regexp_extract(zone, r"^(?:[Zz]|UTC|GMT)?([+-]\d{2}(?::?\d{2}){0,2})", 1)})
@@ -148,64 +152,120 @@ LOWEST, HIGHEST = -48, 56
 
 
 def offset_votes(df: DataFrame, place: str, text: str, reference_us: Column) -> DataFrame:
-    """(place, day, step, n): zoneless readings by the quarter-hour step that lies between them and their reference instant.
+    """(place, hour, step, n): zoneless readings by the quarter-hour step that lies between them and their reference instant.
 
-    Step is null for readings that lie so far from their reference that no offset explains them. Bounded by places x days x steps, whatever the rows; partial votes of parts of the data can be added up.
+    Step is null for readings that lie so far from their reference that no offset explains them. Bounded by places x hours x steps,
+    whatever the rows; partial votes of parts of the data can be added up.
     """
     p = "__at_"
     read = read_texts(df.select(col(place).alias("place"), col(text).cast("string").alias("text"), reference_us.alias("ref")), F.col("text"), p)
     step = F.floor((F.col(p + "wall") - F.col("ref")) / F.lit(float(STEP_US)))
     return (
         read.where(F.col(p + "open") & F.col("ref").isNotNull() & F.col("place").isNotNull())
-        .select("place", F.floor(F.col("ref") / F.lit(86400.0 * MICRO)).alias("day"), F.when(step.between(LOWEST, HIGHEST), step).alias("step"))
-        .groupBy("place", "day", "step")
+        .select("place", F.floor(F.col("ref") / F.lit(3600.0 * MICRO)).alias("hour"), F.when(step.between(LOWEST, HIGHEST), step).alias("step"))
+        .groupBy("place", "hour", "step")
         .agg(F.count("*").alias("n"))
     )
 
 
+def _declared_steps(zone: str | None, hours: list[int]) -> list[int | None]:
+    """The quarter-hour step of a named zone in each hour; none for an unknown zone."""
+    try:
+        tz = ZoneInfo(zone) if zone else None
+    except (ValueError, OSError, KeyError):
+        tz = None
+    return [None if tz is None else int(datetime.fromtimestamp(h * 3600, tz).utcoffset().total_seconds() // 900) for h in hours]
+
+
 def _history(votes: pd.DataFrame, change: int) -> pd.DataFrame:
-    """Dynamic program over days: the offsets with the fewest violated readings; a change of offset counts as `change`."""
-    place = votes["place"].iloc[0]
-    total = votes.groupby("day")["n"].sum().sort_index()
-    near = votes[votes["step"].notna()]
-    if near.empty:
-        return pd.DataFrame([{"place": place, "from_day": total.index[0], "to_day": total.index[-1], "readings": int(total.sum()), "violations": int(total.sum()), "offset_minutes": None}])
-    grid = near.pivot_table(index="day", columns="step", values="n", aggfunc="sum", fill_value=0).reindex(total.index, fill_value=0)
-    cost, back = None, []
-    for day in grid.index:
-        miss = total[day] - grid.loc[day]
-        if cost is None:
-            cost = miss
-            continue
-        best = cost.idxmin()
-        moved = cost[best] + change
-        back.append({s: (s if cost[s] <= moved else best) for s in grid.columns})
-        cost = cost.clip(upper=moved) + miss
-    step = cost.idxmin()
-    steps = [step]
-    for links in reversed(back):
-        step = links[step]
-        steps.append(step)
-    steps.reverse()
-    rows, days = [], list(grid.index)
-    for i, (day, step) in enumerate(zip(days, steps)):
-        hits, n = int(grid.loc[day, step]), int(total[day])
-        if rows and rows[-1]["step"] == step:
-            rows[-1]["to_day"] = day
-            rows[-1]["readings"] += n
-            rows[-1]["violations"] += n - hits
-        else:
-            rows.append({"place": place, "step": step, "from_day": day, "to_day": day, "readings": n, "violations": n - hits})
-    return pd.DataFrame([{**{k: v for k, v in r.items() if k != "step"}, "offset_minutes": int(r["step"]) * 15} for r in rows])
-
-
-def estimate_offsets(df: DataFrame, place: str, text: str, reference_us: Column, change: int = 3) -> DataFrame:
-    """The offset history of each place: (place, from_day, to_day, offset_minutes, readings, violations), days since 1970.
+    """Dynamic program over hours: the offsets with the fewest violated readings; a change of offset counts as `change`."""
+    place, zone = votes["place"].iloc[0], votes["zone"].iloc[0]
+    hours, at = np.unique(votes["hour"].to_numpy(np.int64), return_inverse=True)
+    n, near = votes["n"].to_numpy(np.int64), votes["step"].notna().to_numpy()
+    total, grid = np.zeros(len(hours), np.int64), np.zeros((len(hours), HIGHEST - LOWEST + 1), np.int64)
+    np.add.at(total, at, n)
+    np.add.at(grid, (at[near], votes["step"].to_numpy()[near].astype(np.int64) - LOWEST), n[near])
+    declared = _declared_steps(zone, hours.tolist())
+    said = [0 if s is None or not LOWEST <= s <= HIGHEST else int(grid[i, s - LOWEST]) for i, s in enumerate(declared)]
+    steps: list[int | None] = [None] * len(hours)
+    if near.any():
+        cost, every = total[0] - grid[0], np.arange(grid.shape[1])
+        back = np.empty(grid.shape, np.int16)
+        for i in range(1, len(hours)):
+            best = int(cost.argmin())
+            stay = cost <= cost[best] + change
+            back[i] = np.where(stay, every, best)
+            cost = np.where(stay, cost, cost[best] + change) + total[i] - grid[i]
+        k = int(cost.argmin())
+        for i in range(len(hours) - 1, -1, -1):
+            steps[i] = k + LOWEST
+            k = int(back[i, k]) if i else k
+    rows: list[dict] = []
+    for i, step in enumerate(steps):
+        hits = 0 if step is None else int(grid[i, step - LOWEST])
+        if not rows or rows[-1]["offset_minutes"] != (None if step is None else step * 15):
+            rows.append({"place": place, "zone": zone, "from_us": int(hours[i]) * 3600 * MICRO, "to_us": 0, "offset_minutes": None if step is None else step * 15, "readings": 0, "violations": 0, "declared_violations": 0})
+        r = rows[-1]
+        r["to_us"] = (int(hours[i]) + 1) * 3600 * MICRO
+        r["readings"] += int(total[i])
+        r["violations"] += int(total[i]) - hits
+        r["declared_violations"] += int(total[i]) - said[i]
+    return pd.DataFrame(rows)
+
+
+def estimate_offsets(df: DataFrame, place: str, text: str, reference_us: Column, change: int = 3, zones: DataFrame | None = None) -> DataFrame:
+    """The offset history of each place: (place, zone, from_us, to_us, offset_minutes, readings, violations, declared_violations).
 
     A reading violates an offset if, moved by it, it lies before its reference instant or a quarter of an hour or more after.
-    Readings that violate every offset count too; a place that has no others comes out as one row without an offset.
-    Ties go to the lower cost found first; places without zoneless readings have no history. One task sees at most
-    days x 106 counts of a place.
+    Readings that violate every offset count too; a place that has no others comes out as one row without an offset. zones
+    (place, zone) are the declared zones, a prior that is put to the same test: declared_violations counts the readings of the span that
+    the declared zone violates. Ties go to the lower cost found first; places without zoneless readings have no history. One task sees at
+    most hours x 106 counts of a place.
+    """
+    votes = offset_votes(df, place, text, reference_us)
+    if zones is None:
+        votes = votes.withColumn("zone", F.lit(None).cast("string"))
+    else:
+        one = zones.groupBy("place").agg(F.min("zone").alias("zone"))
+        votes = votes.join(broadcast_if_small(one, one.count()), "place", "left")
+    schema = "place string, zone string, from_us bigint, to_us bigint, offset_minutes int, readings bigint, violations bigint, declared_violations bigint"
+    return votes.select("place", "zone", "hour", "step", "n").groupBy("place").applyInPandas(lambda v: _history(v, change), schema)
+
+
+#: A declared zone is given up for the estimate if it violates more than half of at least so many readings, and the estimate at most a fifth.
+TRUSTED = 30
+
+
+def settled_histories(estimated: DataFrame, zones: DataFrame) -> DataFrame:
+    """(place, zone, spans array<struct<from_us, offset_us>>): what zoneless readings of each place are converted by.
+
+    A declared zone that the estimate bears out, or that has too few readings to be judged, is the history, as it knows the exact
+    instants of its changes; one that the readings contradict gives way to the estimated spans, and zone is null. Places without a declared
+    zone have the estimate alone.
+    """
+    spans = F.array_sort(F.collect_list(F.when(F.col("offset_minutes").isNotNull(), F.struct("from_us", (F.col("offset_minutes").cast("bigint") * 60 * MICRO).alias("offset_us")))))
+    of = estimated.groupBy("place").agg(spans.alias("spans"), F.sum("readings").alias("n"), F.sum("violations").alias("bad"), F.sum("declared_violations").alias("said_bad"))
+    joined = zones.groupBy("place").agg(F.min("zone").alias("zone")).join(of, "place", "full_outer")
+    refuted = (F.col("n") >= TRUSTED) & (F.col("said_bad") * 2 > F.col("n")) & (F.col("bad") * 5 <= F.col("n"))
+    return joined.select("place", F.when(~F.coalesce(refuted, F.lit(False)), F.col("zone")).alias("zone"), "spans")
+
+
+def convert(df: DataFrame, text: str, place: str, histories: DataFrame, out: str = "utc_us") -> DataFrame:
+    """df with `out`, the instant that the column `text` denotes, zoneless texts by the settled history of their place.
+
+    As `normalise`; a place that is null or has no history leaves its zoneless texts without an instant. In estimated spans a reading that occurs
+    twice is the earlier instant, and the first span also holds before it begins.
     """
-    schema = "place string, from_day bigint, to_day bigint, readings bigint, violations bigint, offset_minutes int"
-    return offset_votes(df, place, text, reference_us).groupBy("place").applyInPandas(lambda votes: _history(votes, change), schema)
+    named = histories.select(F.col("place").alias("__place"), F.col("zone").alias("__zone"), F.col("spans").alias("__spans"))
+    joined = df.join(broadcast_if_small(named, named.count()), col(place) == F.col("__place"), "left")
+    p = "__at_"
+    read = read_texts(joined, col(text).cast("string"), p)
+    wall = F.col(p + "wall")
+    begun = F.filter("__spans", lambda s: s["from_us"] + s["offset_us"] <= wall)
+    span = F.when(F.size(begun) > 0, F.element_at(begun, -1)).otherwise(F.get("__spans", F.lit(0)))
+    earlier = F.get(F.filter(begun, lambda s: (s["from_us"] + s["offset_us"] <= wall) & (s["from_us"] < span["from_us"])), F.size(begun) - 2)
+    by_span = F.when(earlier.isNotNull() & (wall - earlier["offset_us"] < span["from_us"]), wall - earlier["offset_us"]).otherwise(wall - span["offset_us"])
+    opened = F.coalesce(zoned_micros(F.col(p + "text"), wall, F.col("__zone")), F.when(F.col("__zone").isNull(), by_span))
+    us = real(F.coalesce(F.col(p + "known"), F.when(F.col(p + "open"), opened)))
+    read = _fixed(read, **{p + "out": us})
+    return read.select(*(col(c) for c in df.columns if c != out), F.col(p + "out").alias(out))

@@ -34,24 +34,15 @@ def _scan(gap_us: int):
             new_key = np.empty(len(code), bool)
             new_key[0] = True
             np.not_equal(code[1:], code[:-1], out=new_key[1:])
-            if held is not None and words[code[0]].as_py() == held[0]:
-                end = end.copy()
-                first = 0
-                joins = start[0] <= held[2] + gap_us
-            else:
-                joins, first = False, None
-            # latest end so far within each key: ends are shifted into disjoint ranges by the key's order, then accumulated
-            order = np.cumsum(new_key) - 1
-            low, spread = end.min(), int(end.max() - end.min()) + 1
-            carry = max(held[2], low) if first == 0 else None
-            if carry is not None and carry > end.max():
-                spread = int(carry - low) + 1
-            if spread > (1 << 62) // (int(order[-1]) + 1):
-                raise OverflowError("the ends in one batch lie too far apart")
-            shifted = (end - low) + order * spread
-            if carry is not None:
-                shifted[0] = max(shifted[0], carry - low)
-            latest = np.maximum.accumulate(shifted) - order * spread + low
+            first = 0 if held is not None and words[code[0]].as_py() == held[0] else None
+            joins = first == 0 and start[0] <= held[2] + gap_us
+            # latest end so far within each key: the ranks of the ends are shifted into disjoint ranges by the key's order, then accumulated
+            reach = end.copy()
+            if first == 0:
+                reach[0] = max(reach[0], held[2])
+            values, rank = np.unique(reach, return_inverse=True)
+            base = (np.cumsum(new_key) - 1) * len(values)
+            latest = values[np.maximum.accumulate(rank + base) - base]
             opens = new_key.copy()
             opens[1:] |= ~new_key[1:] & (start[1:] > latest[:-1] + gap_us)
             if first == 0:
@@ -84,7 +75,6 @@ def sessions(df: DataFrame, key: Column, start_us: Column, end_us: Column, gap_u
     """
     rows = df.select(key.cast("string").alias("key"), start_us.alias("start_us"), end_us.alias("end_us"), F.lit(1).cast("bigint").alias("n"), (tie if tie is not None else F.lit(0)).alias("tie"))
     rows = rows.where(F.col("key").isNotNull() & F.col("start_us").isNotNull() & F.col("end_us").isNotNull())
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(parts, "key", "start_us", "tie").sortWithinPartitions("key", "start_us", "tie")
+    spread = rows.repartitionByRange("key", "start_us", "tie").sortWithinPartitions("key", "start_us", "tie")
     pieces = spread.drop("tie").mapInArrow(_scan(gap_us), _SCHEMA)
-    return pieces.repartition(parts, "key").sortWithinPartitions("key", "start_us", "end_us").mapInArrow(_scan(gap_us), _SCHEMA)
+    return pieces.repartition("key").sortWithinPartitions("key", "start_us", "end_us").mapInArrow(_scan(gap_us), _SCHEMA)

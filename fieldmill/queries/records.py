@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.instants import CANONICAL, FIRST, LAST, MICRO, estimate_offsets, normalise
+from ..operators.instants import CANONICAL, FIRST, LAST, MICRO, convert, estimate_offsets, normalise, settled_histories
 from ..operators.nested import flat_tables, json_triples, leaf_name, pivot_table, table_of, typed_record, typed_table
 from ..operators.sessions import sessions
-from ..session import broadcast_if_small, col, durable
+from ..session import col, durable
 
 GAP_US = 30 * 60 * MICRO
 
@@ -22,17 +22,27 @@ def valid_duration(d: Column) -> Column:
     return F.when((d >= 0) & (d < float("inf")), d)
 
 
-def with_zone(spark: SparkSession, sf_dir: str, conn: DataFrame) -> DataFrame:
-    """conn with __zone, the declared zone of the sensor. One row per sensor is kept; the list is broadcast if it is small."""
-    zones = table(spark, sf_dir, "sensor_zone").groupBy("system_name").agg(F.min("tz_name").alias("__zone"))
-    zones = zones.withColumnRenamed("system_name", "_system_name")
-    return conn.join(broadcast_if_small(zones, zones.count()), "_system_name", "left")
+def declared_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, zone) of the sensors listed with a zone."""
+    return table(spark, sf_dir, "sensor_zone").select(F.col("system_name").alias("place"), F.col("tz_name").alias("zone")).where("place IS NOT NULL AND zone IS NOT NULL")
+
+
+def zone_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated offset history of each sensor: zoneless texts are aligned with the end of their connection."""
+    conn = table(spark, sf_dir, "conn").select("_system_name", "_write_ts", "ts", "duration")
+    ended = F.unix_micros(F.try_to_timestamp("ts")) + F.coalesce(F.floor(valid_duration(F.col("duration")) * MICRO), F.lit(0))
+    return estimate_offsets(conn, "_system_name", "_write_ts", ended, zones=declared_zones(spark, sf_dir))
 
 
 def write_instants(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """conn's named columns with utc_us, the instant of `_write_ts`."""
+    """conn's named columns with utc_us, the instant of `_write_ts`, zoneless texts by the settled history of their sensor.
+
+    A sensor without a declared zone is left out of the histories: its zoneless texts denote nothing here.
+    """
+    zones = declared_zones(spark, sf_dir)
+    histories = durable(settled_histories(zone_histories(spark, sf_dir).where(F.col("zone").isNotNull()), zones))
     conn = table(spark, sf_dir, "conn").select("_system_name", "_write_ts", *(col(c) for c in columns))
-    return normalise(with_zone(spark, sf_dir, conn), "_write_ts", zone="__zone")
+    return convert(conn, "_write_ts", "_system_name", histories)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,18 +57,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offset history of each sensor estimated from its zoneless readings, beside the declared zone."""
-    conn = table(spark, sf_dir, "conn").select("_system_name", "_write_ts", "ts", "duration")
-    ended = F.unix_micros(F.try_to_timestamp("ts")) + F.coalesce(F.floor(valid_duration(F.col("duration")) * MICRO), F.lit(0))
-    history = estimate_offsets(conn, "_system_name", "_write_ts", ended)
-    zones = table(spark, sf_dir, "sensor_zone").groupBy("system_name").agg(F.min("tz_name").alias("tz_name"))
-    return (
-        history.withColumnRenamed("place", "system_name").join(zones, "system_name", "left")
-        .select(
-            "system_name", F.date_from_unix_date(F.col("from_day").cast("int")).cast("string").alias("from_day"),
-            F.date_from_unix_date(F.col("to_day").cast("int")).cast("string").alias("to_day"), "offset_minutes", "readings", "violations", "tz_name",
-        )
-    )
+    """The offset history of each sensor estimated from its zoneless readings, beside the declared zone and what it violates."""
+    spelled = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm").alias(c)
+    return zone_histories(spark, sf_dir).select(F.col("place").alias("system_name"), spelled("from_us"), spelled("to_us"), "offset_minutes", "readings", "violations", F.col("zone").alias("tz_name"), "declared_violations")
+
+
+def p2_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset of each sensor with a declared zone at noon of each day of conn, as estimated from its readings alone."""
+    spans = settled_histories(zone_histories(spark, sf_dir), declared_zones(spark, sf_dir).limit(0)).join(declared_zones(spark, sf_dir).select("place").distinct(), "place")
+    days = table(spark, sf_dir, "conn").agg(F.min(F.to_date(F.substring("ts", 1, 10))).alias("a"), F.max(F.to_date(F.substring("ts", 1, 10))).alias("b"))
+    each = spans.join(F.broadcast(days)).select("place", "spans", F.explode(F.sequence("a", "b")).alias("at"))  # one row of days
+    noon = F.unix_date("at").cast("bigint") * 86400 * MICRO + 43200 * MICRO
+    begun = F.filter("spans", lambda s: s["from_us"] <= noon)
+    span = F.when(F.size(begun) > 0, F.element_at(begun, -1)).otherwise(F.get("spans", F.lit(0)))
+    return each.select(F.col("place").alias("system_name"), F.col("at").cast("string").alias("day"), (span["offset_us"] / (60 * MICRO)).cast("bigint").alias("offset_minutes"))
 
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +89,16 @@ def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("orig_h"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("lasts_us"), "n")
 
 
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of the rows whose `_write_ts` is canonical."""
+    conn = table(spark, sf_dir, "conn").where(F.col("_write_ts").rlike(CANONICAL) & col("id.orig_h").isNotNull())
+    lasts = F.coalesce(F.round(valid_duration(F.col("duration")) * MICRO).cast("bigint"), F.lit(0))
+    rows = conn.select("uid", col("id.orig_h").alias("orig_h"), F.unix_micros(F.col("_write_ts").try_cast("timestamp")).alias("end_us"), lasts.alias("lasts"))
+    rows = rows.where(F.col("end_us").isNotNull())
+    found = sessions(rows, F.col("orig_h"), F.col("end_us") - F.col("lasts"), F.col("end_us"), GAP_US, tie=F.col("uid"))
+    return found.select(F.col("key").alias("orig_h"), "start_us", "end_us", "n")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_sessions(spark, sf_dir).where(F.col("n") >= 3).select("orig_h", "start_us", "end_us")
 
@@ -161,7 +183,7 @@ def p4_conn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_zones, p3_found, p3_sessions, p4_found, p4_raw_observables, p4_raw_records, p4_raw_names, p4_raw_rules, p4_out_records, p4_out_observables, p4_conn_names)
+    for f in (p2_found, p2_zones, p2_offsets, p3_found, p3_sessions, p3_canonical, p4_found, p4_raw_observables, p4_raw_records, p4_raw_names, p4_raw_rules, p4_out_records, p4_out_observables, p4_conn_names)
 }
 
 _STRUCTS = {
@@ -172,6 +194,19 @@ _OUT = ["category_uid", "class_uid", "severity_id", "activity_id", "type_uid", "
 _OUT += [f"{k}.{x} AS {k}_{x.replace('.', '_')}" for k, names in _STRUCTS.items() for x in names.split()]
 
 SQL = {
+    "p2_offsets": """
+        WITH d AS (SELECT unnest(generate_series(min(CAST(substr(ts, 1, 10) AS DATE)), max(CAST(substr(ts, 1, 10) AS DATE)), INTERVAL 1 DAY)) AS day FROM conn)
+        SELECT DISTINCT system_name, strftime(day, '%Y-%m-%d') AS day,
+               date_diff('minute', CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR, timezone(tz_name, timezone('UTC', CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR))) AS offset_minutes
+        FROM d, sensor_zone WHERE tz_name IS NOT NULL AND system_name IS NOT NULL""",
+    "p3_canonical": """
+        WITH r AS (SELECT uid, "id.orig_h" AS orig_h, epoch_us(CAST(_write_ts AS TIMESTAMPTZ)) AS end_us,
+                          CASE WHEN isfinite(duration) AND duration >= 0 THEN CAST(round(duration * 1000000) AS BIGINT) ELSE 0 END AS lasts
+                   FROM conn WHERE regexp_full_match(_write_ts, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{6}Z') AND "id.orig_h" IS NOT NULL),
+        s AS (SELECT *, end_us - coalesce(lasts, 0) AS start_us FROM r),
+        o AS (SELECT *, max(end_us) OVER (PARTITION BY orig_h ORDER BY start_us, uid, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+        g AS (SELECT *, sum(CASE WHEN before IS NULL OR start_us > before + 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY orig_h ORDER BY start_us, uid, end_us ROWS UNBOUNDED PRECEDING) AS k FROM o)
+        SELECT orig_h, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM g GROUP BY orig_h, k""",
     "p4_out_records": f"SELECT {', '.join(_OUT)} FROM conn_out",
     "p4_out_observables": """
         SELECT o.metadata.uid AS uid, CAST(i - 1 AS BIGINT) AS pos, o.observables[i].name AS name, o.observables[i].value AS value,

@@ -3,7 +3,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmill.operators.instants import estimate_offsets, normalise
+from fieldmill.operators.instants import convert, estimate_offsets, normalise, settled_histories
 
 
 def us(*parts, micro=0):
@@ -101,7 +101,7 @@ def test_estimated_history_finds_the_change_of_offset(spark):
             rows.append(("s", text, true))
     rows += [("s", None, base), ("s", "2024-10-20T00:00:00Z", base), (None, "2024-10-20 00:00:00", base), ("t", "word", base)]
     df = spark.createDataFrame(rows, "place string, text string, ref bigint")
-    got = [(r.place, r.offset_minutes, r.readings, r.violations) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("from_day").collect()]
+    got = [(r.place, r.offset_minutes, r.readings, r.violations) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("from_us").collect()]
     assert got == [("s", 120, 84, 7), ("s", 60, 84, 7)]
 
 
@@ -111,5 +111,26 @@ def test_readings_that_no_offset_explains_are_counted(spark):
     rows = [("s", spelled(base + k * hour + hour), base + k * hour) for k in range(5)]
     rows += [("s", spelled(base + 40 * hour), base), ("s", spelled(base - 30 * hour), base), ("s", spelled(base + 3 * day), base + day), ("far", spelled(base + 2 * day), base)]
     df = spark.createDataFrame(rows, "place string, text string, ref bigint")
-    got = [(r.place, r.offset_minutes, r.readings, r.violations, r.to_day - r.from_day) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("place").collect()]
-    assert got == [("far", None, 1, 1, 0), ("s", 60, 8, 3, 1)]
+    got = [(r.place, r.offset_minutes, r.readings, r.violations, (r.to_us - r.from_us) // hour) for r in estimate_offsets(df, "place", "text", F.col("ref")).orderBy("place").collect()]
+    assert got == [("far", None, 1, 1, 1), ("s", 60, 8, 3, 25)]
+
+
+def test_conversion_by_the_settled_history(spark):
+    """A declared zone that readings bear out is used to the instant, a refuted one gives way, an undeclared place has its estimate."""
+    spelled = lambda t: datetime.fromtimestamp(t / 1e6, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    hour, base, rows = 3_600_000_000, us(2024, 10, 26), []
+    for k in range(96):
+        at = base + k * hour
+        berlin = (2 if at < us(2024, 10, 27, 1) else 1) * hour
+        rows += [("b", spelled(at + berlin + 60_000_000), at), ("wrong", spelled(at + berlin + 60_000_000), at), ("open", spelled(at + 5 * hour + 60_000_000), at)]
+    df = spark.createDataFrame(rows + [("few", "2024-10-26 00:00:30", base)], "place string, text string, ref bigint")
+    zones = spark.createDataFrame([("b", "Europe/Berlin"), ("b", "Europe/Berlin"), ("wrong", "Asia/Tokyo"), ("few", "Asia/Tokyo"), ("unread", "No/Such"), (None, "UTC")], "place string, zone string").where("place is not null")
+    found = estimate_offsets(df, "place", "text", F.col("ref"), zones=zones)
+    assert [(r.offset_minutes, r.violations, r.declared_violations) for r in found.where("place = 'b'").orderBy("from_us").collect()] == [(120, 0, 0), (60, 0, 0)]
+    settled = settled_histories(found, zones)
+    assert {r.place: r.zone for r in settled.collect()} == {"b": "Europe/Berlin", "wrong": None, "few": "Asia/Tokyo", "open": None, "unread": "No/Such"}
+    asked = [("b", "2024-10-27 02:30:00"), ("b", "2025-03-30 02:30:00"), ("wrong", "2024-10-26 12:00:00"), ("wrong", "2024-10-27 02:30:00"), ("wrong", "2024-10-28 12:00:00"), ("open", "2024-10-28 12:00:00"), ("few", "2024-10-26 09:00:00"),
+             ("unread", "2024-10-26 09:00:00"), ("z", "2024-10-26 09:00:00"), (None, "2024-10-26 09:00:00"), ("z", "2024-10-26 09:00:00Z"), ("b", None)]
+    got = convert(spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "i int, p string, t string"), "t", "p", settled).orderBy("i").collect()
+    want = [us(2024, 10, 27, 0, 30), None, us(2024, 10, 26, 10), us(2024, 10, 27, 0, 30), us(2024, 10, 28, 11), us(2024, 10, 28, 7), us(2024, 10, 26), None, None, None, us(2024, 10, 26, 9), None]
+    assert [r.utc_us for r in got] == want and got[0].asDict().keys() == {"i", "p", "t", "utc_us"}

@@ -49,3 +49,11 @@ def test_exact_gap_long_cover_ties_and_empty(spark):
     assert run(spark, [("a", 0, 1000), ("a", 5, 6), ("a", 900, 901), ("a", 1030, 1031), ("b", 1030, 1031)], 30) == [("a", 0, 1031, 4), ("b", 1030, 1031, 1)]
     assert run(spark, [("a", 5, 5)] * 50, 30) == [("a", 5, 5, 50)]
     assert run(spark, [], 30) == []
+
+
+def test_a_batch_of_many_keys_over_twenty_years(spark):
+    first, last = 1_262_304_000_000_000, 1_893_456_000_000_000
+    df = spark.range(10_000).selectExpr("string(id) AS k", f"{first} + id * {(last - first) // 10_000} AS t")
+    df = df.unionByName(df.selectExpr("k", "t + 1000 AS t")).unionByName(df.selectExpr("k", f"{last} AS t"))
+    got = sessions(df.coalesce(1), F.col("k"), F.col("t"), F.col("t"), 1000).collect()
+    assert len(got) == 20_000 and sorted({r.n for r in got}) == [1, 2]
