@@ -1,6 +1,6 @@
 """Nested records as flat tables that keep parent and place.
 
-JSON text is parsed record by record into triples (path, ordinals, value): the path names fields from the record's root with `[]`
+JSON text is read as a stream of records, each parsed into triples (path, ordinals, value) when its turn comes and then let go: the path names fields from the record's root with `[]`
 for each array passed, the ordinals are the 0-based places in those arrays. Triples are grouped by their repeated ancestor, the
 path up to the last `[]`, and each group is pivoted into one table whose key is the record and the ordinals, so that the leading
 ordinals are the key of the parent row. Typed columns hold the same triples already; `typed_table` reads them from the schema.
@@ -9,6 +9,7 @@ ordinals are the key of the parent row. Typed columns hold the same triples alre
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -45,30 +46,92 @@ def _text(value) -> str | None:
     return str(value)
 
 
-def _lookup(record: dict, path: str):
-    """(found, value) of a dotted path: a key that is the whole rest wins, even if its value is null."""
-    if path in record:
-        return True, record[path]
-    at = path.rfind(".")
-    while at > 0:
-        inner = record.get(path[:at])
-        if isinstance(inner, dict):
-            found, value = _lookup(inner, path[at + 1 :])
-            if found:
-                return True, value
-        at = path.rfind(".", 0, at)
-    return False, None
-
-
-def records_of(document, envelopes: Iterable[str] = ("records", "data.items")) -> list:
-    """The records of one payload: the elements of a list, of the first envelope path present, or the one object itself."""
-    if isinstance(document, dict):
-        for path in envelopes:
-            found, value = _lookup(document, path)
-            if found:
-                return value if isinstance(value, list) else [] if value is None else [value]
-        return [document]
-    return document if isinstance(document, list) else []
+_BLANK = re.compile(r"[ \t\r\n]*")
+#: Strings, and what opens or closes a value.
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
+_MEMBER = re.compile(r'[ \t\r\n]*("(?:[^"\\]|\\.)*+")[ \t\r\n]*:[ \t\r\n]*', re.S)
+_SCALAR = re.compile(r"[^,}\]\s]*")
+
+
+def _end(text: str, at: int) -> int:
+    """Where the value that starts at `at` ends, from its brackets alone."""
+    if text[at] not in '{["':
+        return _SCALAR.match(text, at).end()
+    depth = 0
+    for found in _BRACKET.finditer(text, at):
+        c = text[found.start()]
+        depth += (c in "{[") - (c in "}]")
+        if depth == 0:
+            return found.end()
+    raise ValueError("a value does not end")
+
+
+def _spans(text: str, at: int) -> dict[str, int]:
+    """Where the values of an object's keys start, from the object's opening brace; of a repeated key the last."""
+    out, at = {}, at + 1
+    while found := _MEMBER.match(text, at):
+        out[json.loads(found.group(1))] = found.end()
+        at = _BLANK.match(text, _end(text, found.end())).end()
+        if text[at : at + 1] != ",":
+            break
+        at += 1
+    return out
+
+
+def _find(text: str, at: int, path: str) -> int | None:
+    """Where the value of a dotted path within the object at `at` starts; a key that is the whole rest of the path wins."""
+    spans = _spans(text, at)
+    if path in spans:
+        return spans[path]
+    dot = path.rfind(".")
+    while dot > 0:
+        inner = spans.get(path[:dot])
+        if inner is not None and text[inner] == "{" and (found := _find(text, inner, path[dot + 1 :])) is not None:
+            return found
+        dot = path.rfind(".", 0, dot)
+    return None
+
+
+def _elements(text: str, at: int) -> Iterator:
+    """The elements of the list at `at`, parsed one after another; returns where the list ends."""
+    at = _BLANK.match(text, at + 1).end()
+    if text[at : at + 1] == "]":
+        return at + 1
+    while True:
+        value, at = _DECODER.raw_decode(text, at)
+        yield value
+        at = _BLANK.match(text, at).end()
+        if text[at : at + 1] == "]":
+            return at + 1
+        if text[at : at + 1] != ",":
+            raise ValueError("a list does not go on")
+        at = _BLANK.match(text, at + 1).end()
+
+
+def stream_records(text: str, envelopes: Iterable[str] = ("records", "data.items")) -> Iterator:
+    """The records of one payload, each parsed when its turn comes: the elements of a list, of the first envelope path present, or the one object itself.
+
+    Raises ValueError at the latest after the last record if the payload is no valid JSON.
+    """
+    at = _BLANK.match(text).end()
+    if text[at : at + 1] == "[":
+        end = yield from _elements(text, at)
+        if text[end:].strip(" \t\r\n"):
+            raise ValueError("text follows the payload")
+        return
+    if text[at : at + 1] != "{":
+        _decode(text)
+        return
+    for path in envelopes:
+        if (path.split(".")[0] in text or "\\u" in text) and (found := _find(text, at, path)) is not None:
+            end = _end(text, found)
+            if text[found] == "[":
+                yield from _elements(text, found)
+            elif (value := _decode(text[found:end])) is not None:
+                yield value
+            _decode(text[:found] + "null" + text[end:])  # the rest of the envelope must be valid too
+            return
+    yield _decode(text)
 
 
 class _Walk:
@@ -145,13 +208,13 @@ def json_triples(
         out: list[tuple] = []
         for batch in batches:
             for k, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = len(out)
                 try:
-                    document = _decode(payload.strip("﻿ \t\r\n")) if payload else None
-                except (ValueError, RecursionError):
-                    continue
-                for i, record in enumerate(records_of(document, envelopes)):
-                    if isinstance(record, dict):
-                        out.extend((k, i, path, ordinals, value) for path, ordinals, value in walk.fields(record, "", ()))
+                    for i, record in enumerate(stream_records(payload.strip("\ufeff \t\r\n"), envelopes) if payload else ()):
+                        if isinstance(record, dict):
+                            out.extend((k, i, path, ordinals, value) for path, ordinals, value in walk.fields(record, "", ()))
+                except (ValueError, RecursionError, IndexError):
+                    del out[held:]  # of a payload that is not valid to its end nothing is taken
                 if len(out) >= 8192:
                     yield _batch(out)
                     out = []

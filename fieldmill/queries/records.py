@@ -193,7 +193,62 @@ _STRUCTS = {
 _OUT = ["category_uid", "class_uid", "severity_id", "activity_id", "type_uid", "time", "start_time", "end_time", "duration", "app_name", "status_code", "unmapped"]
 _OUT += [f"{k}.{x} AS {k}_{x.replace('.', '_')}" for k, names in _STRUCTS.items() for x in names.split()]
 
+#: (raw_id, rec_pos, r): the records of the valid payloads.
+_RAW = """
+    WITH valid AS (SELECT raw_id, CAST(payload AS JSON) AS p FROM conn_raw WHERE json_valid(payload)),
+    held AS (SELECT raw_id, CASE WHEN json_type(p) = 'ARRAY' THEN p
+                                 WHEN json_exists(p, '$."records"') THEN json_extract(p, '$."records"')
+                                 WHEN json_exists(p, '$."data.items"') THEN json_extract(p, '$."data.items"')
+                                 WHEN json_exists(p, '$.data.items') THEN json_extract(p, '$.data.items')
+                                 ELSE json_array(p) END AS l FROM valid WHERE json_type(p) IN ('ARRAY', 'OBJECT')),
+    rec AS (SELECT raw_id, i AS rec_pos, json_extract(l, '$[' || i || ']') AS r
+            FROM (SELECT raw_id, CASE json_type(l) WHEN 'ARRAY' THEN l WHEN 'NULL' THEN '[]' ELSE json_array(l) END AS l FROM held) h, unnest(range(0, CAST(json_array_length(l) AS BIGINT))) AS t(i)
+            WHERE json_type(json_extract(l, '$[' || i || ']')) = 'OBJECT')"""
+
+
+def _raw_at(record: str, path: str) -> str:
+    """A dotted path of a record as JSON: the literal key wins, even if null."""
+    nested = "$" + "".join(f'."{x}"' for x in path.split("."))
+    literals = [f'$."{path}"']
+    if path.count(".") > 1:
+        head, _, last = path.rpartition(".")
+        first, _, rest = path.partition(".")
+        literals += [f'$."{head}"."{last}"', f'$."{first}"."{rest}"']
+    whens = " ".join(f"WHEN json_exists({record}, '{x}') THEN json_extract({record}, '{x}')" for x in [*literals, nested])
+    return f"CASE {whens} END"
+
+
+def _raw_list(record: str, path: str) -> str:
+    """A path's list; a lone value stands for a list of one, a null for none."""
+    x = _raw_at(record, path)
+    return f"(SELECT CASE WHEN y IS NULL OR json_type(y) = 'NULL' THEN '[]' WHEN json_type(y) = 'ARRAY' THEN y ELSE json_array(y) END FROM (SELECT {x} AS y))"
+
+
+def _text(x: str) -> str:
+    return f"json_extract_string({x}, '$')"
+
+
+_UNMAPPED = "(SELECT CASE WHEN json_type(u) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(u, '$')) THEN CAST(json_extract_string(u, '$') AS JSON) END ELSE u END FROM (SELECT json_extract(r, '$.unmapped') AS u))"
+
+
+def _raw_values(record: str, path: str, extra: str = "") -> str:
+    return f"""SELECT raw_id, rec_pos, {extra}i AS pos, {_text("json_extract(l, '$[' || i || ']')")} AS v
+        FROM (SELECT raw_id, rec_pos, {_raw_list("x", path)} AS l FROM (SELECT raw_id, rec_pos, {record} AS x FROM rec)), unnest(range(0, CAST(json_array_length(l) AS BIGINT))) AS t(i)"""
+
+
+_OBSERVED = {"name": "name", "type_id": "type_id", "value": "value", "provider": "reputation.provider", "base_score": "reputation.base_score", "score_id": "reputation.score_id"}
+_RECORD = ["uid", "_path", "ts", "service", "proto", "id.orig_h", "id.resp_h", "metadata.uid", "class_uid"]
+
 SQL = {
+    "p4_raw_names": f"{_RAW} SELECT DISTINCT CAST(raw_id AS VARCHAR) AS raw_id, rec_pos, pos, v AS name FROM ({_raw_values('r', 'id.orig_h_name.vals')})",
+    "p4_raw_rules": f"""{_RAW} SELECT DISTINCT CAST(raw_id AS VARCHAR) AS raw_id, rec_pos, parent, pos, v AS rule FROM (
+        {_raw_values('r', 'spcap.rule', "'spcap' AS parent, ")} UNION ALL {_raw_values(_UNMAPPED, 'spcap.rule', "'unmapped.spcap' AS parent, ")})""",
+    "p4_raw_observables": f"""{_RAW} SELECT CAST(raw_id AS VARCHAR) AS raw_id, * EXCLUDE (raw_id) FROM (
+        SELECT raw_id, rec_pos, i AS pos, {", ".join(f"{_text(_raw_at('o', p))} AS {n}" for n, p in _OBSERVED.items())}
+        FROM (SELECT raw_id, rec_pos, i, json_extract(l, '$[' || i || ']') AS o FROM (SELECT raw_id, rec_pos, {_raw_list("r", "observables")} AS l FROM rec), unnest(range(0, CAST(json_array_length(l) AS BIGINT))) AS t(i))
+        WHERE json_type(o) = 'OBJECT' AND ({" OR ".join(f"{_raw_at('o', p)} IS NOT NULL" for p in _OBSERVED.values())}))""",
+    "p4_raw_records": f"""{_RAW} SELECT CAST(raw_id AS VARCHAR) AS raw_id, rec_pos, {", ".join(f"{_text(_raw_at('r', p))} AS {p.replace('.', '_')}" for p in _RECORD)}
+        FROM rec WHERE {" OR ".join(f"{_raw_at('r', p)} IS NOT NULL" for p in _RECORD)}""",
     "p2_offsets": """
         WITH d AS (SELECT unnest(generate_series(min(CAST(substr(ts, 1, 10) AS DATE)), max(CAST(substr(ts, 1, 10) AS DATE)), INTERVAL 1 DAY)) AS day FROM conn)
         SELECT DISTINCT system_name, strftime(day, '%Y-%m-%d') AS day,

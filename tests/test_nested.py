@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from fieldmill.operators.nested import flat_tables, json_triples, pivot_table, typed_table
+from fieldmill.operators.nested import flat_tables, json_triples, pivot_table, stream_records, typed_table
 
 LISTS = ("id.vals", "spcap.rule", "unmapped.spcap.rule", "observables")
 
@@ -62,3 +63,39 @@ def test_raw_names_and_rules(spark, tmp_path):
     names = sorted(tuple(r) for r in QUERIES["p4_raw_names"](spark, str(tmp_path)).fillna("~").collect())
     assert names == [("5", 0, 0, "a"), ("5", 0, 1, "~")]
     assert sorted(tuple(r) for r in QUERIES["p4_raw_rules"](spark, str(tmp_path)).collect()) == [("5", 1, "spcap", 0, "7"), ("5", 1, "unmapped.spcap", 0, "8")]
+
+
+def plainly(text):
+    """The records of a payload from a parse of all of it, or None if it is no JSON."""
+    try:
+        d = json.loads(text)
+    except ValueError:
+        return None
+    if isinstance(d, dict):
+        for found in ([d["records"]] if "records" in d else []), ([d["data.items"]] if "data.items" in d else [d["data"]["items"]] if isinstance(d.get("data"), dict) and "items" in d["data"] else []):
+            if found:
+                return found[0] if isinstance(found[0], list) else [] if found[0] is None else found
+        return [d]
+    return d if isinstance(d, list) else []
+
+
+def test_streamed_records_are_those_of_a_whole_parse():
+    pick = random.Random(5)
+
+    def value(depth=0):
+        kind = pick.randrange(9 if depth < 3 else 5)
+        if kind < 5:
+            return (None, True, 12, "a]b}c{\\", 'q"\\u00e9,:')[kind]
+        return [value(depth + 1) for _ in range(pick.randrange(4))] if kind < 7 else {pick.choice(("a", "records", "data", "items", "data.items", "x.y")): value(depth + 1) for _ in range(pick.randrange(4))}
+
+    for _ in range(3000):
+        text = json.dumps(value(), indent=pick.choice((None, 1)), ensure_ascii=pick.random() < 0.5)
+        if pick.random() < 0.3 and text:
+            at = pick.randrange(len(text))
+            text = text[:at] + pick.choice(("", "}", ",", '"', " x")) + text[at + pick.randrange(2) :]
+        try:
+            got = list(stream_records(text))
+        except (ValueError, IndexError):
+            got = None
+        assert got == plainly(text), text
+    assert list(stream_records('{"records":[1],"records":[{"a":2}]}')) == [{"a": 2}] and list(stream_records('{"r\\u0065cords":[3]}')) == [3]
