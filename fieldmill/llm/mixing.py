@@ -2,10 +2,11 @@
 
 Sizes are tokens of a public tokenizer. A mixture's total is cut into blocks of equal size, and the blocks are given to sources one
 after another by the highest Sainte-Laguë quotient, weight / (2 * blocks held + 1); a source stops receiving where its cap on repeats
-is reached. Each source's blocks are then given to its shards, in proportion to their sizes, by the same rule. A shard is a seeded
-hash of the document, small enough for one task, so a source with a third of all documents is worked on in many tasks. Within a
-shard, documents lie in a seeded order; all are taken as many times as fit whole, and the blocks that remain are taken from the
-start of the order, up to the document boundary that comes nearest.
+is reached. All documents of a source are taken as many times as fit whole; what remains is given in finer blocks to its bundles of
+shards, in proportion to their sizes, and a bundle's blocks to its shards, by the same rule, so that every shard has an integer quota and
+no task sees more than the bundles of a source or the shards of a bundle. A shard is a seeded hash of the document, small enough for one
+task, so a source with a third of all documents is worked on in many tasks. Within a shard, documents lie in a seeded order that blocks
+cut into equal parts; a document belongs to the block that its middle lies in, and the first blocks, as many as the quota, are selected.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from ..session import broadcast_if_small, durable
 #: Tokens of a shard, and shares of the total that a block is.
 SHARD_TOKENS = 2_000_000
 BLOCKS = 10_000
+#: Shards in a bundle; a source of 2**40 tokens has some 130 bundles of 4096.
+BUNDLE = 4096
+#: Rows of a target table, which is gathered; a longer one is refused.
+MOST_TARGETS = 100_000
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[float] | None = None) -> list[int]:
@@ -56,18 +61,38 @@ def sainte_lague(weights: list[float], seats: int, caps: list[float] | None = No
     return got
 
 
-def _shards(quota: pd.DataFrame) -> pd.DataFrame:
-    """The blocks of one mix and source given to its shards; each shard holds whole turns of all its documents and a rest."""
-    row = quota.iloc[0]
-    turns = int(row["want_tokens"] // row["source_tokens"]) if row["source_tokens"] else 0
-    quota = quota.sort_values("shard").reset_index(drop=True)
-    block = float(row["block_tokens"])
-    rest = max(0.0, float(row["want_tokens"]) - turns * float(row["source_tokens"]))
-    sizes = quota["shard_tokens"].astype(float).tolist()
-    # shards are measured in finer blocks than the mixture, so that rounding stays below one block for the source
-    fine = min(block, max(1.0, rest / max(1, 4 * len(sizes))))
-    seats = sainte_lague(sizes, int(round(rest / fine)), [math.ceil(s / fine) for s in sizes])
-    return pd.DataFrame({"mix": quota["mix"], "source": quota["source"], "shard": quota["shard"], "turns": turns, "rest_tokens": [s * fine for s in seats]})
+def _split(key: str):
+    """Integer quotas of the members (key, size) of one group by Sainte-Laguë; seats and the block size are the same in all of its rows."""
+
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values(key).reset_index(drop=True)
+        seats, block = int(members["seats"].iloc[0]), float(members["block"].iloc[0])
+        sizes = members["size"].astype(float).tolist()
+        members["quota"] = sainte_lague(sizes, seats, [math.ceil(s / block) for s in sizes])
+        return members.drop(columns=["seats", "size"])
+
+    return run
+
+
+def shard_quotas(per_shard: DataFrame, planned: DataFrame, n_plan: int) -> DataFrame:
+    """(mix, source, shard, turns, block, quota): how often all of a shard is taken, and how many blocks of it besides.
+
+    per_shard has source, shard, size. A source's rest is cut into blocks no larger than the mixture's and at least four for each
+    shard, so that rounding stays below one block of the mixture for the source.
+    """
+    bundles = per_shard.groupBy("source", F.floor(F.col("shard") / BUNDLE).alias("bundle")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    of_source = bundles.groupBy("source").agg(F.sum("n").alias("shards"))
+    turns = F.floor(F.col("want_tokens") / F.col("source_tokens"))
+    rest = F.greatest(F.lit(0.0), F.col("want_tokens") - turns * F.col("source_tokens"))
+    block = F.least(F.col("block_tokens"), F.greatest(F.lit(1.0), rest / (4 * F.col("shards"))))
+    wanted = planned.where((F.col("want_tokens") > 0) & (F.col("source_tokens") > 0)).join(of_source, "source")
+    wanted = wanted.select("mix", "source", turns.cast("bigint").alias("turns"), block.alias("block"), F.round(rest / block).cast("bigint").alias("seats"))
+    wanted = broadcast_if_small(wanted, n_plan)
+    named = "mix string, source string, turns bigint, block double"
+    first = bundles.join(wanted, "source").select("mix", "source", "turns", "block", "bundle", "seats", "size").groupBy("mix", "source").applyInPandas(_split("bundle"), f"{named}, bundle bigint, quota bigint")
+    second = per_shard.withColumn("bundle", F.floor(F.col("shard") / BUNDLE)).join(first.withColumnRenamed("quota", "seats"), ["source", "bundle"])
+    second = second.select("mix", "source", "turns", "block", "shard", "seats", "size", "bundle").groupBy("mix", "source", "bundle").applyInPandas(_split("shard"), f"{named}, shard bigint, bundle bigint, quota bigint")
+    return second.drop("bundle")
 
 
 def plan(totals: list[tuple[str, int]], targets: list[dict], total_tokens: int | None = None, blocks: int = BLOCKS) -> list[dict]:
@@ -107,11 +132,14 @@ def plan(totals: list[tuple[str, int]], targets: list[dict], total_tokens: int |
 _PLAN = "mix string, source string, share double, block_tokens double, blocks bigint, want_tokens double, source_tokens bigint, max_repeats int"
 
 
-def _planned(docs: DataFrame, targets: DataFrame, total_tokens: int | None, blocks: int) -> DataFrame:
-    """The plan as a table. One row per source of the target table is gathered, never one per document."""
+def quotas(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """The plan as a table. One row per source of the target table is gathered, at most MOST_TARGETS, never one per document."""
     wanted = targets.select("mix", "source", "weight", "max_repeats").where(F.col("mix").isNotNull() & F.col("source").isNotNull())
-    listed = [r.asDict() for r in wanted.orderBy("mix", "source", "weight", "max_repeats").collect()]
+    listed = [r.asDict() for r in wanted.orderBy("mix", "source", "weight", "max_repeats").limit(MOST_TARGETS + 1).collect()]
+    if len(listed) > MOST_TARGETS:
+        raise ValueError(f"a target table has at most {MOST_TARGETS} rows")
     known = wanted.select("source").distinct()
+    docs = docs.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
     sums = docs.join(broadcast_if_small(known, len(listed)), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
     rows = plan([(r.source, r.n) for r in sums.collect()], listed, total_tokens, blocks)
     return docs.sparkSession.createDataFrame([tuple(r.values()) for r in rows], _PLAN)
@@ -125,21 +153,20 @@ def select(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int
     partitioning. Empty tables give an empty one.
     """
     docs = docs.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    planned = _planned(docs, targets, total_tokens, blocks)
+    planned = quotas(docs, targets, total_tokens, blocks)
     n_plan = planned.count()
     order = F.xxhash64(F.col("doc"), F.lit(seed))
     sized = planned.groupBy("source").agg(F.max("source_tokens").alias("all_tokens"))
     spread = docs.join(broadcast_if_small(sized, n_plan), "source")
     shards = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("all_tokens") / F.lit(float(shard_tokens))))
     spread = spread.select("doc", "source", "n_tokens", order.alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc")), shards).alias("shard"))
-    per_shard = spread.groupBy("source", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    quotas = per_shard.join(broadcast_if_small(planned.where("want_tokens > 0"), n_plan), "source").groupBy("mix", "source").applyInPandas(
-        _shards, "mix string, source string, shard bigint, turns bigint, rest_tokens double"
-    )
+    per_shard = durable(spread.groupBy("source", "shard").agg(F.sum("n_tokens").alias("size")))
+    given = shard_quotas(per_shard, planned, n_plan)
     before = F.sum("n_tokens").over(W.partitionBy("source", "shard").orderBy("order", "doc").rowsBetween(W.unboundedPreceding, -1))
-    laid = spread.withColumn("before", F.coalesce(before, F.lit(0)))
-    # the document that the quota's end falls into is taken if most of it lies before the end
-    taken = laid.join(quotas, ["source", "shard"]).withColumn("copies", F.col("turns") + (F.col("before") + F.col("n_tokens") / 2 <= F.col("rest_tokens")).cast("bigint"))
+    laid = spread.withColumn("middle", F.coalesce(before, F.lit(0)) + F.col("n_tokens") / 2)
+    # blocks are numbered along the seeded order, a middle on a border belonging to the block before it; the first are the selected ones
+    block = F.ceil(F.col("middle") / F.col("block")) - 1
+    taken = laid.join(given, ["source", "shard"]).withColumn("copies", F.col("turns") + (block < F.col("quota")).cast("bigint"))
     caps = planned.select("mix", "source", "max_repeats")
     taken = taken.join(broadcast_if_small(caps, n_plan), ["mix", "source"])
     copies = F.least(F.col("copies"), F.coalesce(F.col("max_repeats").cast("bigint"), F.col("copies")))
@@ -152,7 +179,7 @@ def shares(selected: DataFrame, docs: DataFrame, targets: DataFrame, total_token
     share is of the tokens selected for the mix; repeats is used_tokens by source_tokens.
     """
     docs = docs.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    planned = _planned(docs, targets, total_tokens, blocks)
+    planned = quotas(docs, targets, total_tokens, blocks)
     used = selected.groupBy("mix", "source").agg(F.count("*").alias("docs_used"), F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"))
     joined = planned.join(used, ["mix", "source"], "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0).cast("bigint")))
     all_ = F.sum("used_tokens").over(W.partitionBy("mix"))

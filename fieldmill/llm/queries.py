@@ -70,30 +70,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Distinct counts -------------------------------------------------------------------------------------------------------
 
 
-def _day_range(conn: DataFrame) -> tuple[int, int]:
-    """The first day of conn, in days since 1970, and the number of days."""
-    r = conn.agg(F.min(F.substring("ts", 1, 10)).alias("a"), F.max(F.substring("ts", 1, 10)).alias("b")).select(F.unix_date(F.expr("try_cast(a as date)")).alias("a"), F.unix_date(F.expr("try_cast(b as date)")).alias("b")).first()
-    return (0, 0) if r.a is None or r.b is None else (r.a, r.b - r.a + 1)
+def _day():
+    """The day of a row, in days since 1970; none if `ts` does not start with a date."""
+    return F.unix_date(F.expr("try_cast(substr(ts, 1, 10) as date)"))
 
 
-def _day(first: int):
-    return F.unix_date(F.expr("try_cast(substr(ts, 1, 10) as date)")) - first
+def _spelled(day):
+    return F.date_from_unix_date(day.cast("int")).cast("string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     conn = table(spark, sf_dir, "conn").select(col("id.orig_h").alias("orig_h"), col("id.resp_h").alias("resp_h"), "community_id", "ts").where(F.col("orig_h").isNotNull())
-    first, days = _day_range(conn)
 
     def counted(identifier: str) -> DataFrame:
-        held = distinct.patterns(conn, ["orig_h"], identifier, _day(first), days)
-        return distinct.per_group(distinct.totals(held, ["orig_h"]), ["orig_h"])
+        held = distinct.memberships(conn, ["orig_h"], identifier, _day())
+        return distinct.per_group(distinct.totals(held, ["orig_h"], identifier), ["orig_h"])
 
     def rows(counts: DataFrame, per_day: str, day_limit: int, overall: str | None, all_limit: int) -> DataFrame:
-        grain = F.when((F.col("index") >= 0) & (F.col("n") > day_limit), F.lit(per_day))
+        grain = F.when(F.col("index").isNotNull() & (F.col("n") > day_limit), F.lit(per_day))
         if overall:
-            grain = F.coalesce(grain, F.when((F.col("index") < 0) & (F.col("n") > all_limit), F.lit(overall)))
-        day = F.when(F.col("index") < 0, "").otherwise(F.date_from_unix_date(F.col("index").cast("int") + first).cast("string"))
-        return counts.select(grain.alias("grain"), "orig_h", day.alias("day")).where(F.col("grain").isNotNull())
+            grain = F.coalesce(grain, F.when(F.col("index").isNull() & (F.col("n") > all_limit), F.lit(overall)))
+        return counts.select(grain.alias("grain"), "orig_h", F.coalesce(_spelled(F.col("index")), F.lit("")).alias("day")).where(F.col("grain").isNotNull())
 
     found = rows(counted("resp_h"), "resp_per_orig_day", 50, "resp_per_orig", 100)
     return found.unionByName(rows(counted("community_id"), "flow_per_orig_day", 60, None, 0))
@@ -103,18 +100,14 @@ def _cubed(spark: SparkSession, sf_dir: str, identifiers: tuple[str, ...], fixed
     """Distinct identifiers by the fixed columns and every combination of service, sensor and day. `*` stands for all values of a column."""
     conn = table(spark, sf_dir, "conn")
     conn = conn.select(col("id.orig_h").alias("orig_h"), col("id.orig_h").alias("host"), col("id.resp_h").alias("resp_h"), "community_id", "service", F.col("_system_name").alias("sensor"), "ts")
-    first, days = _day_range(conn)
-    out = None
+    groups, out = ["service", "sensor"], None
     for name in identifiers:
-        base = distinct.patterns(conn, [*fixed, "service", "sensor"], name, _day(first), days)
-        for open_ in (["service", "sensor"], ["service"], ["sensor"], []):
-            scope = [*fixed, *open_]
-            held = base if len(open_) == 2 else distinct.merge_patterns(base, scope, name)
-            counts = distinct.per_group(distinct.totals(held, scope), scope)
-            shown = [F.coalesce(F.col(c), F.lit("(none)")).alias(c) if c in scope else F.lit("*").alias(c) for c in (*fixed, "service", "sensor")]
-            day = F.when(F.col("index") < 0, "*").otherwise(F.date_from_unix_date(F.col("index").cast("int") + first).cast("string"))
-            part = counts.select(F.lit(name).alias("identifier"), *shown, day.alias("day"), F.col("n").alias("n_distinct"))
-            out = part if out is None else out.unionByName(part)
+        held = distinct.memberships(conn, fixed, name, _day(), groups)
+        counts = distinct.per_group(distinct.totals(held, fixed, name, groups), fixed, groups)
+        shown = [F.coalesce(F.col(c), F.lit("(none)")).alias(c) for c in fixed]
+        shown += [F.when(F.array_contains("level", i), F.coalesce(F.col(c), F.lit("(none)"))).otherwise("*").alias(c) for i, c in enumerate(groups)]
+        part = counts.select(F.lit(name).alias("identifier"), *shown, F.coalesce(_spelled(F.col("index")), F.lit("*")).alias("day"), F.col("n").alias("n_distinct"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -131,9 +124,9 @@ def p5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_week_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sensor: hosts seen in the first week, in the second, in both, and in the first only, from one table of totals."""
     conn = table(spark, sf_dir, "conn").select(col("id.orig_h").alias("orig_h"), F.col("_system_name").alias("sensor"), "ts").where(F.col("_system_name").isNotNull())
-    first, days = _day_range(conn)
-    totals = durable(distinct.totals(distinct.patterns(conn, ["sensor"], "orig_h", _day(first), days), ["sensor"]))
-    one, two = [i for i in range(7) if i < days], [i for i in range(7, 14) if i < days]
+    totals = durable(distinct.totals(distinct.memberships(conn, ["sensor"], "orig_h", _day()), ["sensor"], "orig_h"))
+    first = conn.agg(F.min(_day())).first()[0] or 0
+    one, two = list(range(first, first + 7)), list(range(first + 7, first + 14))
     kinds = {"first": (one, []), "second": (two, []), "either": (one + two, []), "first_only": (one, two)}
     out = None
     for name, (some, none) in kinds.items():
@@ -150,10 +143,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose ids do not decode to their text: none."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = tokens.encode(docs, ["doc_id", "text"], "text")
-    return tokens.decode(coded, ["doc_id", "text"], "ids", out="decoded").where(F.col("decoded") != F.coalesce("text", F.lit(""))).select("doc_id")
+    """doc_id, n_bytes, n_chars and hash of each document's ids decoded again."""
+    coded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    decoded = tokens.decode(coded, ["doc_id"], "ids", out="decoded")
+    return decoded.select("doc_id", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.length("decoded").cast("bigint").alias("n_chars"), F.md5(F.col("decoded").cast("binary")).alias("hash"))
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +154,12 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(docs, table(spark, sf_dir, "mix_targets")).select("mix", F.col("doc").alias("doc_id"), "source", "n_tokens", "copies")
 
 
+def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole blocks that each source of a mixture is given, sizes in characters here."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", F.col("n_chars").alias("n_tokens"))
+    return mixing.quotas(docs, table(spark, sf_dir, "mix_targets")).select("mix", "source", "blocks")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     targets = table(spark, sf_dir, "mix_targets")
@@ -182,7 +181,7 @@ def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_hosts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_corpus)
+    for f in (p1_found, p1_percentiles, p1_bounds, p5_found, p5_counts, p5_hosts, p5_week_overlap, p6_ids, p6_round_trip, p7_selection, p7_quotas, p7_shares, p8_found, p8_corpus)
 }
 
 _PERCENTILES = """
@@ -234,5 +233,14 @@ SQL = {
         UNION ALL SELECT sensor, 'second', count(*) FROM m WHERE b GROUP BY ALL
         UNION ALL SELECT sensor, 'either', count(*) FROM m WHERE a OR b GROUP BY ALL
         UNION ALL SELECT sensor, 'first_only', count(*) FROM m WHERE a AND NOT b GROUP BY ALL""",
-    "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
+    "p6_round_trip": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS hash FROM documents",
+    "p7_quotas": """
+        WITH held AS (SELECT source, sum(n_chars) AS n FROM documents WHERE source IS NOT NULL AND n_chars > 0 GROUP BY ALL),
+        t AS (SELECT mix, source, sum(CASE WHEN isfinite(weight) AND weight > 0 THEN weight ELSE 0 END) AS w, min(max_repeats) AS most FROM mix_targets WHERE mix IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+        j AS (SELECT mix, t.source, w, most, coalesce(n, 0) AS n FROM t LEFT JOIN held USING (source)),
+        m AS (SELECT mix, CAST(sum(CASE WHEN w > 0 THEN n ELSE 0 END) AS DOUBLE) AS size FROM j GROUP BY ALL),
+        b AS (SELECT j.*, greatest(1.0, size / 10000) AS block, CAST(round_even(size / greatest(1.0, size / 10000), 0) AS BIGINT) AS seats FROM j JOIN m USING (mix)),
+        q AS (SELECT mix, source, w / (2 * k + 1) AS quotient, seats FROM b, unnest(range(0, 10000)) AS r(k) WHERE w > 0 AND n > 0 AND k < coalesce(ceil(most * n / block), 10000)),
+        won AS (SELECT mix, source, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY mix ORDER BY quotient DESC, source) AS r FROM q) WHERE r <= seats GROUP BY ALL)
+        SELECT mix, source, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks FROM j LEFT JOIN won USING (mix, source)""",
 }

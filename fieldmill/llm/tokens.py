@@ -6,6 +6,7 @@ printable character; decoding reverses that table over the concatenated tokens,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -79,6 +80,23 @@ def _splitter(ascii_only: bool):
     return re.compile(spelled)
 
 
+#: A text on which the splitter is held against the library's own before it is used.
+_PROBE = "It's 12 o'clock,  they'll\t\tsay: f(x)=1.5e3;\n\n  def é_1(self): ÄÖ ß你好 3月 --\n"
+
+
+@lru_cache(maxsize=4)
+def splits_as_known(path: str) -> bool:
+    """Whether the vocabulary file says that texts are split by PATTERN and changed by nothing else; any other file is left to the library."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    steps, model = held.get("pre_tokenizer") or {}, held.get("model") or {}
+    plain = held.get("normalizer") is None and steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space", True)
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return False
+    own = [m.span() for m in _splitter(False).finditer(_PROBE)]
+    return own == [span for _, span in tokenizer(path).pre_tokenizer.pre_tokenize_str(_PROBE)]
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
@@ -117,7 +135,7 @@ def _settled_ids(text: str, path: str) -> list[int]:
 def _ids(text: str | None, path: str) -> list[int]:
     if not text:
         return []
-    if not os.path.basename(path).startswith("byte_bpe"):
+    if not splits_as_known(path):
         return library_ids([text], path)[0]
     if _SETTLED.fullmatch(text):
         return _settled_ids(text, path)

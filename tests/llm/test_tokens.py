@@ -1,3 +1,4 @@
+import json
 import base64
 
 import pytest
@@ -46,3 +47,15 @@ def test_offsets_cover_the_bytes(spark):
 def test_byte_table_and_empty(spark):
     assert sorted(T.byte_table().values()) == list(range(256))
     assert T.encode(frame(spark).limit(0), ["doc.id"], "text").count() == 0
+
+
+def test_only_files_that_say_so_are_split_here(tmp_path):
+    """A file that splits otherwise is left to the library, whatever its name."""
+    path = f"{T.TOKENIZERS}/{T.BYTE_BPE}"
+    assert T.splits_as_known(path) and not T.splits_as_known(f"{T.TOKENIZERS}/word_bpe_49k.json")
+    held = json.loads(open(path, encoding="utf-8").read())
+    held["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "\\p{N}"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}
+    other = tmp_path / "byte_bpe_digits.json"
+    other.write_text(json.dumps(held), encoding="utf-8")
+    text = "In 2024 it was 1234567 times as much"
+    assert not T.splits_as_known(str(other)) and T.encode_texts([text], str(other)) == T.library_ids([text], str(other)) != T.library_ids([text], path)
