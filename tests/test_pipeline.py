@@ -1,6 +1,7 @@
 import json
 import socket
 import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,18 +209,34 @@ def test_harness_and_scaffold(tmp_path, capsys):
     assert main(["check", "fieldmill.operators.mappers:FlatDefaults"]) == 0 and "native" in capsys.readouterr().out
 
 
+FLAT_TEMPLATE = {
+    "source": {"name": {"$const": "myservice"}}, "seen": {"$gte1": {"$int": {"min": 0, "max": 500}}}, "msg": {"$string": {"len": 8}}, "level": {"$oneOf": ["info", "warn", "error"]},
+    "duration": {"$normal": {"mean": 6, "stdev": 0.8, "min": 0}}, "tags": {"$array": {"of": {"$oneOf": ["alpha", "beta", "prod"]}, "len": 2}},
+}
+
+
 def test_synth(spark):
+    flat = Synth(FLAT_TEMPLATE, 3)
+    for _ in range(200):
+        r = flat.record()
+        assert r["source"] == {"name": "myservice"} and 1 <= r["seen"] <= 500 and len(r["msg"]) == 8 and r["level"] in ("info", "warn", "error") and r["duration"] >= 0 and len(r["tags"]) == 2 and set(r["tags"]) <= {"alpha", "beta", "prod"}
+    now = datetime(2024, 5, 1, 12, 0, 0, 250_000, tzinfo=timezone.utc)
     t = {
-        "n": {"$inc": {"start": 5}}, "s": {"$string": {"len": 8}}, "o": {"$oneOf": ["a", "b"]}, "w": {"$weighted": [["x", 1], ["y", 0]]}, "i": {"$int": {"min": 1, "max": 3}}, "f": {"$float": {}}, "g": {"$normal": {"mean": 6, "stdev": 0.8, "min": 0}},
-        "u": {"$uuid": {}}, "t": {"$now": {}}, "ip": {"$ip4": {"prefix": "10.1"}}, "l": {"$array": {"len": {"$gte1": {"$int": {"min": 0, "max": 2}}}, "of": {"$const": 1}}}, "m": {"$map": {"len": 2, "key": {"$string": {}}, "value": 1}},
-        "r": {"$rangeFrom": {"start": 2, "len": 3}}, "x": {"$let": {"vars": {"q": {"$const": 7}}, "in": {"$ref": "q"}}}, "y": {"$fmt": "{o}-{i}"}, "k": {"$keep": "z"}, "z": {"in": {"$ref": "n"}},
+        "n": {"$inc": {"start": 5, "step": 2}}, "m": {"$map": {"of": {"a": {"$inc": {}}, "b": {"$const": {"$x": 1}}}}}, "w": {"$weighted": [["x", 1], [{"$const": "y"}, 0]]}, "i": {"$int": {"min": 7}}, "f": {"$float": {"min": 2}},
+        "g": {"$normal": {"mean": 100, "stdev": 1, "max": 3}}, "u": {"$uuid": {}}, "t": {"$now": {"format": "unix_ms"}}, "s": {"$now": {"format": "unix"}}, "z": {"$now": {}}, "ip": {"$ip4": {}}, "base": 50,
+        "l": {"$array": {"len": {"$gte1": {"$int": {"min": 0, "max": 0}}}, "of": {"$const": 1}}}, "r": {"$rangeFrom": {"base": "$ref:base", "pct": 0.1}}, "q": {"$rangeFrom": {"base": {"$const": 10}, "pct": 0}}, "k": {"$ref": "base"}, "p": {"deep": {"$ref": "p.lit"}, "lit": [1, {"$const": 2}]},
+        "x": {"$let": {"vars": {"a": {"$const": 7}, "b": {"$fmt": {"template": "<{v}>", "vars": {"v": "$ref:a"}}}}, "in": {"$fmt": {"template": "{b}-{c}-{none}-{d}{", "vars": {"b": "$ref:b", "c": {"$ref": "a"}, "d": {"$oneOf": ["o"]}}}}}},
     }
-    a, b = Synth(t, 3), Synth(t, 3)
+    a, b = Synth(t, 3, now), Synth(t, 3, now)
     one, two = a.record(), a.record()
-    assert one == b.record() and one["n"] == 5 and two["n"] == 6 and one["w"] == "x" and one["r"] == [2, 3, 4] and one["x"] == 7 and one["z"]["in"] == 5 and one["ip"].startswith("10.1.") and one["y"] == f"{one['o']}-{one['i']}"
-    with pytest.raises(ValueError):
-        Synth({"$nope": 1}).record()
-    assert generate(spark, t, 100).count() == 100
+    assert one == b.record() and (one["n"], two["n"]) == (5, 7) and (one["m"], two["m"]["a"]) == ({"a": 0, "b": {"$x": 1}}, 1) and one["w"] == "x" and 7 <= one["i"] <= 107 and 2 <= one["f"] <= 3 and one["g"] == 3
+    assert (one["t"], one["s"], one["z"]) == (1714564800250, 1714564800, "2024-05-01T12:00:00.250000+00:00") and len(one["ip"].split(".")) == 4 and one["l"] == [1] and 45 <= one["r"] <= 55 and one["q"] == 10 and one["k"] == 50
+    assert one["p"] == {"deep": [1, {"$const": 2}], "lit": [1, 2]} and one["x"] == "<7>-7--o{" and len(one["u"]) == 36
+    assert Synth({"a": {"b": {"$keep": None}}}).record() == {"a": {"b": {"$keep": None}}}
+    for wrong in ({"$nope": 1}, {"a": {"$ref": "nowhere"}}):
+        with pytest.raises(ValueError):
+            Synth(wrong).record()
+    assert generate(spark, FLAT_TEMPLATE, 100).count() == 100
 
 
 @pytest.fixture
