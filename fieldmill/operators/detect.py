@@ -54,19 +54,26 @@ def seen_within(df: DataFrame, key: str, at_ms: Column, tie: str, ttl_ms: int |
     return done.select(F.col("key").alias(key), F.col("tie").alias(tie), F.col("at").alias("at_ms"), F.col("hit").alias(out))
 
 
+def of_publication(message: Column) -> Column:
+    """Whether a line can matter to a publication."""
+    return message.contains("npm publish") | message.startswith("npm notice name:") | message.startswith("npm notice shasum:") | message.startswith("+ ")
+
+
 def publish_sequence(df: DataFrame, sha: str, log_file: str, message: str, at_ms: str, seq: str, ttl_ms: int = 15 * 60_000) -> DataFrame:
-    """(sha, seq, step, triggered) of the lines of package publications, in the order of seq within a sha.
+    """(sha, seq, step, triggered) of every line that can matter to a package publication, in the order of seq within a sha.
 
     A line that runs the publish command marks its log file for the time to live; only later lines of the marked file count. The
-    line `+ name@version` then is the publication.
+    line `+ name@version` then is the publication. Lines without a commit or a log file are answered too, by false.
     """
     m = F.trim(col(message))
-    used = df.where((F.coalesce(col(sha), F.lit("")) != "") & (F.coalesce(col(log_file), F.lit("")) != "") & m.isNotNull())
     start = m.contains("##[group]Run") & m.contains("npm publish")
     step = F.when(start, "start").when(m.startswith("npm notice name:"), "name").when(m.startswith("npm notice shasum:"), "shasum").when(m.startswith("+ "), "published")
-    wanted = used.where(m.rlike("npm publish") | step.isNotNull()).withColumn("__step", step)
+    wanted = df.where(of_publication(col(message))).withColumn("__step", step)
+    told = (F.coalesce(col(sha), F.lit("")) != "") & (F.coalesce(col(log_file), F.lit("")) != "")
+    shown = (col(sha).alias("sha"), col(seq).alias("seq"), F.col("__step").alias("step"))
     before = W.partitionBy(col(sha)).orderBy(col(seq)).rowsBetween(W.unboundedPreceding, -1)
     mark = F.last(F.when(F.col("__step") == "start", F.struct(col(log_file).alias("f"), col(at_ms).alias("at"))), ignorenulls=True).over(before)
-    live = wanted.withColumn("__mark", mark)
+    live = wanted.where(told).withColumn("__mark", mark)
     open_ = F.coalesce((F.col("__mark.f") == col(log_file)) & (col(at_ms) < F.col("__mark.at") + ttl_ms), F.lit(False))
-    return live.select(col(sha).alias("sha"), col(seq).alias("seq"), F.col("__step").alias("step"), ((F.col("__step") == "published") & open_).alias("triggered")).fillna(False, ["triggered"])
+    found = live.select(*shown, F.coalesce((F.col("__step") == "published") & open_, F.lit(False)).alias("triggered"))
+    return found.unionByName(wanted.where(~told).select(*shown, F.lit(False).alias("triggered")))

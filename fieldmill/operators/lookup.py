@@ -32,18 +32,18 @@ def enrich(df: DataFrame, key: str, lookup: DataFrame | Callable[[DataFrame], Da
 
 
 def call(request: dict, disabled: bool = False) -> dict:
-    """One HTTP request {id, method, url, headers, body, timeout_ms}: {id, status, body, error}. A transport error gives status 0."""
+    """One HTTP request {id, method, url, headers, body, timeout_ms}: {id, status, headers, body, error}. A transport error gives status 0."""
     if disabled:
-        return {"id": request["id"], "status": 204, "body": b"", "error": None}
+        return {"id": request["id"], "status": 204, "headers": [], "body": b"", "error": None}
     body = request.get("body")
     made = urllib.request.Request(request["url"], data=body.encode() if isinstance(body, str) else body, headers=dict(request.get("headers") or {}), method=request.get("method", "GET"))
     try:
         with urllib.request.urlopen(made, timeout=(request.get("timeout_ms") or 30_000) / 1000) as got:
-            return {"id": request["id"], "status": got.status, "body": got.read(), "error": None}
+            return {"id": request["id"], "status": got.status, "headers": list(got.headers.items()), "body": got.read(), "error": None}
     except urllib.error.HTTPError as e:
-        return {"id": request["id"], "status": e.code, "body": e.read(), "error": None}
+        return {"id": request["id"], "status": e.code, "headers": list(e.headers.items()), "body": e.read(), "error": None}
     except Exception as e:
-        return {"id": request["id"], "status": 0, "body": b"", "error": str(e)}
+        return {"id": request["id"], "status": 0, "headers": [], "body": b"", "error": str(e)}
 
 
 def http_lookup(key: str, url: Callable[[str], str], field: str, client: Callable[[dict], dict] = call, threads: int = 8) -> Callable[[DataFrame], DataFrame]:

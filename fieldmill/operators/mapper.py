@@ -38,12 +38,26 @@ class Mapper:
         """df has raw (string) and v (variant); the result is one row per output record."""
         raise NotImplementedError
 
-    #: Batch mappers override this: a list of LogView to bytes of NDJSON lines.
+    #: Batch mappers override one of these: a list of LogView to bytes of NDJSON lines, or one LogView to one record, None for none.
     process_logs = None
+    process_log = None
 
     @property
     def native(self) -> bool:
-        return self.process_logs is None
+        return self.process_logs is None and self.process_log is None
+
+    def run_batch(self, logs: list[LogView]) -> bytes:
+        if self.process_logs is not None:
+            return self.process_logs(logs)
+        made = (self.process_log(log) for log in logs)
+        return "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in made if x is not None).encode()
+
+    @property
+    def services(self):
+        """The cache, locks and remote calls of this mapper in its worker; keys are its own. Set up by the entries of `runtime` in the configuration."""
+        from ..streaming.services import services_of
+
+        return services_of(self.name, self._config.get("__runtime") or {})
 
 
 def parsed(df: DataFrame) -> DataFrame:
@@ -72,7 +86,7 @@ def _opaque(mapper: Mapper):
             raws = batch.column(0).to_pylist()
             out, error = [], None
             try:
-                done = mapper.process_logs([LogView(r) for r in raws])
+                done = mapper.run_batch([LogView(r) for r in raws])
                 out = [x for x in done.decode("utf-8").split("\n") if x.strip()]
             except Exception as e:
                 if mapper.on_error == "fail":

@@ -184,3 +184,32 @@ class VersionAlert(Mapper):
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(S.string(access(F.col("v"), "npm.dist.shasum")).alias("shasum"), F.lit(False).alias("triggered"))
+
+
+class DuplicateAlert(Mapper):
+    """{triggered}: whether the source's name was seen before within the cache's time to live; each repeat is told to a chat service.
+
+    Runs record by record against the worker's cache; `detect.seen_within` and `state.seen_within` say the same over a cluster.
+    """
+
+    name = "duplicate_alert"
+    on_error = "fail"
+
+    def __init__(self, url: str = "https://slack.com/api/chat.postMessage", channel: str = "alerts", token: str | None = None, service: str | None = None, config: dict | None = None):
+        super().__init__(config)
+        self.url, self.channel, self.token, self.service = url, channel, token, service
+
+    def selectors(self):
+        return [Selector(all=(Eq("source.name", self.service) if self.service else Has("source.name"),))]
+
+    def process_log(self, log) -> dict:
+        name, told = log.get("source.name"), self.services
+        if told.get(str(name)) is None:
+            told.set(str(name), True)
+            return {"triggered": False}
+        body = json.dumps({"text": f"Alert: duplicate source.name detected: {name}", "channel": self.channel})
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.token}"}
+        got = told.call([{"id": "alert", "method": "POST", "url": self.url, "headers": headers, "body": body}])[0]
+        if got["status"] != 204 and not (got["status"] == 200 and json.loads(got["body"] or b"{}").get("ok")):
+            raise RuntimeError(f"the alert was not taken: status {got['status']} {got['error'] or ''}")
+        return {"triggered": True}

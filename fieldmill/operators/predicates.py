@@ -82,10 +82,18 @@ class Gt:
         return _sure(S.numeric(access(v, self.path)) > float(self.bound))
 
 
+#: The POSIX classes as they are within a class of ASCII characters.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_POSIX = re.compile(r"\[:(\^?)(\w+):\]")
+
+
 def java_pattern(pattern: str) -> str:
     """A linear-time regex in the form the JVM reads with the same meaning; look-around and back-references are refused.
 
-    `$` means the very end of the text; character classes are Unicode ones.
+    `$` means the very end of the text; character classes are Unicode ones, but POSIX classes hold ASCII characters.
     """
     out, i, in_class = [], 0, False
     while i < len(pattern):
@@ -97,6 +105,12 @@ def java_pattern(pattern: str) -> str:
             out.append("\\z" if n == "z" else c + n)
             i += 2
             continue
+        if c == "[" and in_class and (found := _POSIX.match(pattern, i)):
+            if found.group(2) not in POSIX:
+                raise ValueError(f"unknown class in {pattern!r}: {found.group(2)}")
+            out.append(f"[{found.group(1)}{POSIX[found.group(2)]}]")
+            i = found.end()
+            continue
         if c == "[" and not in_class:
             in_class = True
         elif c == "]" and in_class and pattern[i - 1] not in "[^":

@@ -9,14 +9,17 @@ from __future__ import annotations
 import importlib
 import json
 import logging
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapper import Mapper, apply, lines, parsed, split_malformed
 from ..sinks.writers import discard, write
+from ..sources.feeds import KINDS, read_feed, stop_all
 from ..sources.files import read_records, stream_records
 from .config import Config, ConfigError, Node, encoding_of
 
@@ -33,7 +36,7 @@ class Compiled:
     kept: list[DataFrame] = field(default_factory=list)
 
 
-def make_mapper(settings: dict) -> Mapper:
+def make_mapper(settings: dict, runtime: dict | None = None) -> Mapper:
     """The mapper that a plugin entry names as `mapper: module:Class`."""
     spelled = settings.get("mapper")
     if not spelled or ":" not in spelled:
@@ -41,6 +44,7 @@ def make_mapper(settings: dict) -> Mapper:
     module, _, name = spelled.partition(":")
     made = getattr(importlib.import_module(module), name)(**(settings.get("arguments") or {}))
     made._config.update(settings.get("config") or {})
+    made._config["__runtime"] = {k: v for k, v in (runtime or {}).items() if k in ("cache", "disable_remote_calls")}
     return made
 
 
@@ -54,17 +58,13 @@ def read_source(spark: SparkSession, name: str, settings: dict, streaming: bool)
     form, compression = how.get("format", "ndjson"), how.get("compression", "auto")
     if kind == "file":
         return (stream_records if streaming else read_records)(spark, settings["path"], form, compression)
-    if kind in ("tcp", "socket"):
-        from ..sources.sockets import LineListener
-
-        spark.dataSource.register(LineListener)
-        address = f"unix:{settings.get('socket_path', '/tmp/sidecar.sock')}" if kind == "socket" else settings.get("bind_address", "0.0.0.0:9000")
-        return spark.readStream.format("line_listener").option("address", address).load()
+    if kind in KINDS:
+        return read_feed(spark, name, settings, streaming)
     if kind == "msk":
         from ..sources.queues import kafka_options, stream_kafka
 
         return stream_kafka(spark, kafka_options(settings["bootstrap_servers"], settings["topic"], settings.get("group_id", "fieldmill"), settings.get("security_protocol", "PLAINTEXT"), settings.get("ssl"), settings.get("auth")), form, compression)
-    raise ConfigError(f"source {name}: a {kind} source is read by its functions in fieldmill.sources and given to compile()")
+    raise ConfigError(f"source {name}: a {kind} is given to compile()")
 
 
 def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] | None = None, mappers: dict[str, Mapper] | None = None, routing: str = "dag", streaming: bool = False, keep: bool = False) -> Compiled:
@@ -92,7 +92,7 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
         fed = _union([lines(out[a.kind, a.name]) for a in origins if (a.kind, a.name) in out])
         records, bad = split_malformed(parsed(fed))
         quarantined[node.name] = bad.select("raw")
-        mapper = mappers.get(node.name) or make_mapper(config.plugins[node.name])
+        mapper = mappers.get(node.name) or make_mapper(config.plugins[node.name], config.runtime)
         out["plugin", node.name] = apply(records, mapper)
         if keep and len(config.targets(node)) > 1:
             out["plugin", node.name] = out["plugin", node.name].persist()
@@ -104,15 +104,31 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
     return Compiled({k: frames[0] if len(frames) == 1 else _union([lines(f) for f in frames]) for k, frames in arriving.items()}, quarantined, undecoded, kept)
 
 
+#: Tries of a sink's write, and the pause before the second; each further pause is twice as long.
+TRIES, PAUSE = 4, 0.5
+
+
 def _write(config: Config, name: str, prefix: str | None, df: DataFrame, batch: str | None = None) -> None:
+    """df into a sink, tried again after a failure. A try leaves nothing that the next would repeat: Spark's committers and the staged
+    names show an output only when it is whole.
+    """
     s = config.sinks[name]
-    if s["type"] == "blackhole":
-        discard(df)
-        return
-    encoding, compression = encoding_of(s)
-    folder = s["path"] if s["type"] == "file" else f"s3a://{s['bucket_name']}"
-    schema = s["encoding"].get("schema") if isinstance(s.get("encoding"), dict) else None
-    write(df, folder, encoding, compression, prefix, schema, batch=batch)
+    for turn in range(TRIES):
+        try:
+            if s["type"] == "blackhole":
+                discard(df)
+                return
+            encoding, compression = encoding_of(s)
+            folder = s["path"] if s["type"] == "file" else f"s3a://{s['bucket_name']}"
+            schema = s["encoding"].get("schema") if isinstance(s.get("encoding"), dict) else None
+            max_bytes = int(s.get("max_file_bytes") or 64 << 20)
+            write(df, folder, encoding, compression, prefix or s.get("key_prefix"), schema, batch=batch, max_bytes=max_bytes)
+            return
+        except Exception as e:
+            if turn == TRIES - 1 or isinstance(e, (AnalysisException, ParseException)):
+                raise
+            logging.getLogger(__name__).warning("sink %s: try %d failed: %s", name, turn + 1, e)
+            time.sleep(PAUSE * 2**turn)
 
 
 def _set_aside(config: Config, made: Compiled, count: bool) -> None:
@@ -178,4 +194,17 @@ def run_stream(spark: SparkSession, config: Config, checkpoint: str, mappers: di
     return started
 
 
-__all__ = ["Compiled", "Node", "compile", "make_mapper", "run_once", "run_stream"]
+def stop(queries: list, seconds: float = 120.0) -> None:
+    """Graceful end: feeds take nothing more and seal what they hold, each query works off what is there, and then stops."""
+    stop_all(min(seconds, 30.0))
+    until = time.monotonic() + seconds
+    for q in queries:
+        idle = False
+        while q.isActive and not idle and time.monotonic() < until:
+            status = q.status
+            idle = not status["isDataAvailable"] and not status["isTriggerActive"]
+            time.sleep(0.05)
+        q.stop()
+
+
+__all__ = ["Compiled", "Node", "compile", "make_mapper", "run_once", "run_stream", "stop"]

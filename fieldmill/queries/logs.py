@@ -71,6 +71,8 @@ SELECTORS = {
     "sel_gt_float": ([_P(all=(Gt("duration", 99.5),))], "value > 99.5"),
     "sel_regex_unanchored": ([_P(all=(Regex("msg", "[aeiou]r"),))], "regexp_matches(event_type, '[aeiou]r')"),
     "sel_regex_end_anchor": ([_P(all=(Regex("msg", "[a-m]$"),))], "regexp_matches(event_type, '[a-m]$')"),
+    "sel_regex_posix": ([_P(all=(Regex("msg", "^[[:alpha:]_]+[[:^digit:]]$"),))], "regexp_matches(event_type, '^[[:alpha:]_]+[[:^digit:]]$')"),
+    "sel_regex_posix_none": ([_P(all=(Regex("msg", "[[:digit:]:]"),))], "regexp_matches(event_type, '[[:digit:]:]')"),
     "sel_any_all_none": (
         [_P(any=(Eq("seen", 3), Gt("duration", 20.0)), all=(Has("msg"), In("source.name", ("svc0", "svc1", "svc2"))), none=(Eq("msg", "click"),))],
         "(user_id = 3 OR value > 20.0) AND user_id % 5 IN (0, 1, 2) AND event_type <> 'click'",
@@ -191,16 +193,19 @@ _TTL_SQL = """
 def sequence_publish(spark, sf_dir):
     """Events read as lines of a build log: types become messages, users become commits."""
     message = F.expr("""case event_type when 'click' then '##[group]Run npm publish --access public' when 'view' then 'npm notice name: p' when 'purchase' then concat('+ p@', event_id) else 'other' end""")
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).cast("string").alias("sha"), F.concat(F.lit("log"), F.col("user_id") % 2).alias("log_file"), message.alias("message"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.struct("ts", "event_id").alias("seq"), "event_id")
+    sha, log_file = F.nullif((F.col("user_id") % 40).cast("string"), F.lit("7")), F.when(F.col("user_id") % 40 == 9, "").otherwise(F.concat(F.lit("log"), F.col("user_id") % 2))
+    rows = table(spark, sf_dir, "events").select(sha.alias("sha"), log_file.alias("log_file"), message.alias("message"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.struct("ts", "event_id").alias("seq"), "event_id")
     found = detect.publish_sequence(rows, "sha", "log_file", "message", "at_ms", "seq", 6 * 3_600_000)
     return found.select("sha", F.col("seq.event_id").alias("event_id"), "step", "triggered")
 
 
 _SEQUENCE_SQL = """
-    WITH m AS (SELECT CAST(user_id % 40 AS VARCHAR) AS sha, 'log' || (user_id % 2) AS f, epoch_ms(ts) AS t, ts, event_id,
-            CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'name' WHEN 'purchase' THEN 'published' END AS step FROM events),
-    w AS (SELECT *, last_value(CASE WHEN step = 'start' THEN struct_pack(f := f, t := t) END IGNORE NULLS) OVER (PARTITION BY sha ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m WHERE step IS NOT NULL)
-    SELECT sha, event_id, step, coalesce(step = 'published' AND mark.f = f AND t < mark.t + 21600000, false) AS triggered FROM w"""
+    WITH m AS (SELECT nullif(CAST(user_id % 40 AS VARCHAR), '7') AS sha, CASE WHEN user_id % 40 = 9 THEN '' ELSE 'log' || (user_id % 2) END AS f, epoch_ms(ts) AS t, ts, event_id,
+            CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'name' WHEN 'purchase' THEN 'published' END AS step FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+    s AS (SELECT sha, f, t, ts, event_id, row_number() OVER (PARTITION BY sha ORDER BY ts, event_id) AS r, step FROM m),
+    w AS (SELECT a.sha, a.event_id, a.step, a.f, a.t, (SELECT max(b.r) FROM s b WHERE b.sha = a.sha AND b.r < a.r AND b.step = 'start') AS mark FROM s a)
+    SELECT w.sha, w.event_id, w.step, coalesce(w.step = 'published' AND w.f <> '' AND b.f = w.f AND w.t < b.t + 21600000, false) AS triggered
+    FROM w LEFT JOIN s b ON b.sha = w.sha AND b.r = w.mark"""
 
 
 def enrich_lookup(spark, sf_dir):
@@ -220,17 +225,12 @@ def version_alert(spark, sf_dir):
     return apply(parsed(raw), VersionAlert())
 
 
-def metrics_counts(spark, sf_dir):
-    df = logs(spark, sf_dir)
-    return df.agg(F.count("*").alias("records"), F.sum(F.octet_length("raw")).alias("bytes"))
-
-
 QUERIES = {"map_flat_defaults": map_flat_defaults} | {name: _selecting(*s) for name, (s, _) in SELECTORS.items()}
 QUERIES |= {
     f.__name__: f
     for f in (
         opaque_mapper_equals_native, acc_scalars, acc_len_bytes, acc_list, acc_map, acc_keys, network_activity, network_activity_typed, dedupe_first_seen, dedupe_ttl, sequence_publish,
-        enrich_lookup, enrich_distinct_keys, version_alert, metrics_counts,
+        enrich_lookup, enrich_distinct_keys, version_alert,
     )
 }
 

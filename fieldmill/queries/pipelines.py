@@ -141,7 +141,7 @@ def logline_split(spark, sf_dir):
 
 def ci_log_events(spark, sf_dir):
     files = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("run_id"), F.col("repo"), F.lit("s").alias("sha"), F.col("path").alias("log_file"), F.col("text").alias("content"))
-    return log_events(files).groupBy(F.col("github.run_id").alias("run_id")).agg(F.count("*").alias("n_lines"))
+    return log_events(files).select(F.col("github.run_id").alias("run_id"), F.col("github.repo").alias("repo"), F.col("github.log_file").alias("log_file"), "pos", F.md5("message").alias("message"), F.col("key.timestamp").alias("at"))
 
 
 def recent_versions_query(spark, sf_dir):
@@ -279,8 +279,9 @@ SQL = {name: _FLAT for name in QUERIES if name.startswith(("decode_json", "decod
     "malformed_quarantined": "SELECT CASE WHEN event_id % 7 = 0 THEN 'quarantined' ELSE 'records' END AS kind, count(*) AS n FROM events GROUP BY ALL",
     "decode_fallback_raw": "SELECT '{\"event_id\": ' || event_id || ',' AS raw FROM events",
     "logline_split": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '2025-11-25T20:22:08.9044760Z' END AS at, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || ' 2025' END AS message FROM events""",
-    "ci_log_events": """SELECT doc_id AS run_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents WHERE text IS NOT NULL)
-        WHERE length(trim(line, ' ')) > 0 GROUP BY ALL""",
+    "ci_log_events": """SELECT doc_id AS run_id, repo, path AS log_file, CAST(i - 1 AS INT) AS pos, md5(regexp_replace(line, '^\ufeff', '')) AS message, CAST(NULL AS VARCHAR) AS at
+        FROM (SELECT doc_id, repo, path, regexp_replace(unnest(lines), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, repo, path, string_split_regex(text, '\\r?\\n') AS lines FROM documents WHERE text IS NOT NULL))
+        WHERE line <> ''""",
     "recent_versions": """SELECT 'npm_package_version' AS kind, 'p' || user_id AS name, CAST(event_id AS VARCHAR) AS version, props AS document FROM events
         WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 500 MINUTE""",
 }

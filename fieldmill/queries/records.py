@@ -65,8 +65,8 @@ def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset of each sensor with a declared zone at noon of each day of conn, as estimated from its readings alone."""
     spans = settled_histories(zone_histories(spark, sf_dir), declared_zones(spark, sf_dir).limit(0)).join(declared_zones(spark, sf_dir).select("place").distinct(), "place")
-    days = table(spark, sf_dir, "conn").agg(F.min(F.to_date(F.substring("ts", 1, 10))).alias("a"), F.max(F.to_date(F.substring("ts", 1, 10))).alias("b"))
-    each = spans.join(F.broadcast(days)).select("place", "spans", F.explode(F.sequence("a", "b")).alias("at"))  # one row of days
+    first, last = table(spark, sf_dir, "conn").agg(F.min(F.to_date(F.substring("ts", 1, 10))), F.max(F.to_date(F.substring("ts", 1, 10)))).first()
+    each = spans.select("place", "spans", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("at"))
     noon = F.unix_date("at").cast("bigint") * 86400 * MICRO + 43200 * MICRO
     begun = F.filter("spans", lambda s: s["from_us"] <= noon)
     span = F.when(F.size(begun) > 0, F.element_at(begun, -1)).otherwise(F.get("spans", F.lit(0)))

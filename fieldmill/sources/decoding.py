@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.msgpack import unpack
 from ..session import col
@@ -111,22 +112,23 @@ def decode_payload(data: bytes, form: str = "ndjson", compression: str = "auto",
     return normalise(decompress(data, resolve_compression(compression, header, filename, data[:8])), form)
 
 
-def decode(df: DataFrame, content: str, form: str = "ndjson", compression: str = "auto", filename: str | None = None, on_error: str = "quarantine") -> DataFrame:
+def decode(df: DataFrame, content: str, form: str = "ndjson", compression: str = "auto", filename: str | None = None, on_error: str = "quarantine", header: str | None = None) -> DataFrame:
     """(raw, error) of a column of binary payloads, one row per record.
 
+    filename and header name columns with the payload's file name and transfer encoding, which tell its compression unless that is given.
     on_error: quarantine (one row with the error, raw null), drop, or fail. Null payloads give nothing.
     """
-    picked = df.select(col(content).cast("binary").alias("c"), *([col(filename).cast("string").alias("f")] if filename else []))
+    told = lambda name: (col(name) if name else F.lit(None)).cast("string")
+    picked = df.select(col(content).cast("binary").alias("c"), told(filename).alias("f"), told(header).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(1).to_pylist() if filename else [None] * batch.num_rows
             raws, errors = [], []
-            for data, name in zip(batch.column(0).to_pylist(), names):
+            for data, name, encoding in zip(*(c.to_pylist() for c in batch.columns)):
                 if data is None:
                     continue
                 try:
-                    got = decode_payload(data, form, compression, None, name)
+                    got = decode_payload(data, form, compression, encoding, name)
                 except Exception as e:
                     if on_error == "fail":
                         raise

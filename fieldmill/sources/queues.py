@@ -32,8 +32,8 @@ def kafka_options(bootstrap: str, topic: str, group_id: str = "fieldmill", secur
 def stream_kafka(spark: SparkSession, options: dict[str, str], form: str = "ndjson", compression: str = "auto") -> DataFrame:
     """(raw, error) of a topic, raw null and the error told where a payload cannot be decoded. The connector is not part of Spark's core; without its package this fails when it is called."""
     messages = spark.readStream.format("kafka").options(**options).load()
-    name = F.element_at(F.filter("headers", lambda h: F.lower(h["key"]) == "filename")["value"], 1).cast("string")
-    return decode(messages.select(F.col("value"), name.alias("filename")), "value", form, compression, "filename")
+    header = lambda key: F.get(F.filter("headers", lambda h: F.lower(h["key"]) == key)["value"], F.lit(0)).cast("string").alias(key)
+    return decode(messages.select("value", header("filename"), header("content-encoding")), "value", form, compression, "filename", header="content-encoding")
 
 
 def object_key(spelled: str) -> str:
@@ -60,11 +60,11 @@ def expand_message(body: str, fetch: Callable[[str, str], bytes], form: str = "n
         return decode_payload(data, "ndjson", "none")
 
 
-def poll_queue(receive: Callable[[], Iterable[dict]], fetch, delete: Callable[[str], None], deliver: Callable[[list[str]], None], form: str = "ndjson") -> int:
+def poll_queue(receive: Callable[[], Iterable[dict]], fetch, delete: Callable[[str], None], deliver: Callable[[list[str]], None], form: str = "ndjson", compression: str = "auto") -> int:
     """One poll: every message {body, receipt} is expanded and delivered, and deleted only after that. Returns the records."""
     n = 0
     for message in receive():
-        lines = expand_message(message["body"], fetch, form)
+        lines = expand_message(message["body"], fetch, form, compression)
         if lines:
             deliver(lines)
         delete(message["receipt"])

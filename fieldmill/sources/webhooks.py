@@ -8,7 +8,7 @@ import hmac
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STAMPED = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))\s+(.*)\z"
+STAMPED = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))\s+(.*)\z"
 
 
 def signature_holds(secret: str, body: bytes, header: str | None) -> bool:
@@ -29,13 +29,15 @@ def answer(event: str | None, body: bytes, secret: str | None = None, signature:
 def split_line(line: Column) -> tuple[Column, Column]:
     """(timestamp or null, message) of a line of a build log."""
     bare = F.regexp_replace(line, "^﻿", "")
-    stamped = bare.rlike(_STAMPED)
-    return F.when(stamped, F.regexp_extract(bare, _STAMPED, 1)), F.when(stamped, F.trim(F.regexp_extract(bare, _STAMPED, 2))).otherwise(bare)
+    stamped = bare.rlike(STAMPED)
+    return F.when(stamped, F.regexp_extract(bare, STAMPED, 1)), F.when(stamped, F.trim(F.regexp_extract(bare, STAMPED, 2))).otherwise(bare)
 
 
 def log_events(files: DataFrame) -> DataFrame:
     """One event per line that is not blank of log files (run_id, repo, sha, log_file, content)."""
-    lines = files.select("run_id", "repo", "sha", "log_file", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
+    bare = F.regexp_replace("line", r"^\s+|\s+\z", "").alias("line")
+    lines = files.select("run_id", "repo", "sha", "log_file", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "line"))
+    lines = lines.select("run_id", "repo", "sha", "log_file", "pos", bare).where("line <> ''")
     at, message = split_line(F.col("line"))
     github = F.struct("run_id", "repo", "sha", "log_file")
     return lines.select(F.lit("github_ci_log").alias("kind"), github.alias("github"), message.alias("message"), F.when(at.isNotNull(), F.struct(at.alias("timestamp"))).alias("key"), "pos")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.detect import ttl_of
+from ..operators.detect import of_publication, ttl_of
 from ..session import col
 
 
@@ -50,22 +51,30 @@ class _Publishing(StatefulProcessor):
             out = []
             for log_file, message in zip(pdf["log_file"], pdf["message"]):
                 m = (message or "").strip()
-                if "##[group]Run" in m and "npm publish" in m:
+                if log_file is None:
+                    out.append(False)
+                elif "##[group]Run" in m and "npm publish" in m:
                     self.started.update((log_file,))
                     out.append(False)
                 else:
                     mark = self.started.get() if self.started.exists() else None
                     out.append(m.startswith("+ ") and mark is not None and mark[0] == log_file)
-            yield pd.DataFrame({"sha": [key[0]] * len(pdf), "message": pdf["message"], "triggered": out})
+            yield pd.DataFrame({"sha": pdf["sha"], "message": pdf["message"], "triggered": out})
 
     def close(self) -> None:
         pass
 
 
 def publish_sequence(stream: DataFrame, ttl_ms: int = 15 * 60_000) -> DataFrame:
-    """(sha, message, triggered) of a stream of (sha, log_file, message)."""
-    used = stream.where("coalesce(sha, '') <> '' AND coalesce(log_file, '') <> '' AND message IS NOT NULL").select("sha", "log_file", "message")
-    return used.groupBy("sha").transformWithStateInPandas(_Publishing(ttl_ms), "sha string, message string, triggered boolean", "Append", "ProcessingTime")
+    """(sha, message, triggered) of a stream of (sha, log_file, message), for the same lines as the batch form.
+
+    Lines without a commit or a log file share no state: each has a key of its own in the place of the commit's.
+    """
+    told = (F.coalesce("sha", F.lit("")) != "") & (F.coalesce("log_file", F.lit("")) != "")
+    used = stream.where(of_publication(F.col("message"))).select(F.when(told, F.col("sha")).otherwise(F.lit(None)).alias("key"), "sha", "log_file", "message")
+    alone = F.concat(F.lit("\0"), F.xxhash64("sha", "log_file", "message").cast("string"))
+    keyed = used.select(F.coalesce("key", alone).alias("key"), "sha", F.when(F.col("key").isNotNull(), F.col("log_file")).alias("log_file"), "message")
+    return keyed.groupBy("key").transformWithStateInPandas(_Publishing(ttl_ms), "sha string, message string, triggered boolean", "Append", "ProcessingTime")
 
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

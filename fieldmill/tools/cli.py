@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import signal
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -87,6 +89,7 @@ def main(args: list[str] | None = None) -> int:
     run.add_argument("--config", required=True)
     run.add_argument("--once", action="store_true")
     run.add_argument("--checkpoint", default="checkpoint")
+    run.add_argument("--metrics-port", type=int, default=0)
     show = sub.add_parser("show")
     show.add_argument("--config", required=True)
     test = sub.add_parser("test")
@@ -112,6 +115,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     from ..plans import config as C
     from ..plans import graph as G
+    from ..streaming.metrics import Metrics
 
     if a.command == "show":
         print(json.dumps(C.summary(C.load_file(a.config)), indent=2))
@@ -134,17 +138,29 @@ def main(args: list[str] | None = None) -> int:
                 continue
             for t in settings.get("tests") or ():
                 base = Path(a.config).parent
-                diff = golden(spark, G.make_mapper(settings), str(base / t["input"]), str(base / t["expected"]))
+                diff = golden(spark, G.make_mapper(settings, config.runtime), str(base / t["input"]), str(base / t["expected"]))
                 print(f"{name} {t['input']}: " + ("ok" if not diff else "FAILED\n" + diff))
                 failed += bool(diff)
         return int(failed > 0)
+    metrics = Metrics()
+    spark.streams.addListener(metrics)
+    if a.metrics_port:
+        print(f"metrics on port {metrics.serve(a.metrics_port)}", file=sys.stderr)
     for w in config.warnings():
         print(f"warning: {w}", file=sys.stderr)
     if a.once:
         G.run_once(spark, config)
         return 0
-    for q in G.run_stream(spark, config, a.checkpoint):
-        q.awaitTermination()
+    queries = G.run_stream(spark, config, a.checkpoint)
+    ended = threading.Event()
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, lambda *_: ended.set())
+    while not ended.wait(0.5) and all(q.isActive for q in queries):
+        pass
+    G.stop(queries)
+    failed = [q.exception() for q in queries if q.exception() is not None]
+    if failed:
+        raise failed[0]
     return 0
 
 

@@ -3,11 +3,11 @@ import os
 import pytest
 
 from compare import DATA, check, tables
-from fieldmill.queries import logs, pipelines, records
+from fieldmill.queries import engine, logs, pipelines, records
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SQL = logs.SQL | pipelines.SQL | records.SQL
-QUERIES = logs.QUERIES | pipelines.QUERIES | records.QUERIES
+SQL = logs.SQL | pipelines.SQL | engine.SQL | records.SQL
+QUERIES = logs.QUERIES | pipelines.QUERIES | engine.QUERIES | records.QUERIES
 #: Selectors share one shape; test_fields covers their meaning, so a few stand for all here.
 PICKED = [n for n in SQL if not n.startswith("sel_") or n in ("sel_any_all_none", "sel_regex_end_anchor", "sel_in_numbers")]
 
