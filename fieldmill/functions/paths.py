@@ -56,8 +56,45 @@ def _get(v: Column, keys: list[str | int]) -> Column:
     return F.try_variant_get(v, "$" + "".join(map(_step, run)), "variant") if run else v
 
 
-def access(v: Column, path: str) -> Column:
+class Fields:
+    """The keys of a record's root that some paths need, parsed by themselves: what `access` takes in the place of a whole document.
+
+    A path needs its literal key and the first key of its nested form; other keys are skipped by the parser and never built.
+    """
+
+    def __init__(self, paths):
+        self.roots: list[str] = []
+        for path in paths:
+            nested = segments(path) if "." in path or "[" in path else None
+            for key in (path, *([nested[0]] if nested else [])):
+                if key not in self.roots:
+                    self.roots.append(key)
+
+    @property
+    def usable(self) -> bool:
+        """Whether the keys can stand side by side as columns."""
+        return len({k.lower() for k in self.roots}) == len(self.roots) and "" not in self.roots and not any(k.lower() == CORRUPT for k in self.roots)
+
+    def schema(self) -> str:
+        quoted = ("`" + k.replace("`", "``") + "` variant" for k in self.roots)
+        return ", ".join([*quoted, f"{CORRUPT} string"])
+
+    def at(self, path: str) -> Column:
+        root = lambda key: F.col("`" + key.replace("`", "``") + "`")
+        nested = segments(path) if "." in path or "[" in path else None
+        if not nested:
+            return root(path)
+        return F.coalesce(root(path), _get(root(nested[0]), nested[1:]))
+
+
+#: The column that holds a text that could not be parsed.
+CORRUPT = "__corrupt"
+
+
+def access(v: Column | Fields, path: str) -> Column:
     """The variant at a path: SQL NULL if nothing is there, a variant null if a JSON null is."""
+    if isinstance(v, Fields):
+        return v.at(path)
     literal = _get(v, [path])
     if "." not in path and "[" not in path:
         return literal

@@ -85,8 +85,9 @@ def get_list(v: Column, path: str) -> Column:
 
 
 def string_list(v: Column, path: str) -> Column:
-    """The scalars of a list as text."""
-    return F.transform(get_list(v, path), scalar_text)
+    """The scalars of a list as text. A list of strings, perhaps with nulls, is told by its type at once."""
+    x = access(v, path)
+    return F.when(F.schema_of_variant(x) == "ARRAY<STRING>", F.array_compact(F.try_variant_get(x, "$", "array<string>"))).otherwise(F.transform(get_list(v, path), scalar_text))
 
 
 def get_map(v: Column, path: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logview import LogView
+from ..functions.paths import CORRUPT, Fields
 from .predicates import matches, necessary
 
 
@@ -34,9 +35,16 @@ class Mapper:
     def selectors(self) -> list:
         return []
 
+    #: The paths that `from_fields` reads, if that is all a native mapper needs; only these are parsed then.
+    fields: tuple[str, ...] | None = None
+
+    def from_fields(self, df: DataFrame, v) -> DataFrame:
+        """The result over df, where v is what `access` reads fields from: a document or single fields."""
+        raise NotImplementedError
+
     def transform(self, df: DataFrame) -> DataFrame:
         """df has raw (string) and v (variant); the result is one row per output record."""
-        raise NotImplementedError
+        return self.from_fields(df, F.col("v"))
 
     #: Batch mappers override one of these: a list of LogView to bytes of NDJSON lines, or one LogView to one record, None for none.
     process_logs = None
@@ -105,6 +113,29 @@ def apply(df: DataFrame, mapper: Mapper) -> DataFrame:
     return mapper.transform(wanted) if mapper.native else wanted.select("raw").mapInArrow(_opaque(mapper), "out string, error string")
 
 
+def _paths(selectors) -> list[str]:
+    return [p.path for s in selectors for p in (*s.any, *s.all, *s.none)]
+
+
+def apply_raw(df: DataFrame, mapper: Mapper) -> DataFrame:
+    """The mapper's output over lines (raw), blank and malformed ones left out.
+
+    A mapper's selectors, and all of a native mapper that names its fields, need a few keys of each record: only these are parsed, with their
+    kinds kept. Other native mappers get whole documents. Of a key that a record repeats, the last value holds.
+    """
+    wanted = mapper.selectors()
+    fields = Fields([*(mapper.fields or ()), *_paths(wanted)])
+    if (mapper.native and mapper.fields is None) or not fields.usable or not fields.roots:
+        return apply(split_malformed(parsed(df))[0], mapper)
+    near = df.select("raw").where(necessary(wanted, F.col("raw")) & (F.length(F.trim("raw")) > 0))
+    is_object = F.ltrim("raw").startswith("{")
+    read = F.from_json(F.when(is_object, F.col("raw")), fields.schema(), {"columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"})
+    held = near.select("raw", F.inline(F.array(F.coalesce(read, F.from_json(F.lit("{}"), fields.schema())))))
+    valid = F.when(is_object, F.col(CORRUPT).isNull()).otherwise(F.try_parse_json("raw").isNotNull())
+    chosen = held.where(matches(wanted, fields) & valid)
+    return mapper.from_fields(chosen, fields) if mapper.native else chosen.select("raw").mapInArrow(_opaque(mapper), "out string, error string")
+
+
 def lines(df: DataFrame) -> DataFrame:
     """Any mapper's output as records again: one JSON text per row in `raw`."""
     if df.columns == ["out", "error"]:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.paths import access
+from ..functions.paths import Fields, access
 from .mapper import Mapper
 from .predicates import Eq, Has, Selector
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Only these columns, each computed once: a generated row keeps the optimizer from copying them into later uses."""
+def _once(df: DataFrame, v=None, **columns: Column) -> DataFrame:
+    """Only these columns, each computed once: a generated row keeps the optimizer from copying them into later uses. Single fields are columns already."""
+    if isinstance(v, Fields):
+        return df.select(*(c.alias(n) for n, c in columns.items()))
     return df.select(F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
@@ -30,9 +32,10 @@ class FlatDefaults(Mapper):
     def selectors(self):
         return [Selector(all=(Eq("source.name", self.service),))]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        v = F.col("v")
-        got = _once(df, msg=access(v, "msg"), level=access(v, "msg.level"), seen=access(v, "seen"), duration=access(v, "duration"), service=access(v, "source.name"), tags=S.string_list(v, "tags"))
+    fields = ("msg", "msg.level", "seen", "duration", "source.name", "tags")
+
+    def from_fields(self, df: DataFrame, v) -> DataFrame:
+        got = _once(df, v, msg=access(v, "msg"), level=access(v, "msg.level"), seen=access(v, "seen"), duration=access(v, "duration"), service=access(v, "source.name"), tags=S.string_list(v, "tags"))
         return got.select(
             F.coalesce(S.string(F.col("msg")), F.lit("")).alias("message"), F.coalesce(S.string(F.col("level")), F.lit("")).alias("level"),
             F.coalesce(S.bigint(F.col("seen")), F.lit(0).cast("bigint")).alias("seen"), F.coalesce(S.double(F.col("duration")), F.lit(0.0)).alias("duration"),
@@ -86,9 +89,10 @@ class NetworkActivity(Mapper):
     def selectors(self):
         return [Selector(all=(Has("uid"), Eq("_path", "conn")))]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        v = F.col("v")
-        raw = _once(df, **{p: access(v, p) for p in (*self.TEXT, *self.WHOLE, *self.REAL, *self.FLAG)}, **{p: S.string_list(v, p) for p in self.LISTS})
+    fields = (*TEXT, *WHOLE, *REAL, *FLAG, *LISTS)
+
+    def from_fields(self, df: DataFrame, v) -> DataFrame:
+        raw = _once(df, v, **{p: access(v, p) for p in (*self.TEXT, *self.WHOLE, *self.REAL, *self.FLAG)}, **{p: S.string_list(v, p) for p in self.LISTS})
         q = lambda p: F.col(f"`{p}`")
         typed = [S.string(q(p)).alias(p) for p in self.TEXT] + [S.bigint(q(p)).alias(p) for p in self.WHOLE] + [S.numeric(q(p)).alias(p) for p in self.REAL]
         return self.from_columns(raw.select(*typed, *(S.boolean(q(p)).alias(p) for p in self.FLAG), *(q(p) for p in self.LISTS)))

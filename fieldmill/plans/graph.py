@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapper import Mapper, apply, lines, parsed, split_malformed
+from ..operators.mapper import Mapper, apply_raw, lines, parsed, split_malformed
 from ..sinks.writers import discard, write
 from ..sources.feeds import KINDS, read_feed, stop_all
 from ..sources.files import read_records, stream_records
@@ -90,10 +90,9 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
         if not origins:
             continue
         fed = _union([lines(out[a.kind, a.name]) for a in origins if (a.kind, a.name) in out])
-        records, bad = split_malformed(parsed(fed))
-        quarantined[node.name] = bad.select("raw")
+        quarantined[node.name] = split_malformed(parsed(fed))[1].select("raw")
         mapper = mappers.get(node.name) or make_mapper(config.plugins[node.name], config.runtime)
-        out["plugin", node.name] = apply(records, mapper)
+        out["plugin", node.name] = apply_raw(fed, mapper)
         if keep and len(config.targets(node)) > 1:
             out["plugin", node.name] = out["plugin", node.name].persist()
             kept.append(out["plugin", node.name])

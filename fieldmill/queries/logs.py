@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..functions.paths import access
 from ..operators import detect
 from ..operators.lookup import enrich
-from ..operators.mapper import apply, parsed
+from ..operators.mapper import apply, apply_raw, parsed
 from ..operators.mappers import Enrich, FlatDefaults, FlatDefaultsBatch, NetworkActivity, VersionAlert
 from ..operators.predicates import Eq, Gt, Has, In, Prefix, Regex, Selector, matches
 from ..session import col
@@ -43,11 +43,11 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def map_flat_defaults(spark, sf_dir):
-    return _flat(apply(records(spark, sf_dir), FlatDefaults("svc1")))
+    return _flat(apply_raw(logs(spark, sf_dir), FlatDefaults("svc1")))
 
 
 def opaque_mapper_equals_native(spark, sf_dir):
-    out = apply(records(spark, sf_dir), FlatDefaultsBatch("svc1"))
+    out = apply_raw(logs(spark, sf_dir), FlatDefaultsBatch("svc1"))
     return _flat(out.select(F.from_json("out", "message string, level string, seen bigint, duration double, service string, tags array<string>").alias("o")).select("o.*"))
 
 
@@ -142,7 +142,7 @@ def _finite_conn(spark, sf_dir) -> DataFrame:
 def network_activity(spark, sf_dir):
     """Every conn record written as JSON, parsed again, selected and mapped."""
     raw = _finite_conn(spark, sf_dir).select(F.to_json(F.struct(*(col(c) for c in _finite_conn(spark, sf_dir).columns))).alias("raw"))
-    return _activity_columns(apply(parsed(raw), NetworkActivity()))
+    return _activity_columns(apply_raw(raw, NetworkActivity()))
 
 
 def network_activity_typed(spark, sf_dir):

@@ -68,14 +68,14 @@ def scaffold(folder: str, name: str) -> list[str]:
 
 def throughput(spark: SparkSession, raw, mapper) -> dict:
     """Bytes and records a second of a mapper over records held in memory, after one warm-up."""
-    from ..operators.mapper import apply, parsed
+    from ..operators.mapper import apply_raw
     from ..sinks.writers import discard
 
     raw = raw.persist()
     total = raw.selectExpr("count(*) AS n", "sum(octet_length(raw) + 1) AS b").first()
     for _ in range(2):
         began = time.perf_counter()
-        discard(apply(parsed(raw), mapper))
+        discard(apply_raw(raw, mapper))
         took = time.perf_counter() - began
     raw.unpersist()
     return {"records": total.n, "bytes": total.b, "seconds": took, "mb_per_second": total.b / took / 1e6, "records_per_second": total.n / took}
