@@ -9,8 +9,9 @@ therefore combinable: states of days, files or partitions are added up (`merge_s
 bounds each percentile to one cell, whose ends are values of the data and lie within a factor of 2**(1/CELLS) of each other (0.55 %);
 further passes over the rows narrow that down to the value itself.
 
-Only rows inside open intervals are counted after the first pass, and counts are added up on the map side, so a group with a
-third of all rows costs its share of the scan and no more than its cells in the shuffle.
+The rows are read twice: for the state, and to write those that lie in a cell with an open interval, a few in a hundred, equal values as one.
+Further passes read only these. Counts are added up on the map side, so a group with a third of all rows costs its share of the scan
+and no more than its cells in the shuffle.
 """
 
 from __future__ import annotations
@@ -77,8 +78,6 @@ def _narrowed(rows: DataFrame, open_: DataFrame, groups: list[str], small: bool)
     targets = open_.select(*(col(g).alias(a) for g, a in named.items()), "q", "rank", "below", F.col("low").alias("__low"), F.col("high").alias("__high"), F.col("cell").alias("__cell"))
     if small:
         targets = F.broadcast(targets)
-    else:  # equal values fold into one row before they are shuffled to their targets; the cell spreads large groups
-        rows = rows.groupBy(*(col(g) for g in groups), "cell", "__v").agg(F.sum("__w").alias("__w"))
     match = F.col("cell") == F.col("__cell")
     for g, a in named.items():
         match &= col(g).eqNullSafe(F.col(a))
@@ -93,6 +92,17 @@ def _narrowed(rows: DataFrame, open_: DataFrame, groups: list[str], small: bool)
     return parts.select(*(F.col(a).alias(g) for g, a in named.items()), "q", "rank", (F.col("__upto") - F.col("inside")).alias("below"), "inside", "low", "high", F.col("__cell").alias("cell"))
 
 
+def _inside(rows: DataFrame, open_: DataFrame, groups: list[str]) -> DataFrame:
+    """The rows (groups, __v, __w, cell) that lie in a cell with an open interval, equal values of a group as one; written once for all further passes."""
+    named = {g: f"__c{i}" for i, g in enumerate(groups)}
+    cells = durable(open_.select(*(col(g).alias(a) for g, a in named.items()), F.col("cell").alias("__cell")).distinct())
+    match = F.col("cell") == F.col("__cell")
+    for g, a in named.items():
+        match &= col(g).eqNullSafe(F.col(a))
+    met = rows.join(broadcast_if_small(cells, cells.count()), match, "left_semi")
+    return durable(met.groupBy(*(col(g) for g in groups), "cell", "__v").agg(F.sum("__w").alias("__w")))
+
+
 def percentiles(rows: DataFrame, groups: list[str], value: str, at: list[float], merged: DataFrame | None = None, passes: int | None = None, tolerance: float = 0.0) -> DataFrame:
     """groups, q, n, low, high: the percentile of each group and q lies between low and high, both values of the data.
 
@@ -118,6 +128,8 @@ def percentiles(rows: DataFrame, groups: list[str], value: str, at: list[float],
         if not left:
             done[-1] = now
             break
+        if turn == 0:
+            live = _inside(live, open_, groups)
         now = durable(_narrowed(live, open_, groups, left <= BROADCAST_ROWS))
         turn += 1
     out = done[0]
