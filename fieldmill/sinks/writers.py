@@ -89,7 +89,7 @@ def _stage(df: DataFrame, folder: str, encoding: str, compression: str, schema:
 
 
 def _publish(df: DataFrame, staged: str, target: str, stem: str, suffix: str, clear: str | None) -> None:
-    """The staged files under their final names, by Hadoop's file system; what matches `clear` goes first."""
+    """The staged files that are not empty under their final names, by Hadoop's file system; what matches `clear` goes first."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     files = path(staged).getFileSystem(conf)
@@ -97,7 +97,7 @@ def _publish(df: DataFrame, staged: str, target: str, stem: str, suffix: str, cl
         for old in files.globStatus(path(f"{target}/{clear}")) or []:
             if not old.getPath().getName().startswith(("_", ".")):
                 files.delete(old.getPath(), True)
-    names = sorted(f.getPath().getName() for f in files.listStatus(path(staged)))
+    names = sorted(f.getPath().getName() for f in files.listStatus(path(staged)) if f.getLen() > 0)
     for i, name in enumerate(n for n in names if n.startswith("part-")):
         if not files.rename(path(f"{staged}/{name}"), path(f"{target}/{stem}-{i:05d}{suffix}")):
             raise OSError(f"{target}/{stem}-{i:05d}{suffix} could not be written")
