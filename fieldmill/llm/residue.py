@@ -102,9 +102,18 @@ def sentences(cell: str) -> Iterator[str]:
         yield from (x for x in _SENTENCE.split(line.strip()) if x)
 
 
+#: A digit by itself beside a letter, and the letters that digits are written for.
+_DISGUISED = re.compile(r"(?<=[^\W\d_])[013457](?!\d)|(?<!\d)[013457](?=[^\W\d_])")
+_LETTERS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t"}
+_DIGIT = re.compile(r"\d")
+
+
 def words_of(sentence: str) -> list[str]:
-    """The words of a sentence in lower case, numbers and ids as 0."""
-    return _WORD.findall(_ID.sub("0", sentence.lower()))
+    """The words of a sentence in lower case, ids and numbers as 0, single digits within words as the letters they look like."""
+    text = sentence.lower()
+    if _DIGIT.search(text):
+        text = _ID.sub("0", _DISGUISED.sub(lambda m: _LETTERS[m.group()], text))
+    return _WORD.findall(text)
 
 
 #: One of these is in every match of _MARKED.
@@ -212,7 +221,7 @@ def wordings(judged: DataFrame) -> DataFrame:
 
 def residue(
     df: DataFrame, key: str, text: str, cells: str | None = None, path: str | None = None, host: str | None = None,
-    share: float = 0.5, hosts: int = 3, purity: float = 0.4, coverage: float = 0.6, detectors: bool = True,
+    share: float = 0.5, hosts: int = 3, purity: float = 0.4, coverage: float = 0.5, detectors: bool = True,
 ) -> DataFrame:
     """(key string, residue, learned, total, flagged): the weights of every document that has a text, and whether it is residue.
 

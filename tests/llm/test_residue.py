@@ -87,6 +87,11 @@ def test_placeholders(sentence, is_one):
     assert R.placeholder(sentence, R.weight(sentence)) == is_one
 
 
+@pytest.mark.parametrize("sentence,words", [("Th3 s3rv3r t00k 12 tries, id 8ac841b8-3e81!", "the server t0k 0 tries id 0"), ("3rr3ichbar (503)", "erreichbar 0"), ("続ける 5", "続 け る 0"), ("", "")])
+def test_words(sentence, words):
+    assert " ".join(R.words_of(sentence)) == words
+
+
 def test_long_repeated_and_empty(spark):
     long = "lorem ipsum dolor amet " * 20_000
     rows = [doc(1, long), doc(1, long), doc(2, "word " * 50_000 + PROSE)]
