@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import col
+from ..session import BROADCAST_ROWS, col
 
 DEFAULT_TTL_MS, MAX_TTL_MS = 10 * 60_000, 60 * 60_000
 
@@ -20,9 +20,18 @@ def ttl_of(ttl_ms: int | None) -> int:
 
 
 def seen_before(df: DataFrame, key: str, order: list[str], out: str = "triggered") -> DataFrame:
-    """df with `out`: whether the key came before in the order given. No time to live. Null keys are false."""
-    first = F.row_number().over(W.partitionBy(col(key)).orderBy(*order))
-    return df.withColumn(out, col(key).isNotNull() & (first > 1))
+    """df with `out`: whether the key came before in the order given. No time to live. Null keys are false; of rows equal in key and order one is the first.
+
+    A key's first place is found by an aggregation on the map side and joined back, so that a key with many rows is sorted nowhere; only rows in the
+    first place are numbered.
+    """
+    at = F.struct(*(col(c) for c in order))
+    first = df.where(col(key).isNotNull()).groupBy(col(key).alias("__key")).agg(F.min(at).alias("__first"))
+    small = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = df.join(F.broadcast(first) if small else first, col(key) == F.col("__key"), "left").withColumn("__is_first", F.coalesce(at.eqNullSafe(F.col("__first")) & F.col("__key").isNotNull(), F.lit(False)))
+    ones = joined.where("__is_first").withColumn(out, F.row_number().over(W.partitionBy("__key").orderBy(F.lit(0))) > 1)
+    rest = joined.where("NOT __is_first").withColumn(out, col(key).isNotNull())
+    return ones.unionByName(rest).drop("__key", "__first", "__is_first")
 
 
 def seen_within(df: DataFrame, key: str, at_ms: Column, tie: str, ttl_ms: int | None = None, out: str = "triggered") -> DataFrame:

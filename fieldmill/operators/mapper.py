@@ -62,10 +62,10 @@ class Mapper:
 
     @property
     def services(self):
-        """The cache, locks and remote calls of this mapper in its worker; keys are its own. Set up by the entries of `runtime` in the configuration."""
+        """The cache, locks and remote calls of the worker. Set up by the entries of `runtime` in the configuration."""
         from ..streaming.services import services_of
 
-        return services_of(self.name, self._config.get("__runtime") or {})
+        return services_of(self._config.get("__runtime") or {})
 
 
 def parsed(df: DataFrame) -> DataFrame:

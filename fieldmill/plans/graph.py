@@ -142,11 +142,17 @@ def _set_aside(config: Config, made: Compiled, count: bool) -> None:
             logging.getLogger(__name__).warning("%s %s: %d rows could not be read", kind, name, n)
 
 
+def _batches(spark: SparkSession, config: Config) -> None:
+    """Python mappers get batches of at most `runtime.batch_size` KiB, 256 without it, or one larger record."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(int(config.runtime.get("batch_size") or 256) << 10))
+
+
 def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
     """Every sink written from the sources as they are now, and what could not be read into the folder `runtime.quarantine`, if there is one.
 
     The records of a plugin that several nodes read are kept on the executors until all sinks are written.
     """
+    _batches(spark, config)
     made = compile(spark, config, keep=True, **more)
     try:
         for (name, prefix), df in made.sinks.items():
@@ -163,13 +169,15 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
 
 
-def run_stream(spark: SparkSession, config: Config, checkpoint: str, mappers: dict[str, Mapper] | None = None, available_now: bool = False, trigger: str = "1 second") -> list:
+def run_stream(spark: SparkSession, config: Config, checkpoint: str, mappers: dict[str, Mapper] | None = None, available_now: bool = False, trigger: str | None = None) -> list:
     """One query per source. A batch's source offsets are committed after all its sinks returned.
 
     A batch's objects are named by the query and the number of the batch, so a batch that runs again after a failure replaces what it wrote
-    before. Malformed lines and undecodable payloads of a batch are written to the folder `runtime.quarantine`; without one they are
+    before. A batch starts every `runtime.batch_age` milliseconds, a second without it. Malformed lines and undecodable payloads of a batch are written to the folder `runtime.quarantine`; without one they are
     counted in the log.
     """
+    _batches(spark, config)
+    trigger = trigger or (f"{int(config.runtime['batch_age'])} milliseconds" if config.runtime.get("batch_age") else "1 second")
     started = []
     for name, settings in config.sources.items():
         stream = read_source(spark, name, settings, streaming=True)

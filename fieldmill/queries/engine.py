@@ -413,6 +413,24 @@ def mapper_quarantine(spark, sf_dir):
     return made.agg(F.count("*").alias("n"), F.countDistinct(number).alias("n_distinct"), F.min(error).alias("least"), F.max(error).alias("most"))
 
 
+class _Sizes(_Batch):
+    def process_logs(self, logs):
+        return json.dumps({"n": len(logs), "bytes": sum(len(x.raw) for x in logs)}).encode() + b"\n"
+
+
+def mapper_batches(spark, sf_dir):
+    """The batches that a Python mapper gets from a pipeline with a limit of 16 KiB: all records, none too large, more than one."""
+    folder = _folder(spark)
+    _lines(spark, sf_dir).select(F.col("raw").alias("value")).write.text(f"{folder}/in")
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        run_once(spark, _config({"type": "file", "path": f"{folder}/in"}, folder, runtime={"batch_size": 16}), mappers={"flat": _Sizes()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held) if held is not None else spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = spark.read.schema("n bigint, bytes bigint").json(f"{folder}/out")
+    return made.agg(F.sum("n").alias("records"), (F.max("bytes") <= 17 << 10).alias("within"), (F.count("*") > 1).alias("several"))
+
+
 def mapper_metadata(spark, sf_dir):
     made = [Whole(), FlatDefaults("svc1"), DuplicateAlert()]
     return spark.createDataFrame([(m.name, m.version, len(m.selectors()), m.native) for m in made], "name string, version string, selectors bigint, native boolean")
@@ -584,7 +602,7 @@ def metrics_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        source_tcp, source_unix, source_webhook, source_sqs, source_npm, source_kafka_payloads, source_file_stream, queue_messages, webhook_run_logs, logview_accessors, mapper_services, duplicate_alert, remote_lookup, mapper_quarantine,
+        source_tcp, source_unix, source_webhook, source_sqs, source_npm, source_kafka_payloads, source_file_stream, queue_messages, webhook_run_logs, logview_accessors, mapper_services, duplicate_alert, remote_lookup, mapper_quarantine, mapper_batches,
         mapper_metadata, sink_blackhole, sink_objects, encode_content_types, encode_parquet_schema, config_refusals, config_shown, pipeline_once, pipeline_stopped, route_broadcast, golden_test, synth_records, metrics_counts,
     )
 }
@@ -605,6 +623,7 @@ SQL = {n: _FLAT for n in ("source_tcp", "source_unix", "source_webhook", "source
         SELECT 'false' AS what, d AS n FROM t UNION ALL SELECT 'true', n - d FROM t UNION ALL SELECT 'told', n - d FROM t""",
     "remote_lookup": "SELECT event_id, event_type, upper(event_type) AS shout, true AS asked_once FROM events",
     "mapper_quarantine": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, 'ValueError: eleven' AS least, 'ValueError: eleven' AS most FROM events",
+    "mapper_batches": "SELECT count(*) AS records, true AS within, true AS several FROM events",
     "mapper_metadata": "SELECT * FROM (VALUES ('whole', '1.2.3', CAST(1 AS BIGINT), true), ('flat_defaults', '0.1.0', 1, true), ('duplicate_alert', '0.1.0', 1, false)) AS t(name, version, selectors, native)",
     "sink_blackhole": f"SELECT count(*) AS records, CAST(sum(strlen({_RAW})) AS BIGINT) AS bytes FROM events",
     "sink_objects": "SELECT 'records' AS what, count(*) AS value FROM events UNION ALL SELECT unnest(['named', 'within', 'several']), 1",

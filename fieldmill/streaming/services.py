@@ -66,28 +66,11 @@ class Cache:
 
 
 class Services:
-    """What a mapper may ask for: a cache and locks under keys of its own, and remote calls in batches."""
+    """What a mapper may ask for: the cache and the locks, which all mappers of a worker share, and remote calls in batches."""
 
-    def __init__(self, name: str, cache: Cache, client: Callable[[dict], dict] = call, disabled: bool = False, threads: int = 8):
-        self.name, self._cache, self.client, self.disabled, self.threads = name, cache, client, disabled, threads
-
-    def _key(self, key: str) -> str:
-        return f"{self.name}\0{key}"
-
-    def get(self, key: str):
-        return self._cache.get(self._key(key))
-
-    def set(self, key: str, value, ttl_ms: int | None = None) -> None:
-        self._cache.set(self._key(key), value, ttl_ms)
-
-    def delete(self, key: str) -> bool:
-        return self._cache.delete(self._key(key))
-
-    def acquire(self, key: str) -> bool:
-        return self._cache.acquire(self._key(key))
-
-    def release(self, key: str) -> None:
-        self._cache.release(self._key(key))
+    def __init__(self, cache: Cache, client: Callable[[dict], dict] = call, disabled: bool = False, threads: int = 8):
+        self._cache, self.client, self.disabled, self.threads = cache, client, disabled, threads
+        self.get, self.set, self.delete, self.acquire, self.release = cache.get, cache.set, cache.delete, cache.acquire, cache.release
 
     def call(self, requests: list[dict]) -> list[dict]:
         """The answers {id, status, headers, body, error} in the order of the requests, asked side by side. An answer to a GET is kept for its `cache_ttl_ms`."""
@@ -100,22 +83,22 @@ class Services:
         ttl, kept = request.get("cache_ttl_ms"), f"\0http\0{request['url']}"
         if ttl and request.get("method", "GET") == "GET":
             with self._cache.lock:
-                held = self._cache.get(self._key(kept))
+                held = self._cache.get(kept)
             if held is not None:
                 return {"id": request["id"], "status": held["status"], "headers": held["headers"], "body": bytes.fromhex(held["body"]), "error": None}
         got = self.client(request)
         if ttl and request.get("method", "GET") == "GET" and not got["error"] and 200 <= got["status"] < 300:
             with self._cache.lock:
-                self._cache.set(self._key(kept), {"status": got["status"], "headers": got.get("headers") or [], "body": got["body"].hex()}, ttl)
+                self._cache.set(kept, {"status": got["status"], "headers": got.get("headers") or [], "body": got["body"].hex()}, ttl)
         return got
 
 
 _MADE: dict[tuple, Services] = {}
 
 
-def services_of(name: str, runtime: dict) -> Services:
-    """A worker's services of a mapper. `runtime.cache` is the cache's file, in memory without one; `runtime.disable_remote_calls` answers calls by 204."""
-    key = (name, runtime.get("cache"), bool(runtime.get("disable_remote_calls")))
+def services_of(runtime: dict) -> Services:
+    """A worker's services. `runtime.cache` is the cache's file, in memory without one; `runtime.disable_remote_calls` answers calls by 204."""
+    key = (runtime.get("cache"), bool(runtime.get("disable_remote_calls")))
     if key not in _MADE:
-        _MADE[key] = Services(name, Cache(runtime.get("cache") or ":memory:"), disabled=key[2])
+        _MADE[key] = Services(Cache(runtime.get("cache") or ":memory:"), disabled=key[1])
     return _MADE[key]

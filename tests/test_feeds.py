@@ -108,13 +108,13 @@ def test_services():
     asked = []
     client = lambda r: asked.append(r["url"]) or {"id": r["id"], "status": 200, "headers": [("a", "b")], "body": b"x", "error": None}
     cache = Cache()
-    one, two = Services("one", cache, client), Services("two", cache, client)
+    one, two = Services(cache, client), Services(cache, client)
     one.set("k", 1)
-    assert one.get("k") == 1 and two.get("k") is None and one.acquire("l") and two.acquire("l") and not one.acquire("l")
+    assert one.get("k") == two.get("k") == 1 and one.acquire("l") and not two.acquire("l")
     got = one.call([{"id": str(i), "url": f"u{i % 2}", "cache_ttl_ms": 60_000} for i in range(2)]) + one.call([{"id": "9", "url": "u0", "cache_ttl_ms": 60_000}])
     assert [g["id"] for g in got] == ["0", "1", "9"] and sorted(asked) == ["u0", "u1"] and got[2]["body"] == b"x"
-    assert Services("x", cache, client, disabled=True).call([{"id": "1", "url": "u"}])[0]["status"] == 204
-    assert services_of("m", {}) is services_of("m", {}) and services_of("m", {}) is not services_of("n", {})
+    assert Services(cache, client, disabled=True).call([{"id": "1", "url": "u"}])[0]["status"] == 204
+    assert services_of({}) is services_of({}) and services_of({}) is not services_of({"disable_remote_calls": True})
 
 
 def test_metrics():

@@ -83,13 +83,15 @@ def test_detections(spark):
     df = spark.createDataFrame([("k", 1, 0), ("k", 2, 9 * minute), ("k", 3, 10 * minute), ("k", 4, 11 * minute), ("k", 5, 40 * minute), (None, 6, 0), ("j", 7, 5)], "k string, id int, at bigint")
     assert {r.id: r.triggered for r in detect.seen_within(df, "k", F.col("at"), "id").collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 7: False}
     assert {r.id: r.triggered for r in detect.seen_before(df, "k", ["at"]).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True, 6: False, 7: False}
+    ties = spark.createDataFrame([("k", None, i) for i in range(3)] + [("k", 5, 9), (None, None, 8)], "k string, t bigint, triggered int")
+    assert sorted(r.triggered for r in detect.seen_before(ties, "k", ["t"]).collect()) == [False, False, True, True, True] and detect.seen_before(ties.limit(0), "k", ["t"]).count() == 0
     assert detect.ttl_of(None) == 600_000 and detect.ttl_of(10**9) == 3_600_000
     lines = [
         ("s", "f", "+ early@1", 0, 1), ("s", "f", "##[group]Run npm publish --access public", 1, 2), ("s", "f", "npm notice name: p", 2, 3), ("s", "g", "+ other@1", 3, 4), ("s", "f", "+ pkg@1.0.0", 4, 5),
         (None, "f", "+ pkg@1", 5, 6), ("s", "f", "noise", 6, 7), ("s", "f", "+ late@1", 16 * minute, 8),
     ]
     got = detect.publish_sequence(spark.createDataFrame(lines, "sha string, f string, m string, at bigint, seq int"), "sha", "f", "m", "at", "seq").collect()
-    assert {r.seq: r.triggered for r in got} == {1: False, 2: False, 3: False, 4: False, 5: True, 8: False}
+    assert {r.seq: r.triggered for r in got} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False, 8: False}
 
 
 def test_cache_and_locks():
