@@ -36,6 +36,7 @@ from ..sinks.writers import CONTENT_TYPES, discard, write
 from ..sources import feeds
 from ..sources.decoding import compress, decode
 from ..sources.queues import expand_message
+from ..streaming import state
 from ..streaming.metrics import Metrics
 from ..tools.harness import compare, run_mapper
 from ..tools.synth import generate
@@ -599,11 +600,44 @@ def metrics_counts(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, value bigint")
 
 
+# Streams with state ------------------------------------------------------------------------------------------------------
+
+
+def _stateful(spark, rows: DataFrame, made) -> DataFrame:
+    """rows as a stream through a stateful operator, into files."""
+    folder = _folder(spark)
+    rows.write.parquet(f"{folder}/in")
+    held = {k: spark.conf.get(k, None) for k in state.ROCKSDB}
+    for k, v in state.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        q = made(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").start()
+        state.stop_after(q, rows.count())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def stream_first_seen(spark, sf_dir):
+    """How many sights of each user in a stream are first ones and how many are not."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("raw"))
+    return _stateful(spark, rows, lambda s: state.seen_within(s, "key", "raw")).groupBy("key", "triggered").agg(F.count("*").alias("n"))
+
+
+def stream_publish(spark, sf_dir):
+    """Lines of a build log in a stream, answered line by line; those without a commit too."""
+    message = F.expr("case event_type when 'click' then 'x npm publish' when 'view' then 'npm notice name: p' when 'purchase' then concat('+ p@', event_id) else 'other' end")
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 50).cast("string")).alias("sha"), F.lit("log").alias("log_file"), message.alias("message"))
+    return _stateful(spark, rows, state.publish_sequence).groupBy("sha", "triggered").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_tcp, source_unix, source_webhook, source_sqs, source_npm, source_kafka_payloads, source_file_stream, queue_messages, webhook_run_logs, logview_accessors, mapper_services, duplicate_alert, remote_lookup, mapper_quarantine, mapper_batches,
-        mapper_metadata, sink_blackhole, sink_objects, encode_content_types, encode_parquet_schema, config_refusals, config_shown, pipeline_once, pipeline_stopped, route_broadcast, golden_test, synth_records, metrics_counts,
+        mapper_metadata, sink_blackhole, sink_objects, encode_content_types, encode_parquet_schema, config_refusals, config_shown, pipeline_once, pipeline_stopped, route_broadcast, golden_test, synth_records, metrics_counts, stream_first_seen, stream_publish,
     )
 }
 
@@ -638,4 +672,6 @@ SQL = {n: _FLAT for n in ("source_tcp", "source_unix", "source_webhook", "source
     "synth_records": "SELECT count(*) AS records, count(*) AS kept FROM events",
     "metrics_counts": f"""WITH t AS (SELECT count(*) AS n, CAST(sum(strlen({_RAW})) AS BIGINT) AS b FROM events)
         SELECT 'records_in' AS metric, n AS value FROM t UNION ALL SELECT 'out_records', n FROM t UNION ALL SELECT 'out_bytes', b FROM t UNION ALL SELECT 'ended', 1 UNION ALL SELECT 'failed', 0 UNION ALL SELECT 'all_timed', 1""",
+    "stream_first_seen": "SELECT CAST(user_id AS VARCHAR) AS key, t AS triggered, CASE WHEN t THEN n - 1 ELSE 1 END AS n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY ALL), (VALUES (true), (false)) AS v(t) WHERE NOT t OR n > 1",
+    "stream_publish": "SELECT CASE WHEN user_id % 3 <> 0 THEN CAST(user_id % 50 AS VARCHAR) END AS sha, false AS triggered, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL",
 }

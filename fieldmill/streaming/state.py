@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,4 +79,14 @@ def publish_sequence(stream: DataFrame, ttl_ms: int = 15 * 60_000) -> DataFrame:
     return keyed.groupBy("key").transformWithStateInPandas(_Publishing(ttl_ms), "sha string, message string, triggered boolean", "Append", "ProcessingTime")
 
 
+def stop_after(query, rows: int, seconds: float = 300.0) -> None:
+    """Stops a stateful query once it worked off so many rows. By processing time, batches without data go on for as long as state may expire."""
+    until = time.monotonic() + seconds
+    while sum(p["numInputRows"] for p in query.recentProgress) < rows and query.isActive and time.monotonic() < until:
+        time.sleep(0.05)
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

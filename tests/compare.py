@@ -8,9 +8,9 @@ import duckdb
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def tables():
+def tables(data=DATA):
     con = duckdb.connect()
-    for p in Path(DATA).glob("*.parquet"):
+    for p in Path(data).glob("*.parquet"):
         con.sql(f"CREATE VIEW \"{p.stem}\" AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return con
 
@@ -26,8 +26,8 @@ def rows(columns, found):
     return sorted(tuple(_plain(r[i]) for i in order) for r in found)
 
 
-def check(spark, con, query, sql):
-    df = query(spark, DATA)
+def check(spark, con, query, sql, data=DATA):
+    df = query(spark, data)
     want = con.sql(sql)
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())

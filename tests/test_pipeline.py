@@ -180,7 +180,7 @@ def test_listener(spark):
 
 
 def test_streaming_first_seen(spark, tmp_path):
-    from fieldmill.streaming.state import ROCKSDB, publish_sequence, seen_within
+    from fieldmill.streaming.state import ROCKSDB, publish_sequence, seen_within, stop_after
 
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
@@ -188,16 +188,16 @@ def test_streaming_first_seen(spark, tmp_path):
     src.mkdir()
     (src / "1.json").write_text("\n".join(json.dumps({"key": k, "raw": str(i)}) for i, k in enumerate("aab")) + "\n")
     stream = spark.readStream.schema("key string, raw string").json(str(src))
-    q = seen_within(stream, "key", "raw").writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = seen_within(stream, "key", "raw").writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    stop_after(q, 3)
     assert sorted((r.key, r.triggered) for r in spark.table("seen").collect()) == [("a", False), ("a", True), ("b", False)]
     log = tmp_path / "log"
     log.mkdir()
     lines = ["+ early@1", "##[group]Run npm publish", "+ p@1"]
     (log / "1.json").write_text("\n".join(json.dumps({"sha": "s", "log_file": "f", "message": m}) for m in lines) + "\n")
     stream = spark.readStream.schema("sha string, log_file string, message string").json(str(log))
-    q = publish_sequence(stream).writeStream.format("memory").queryName("published").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = publish_sequence(stream).writeStream.format("memory").queryName("published").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).start()
+    stop_after(q, 3)
     assert {r.message: r.triggered for r in spark.table("published").collect()} == dict(zip(lines, (False, False, True)))
 
 
