@@ -18,7 +18,16 @@ def test_query_agrees_with_sql(spark, con, name):
     check(spark, con, Q.QUERIES[name], Q.SQL[name])
 
 
-@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n not in Q.SQL])
+def test_what_the_corpus_shows_by_itself(spark):
+    """Needs more documents than the smallest table has."""
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    alone = {r.doc_id for r in Q.p8_corpus(spark, data).collect()}
+    assert alone and alone <= {r.doc_id for r in Q.p8_found(spark, data).collect()}
+
+
+@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n not in Q.SQL and n != "p8_corpus"])
 def test_query_without_sql_runs(spark, name):
     assert Q.QUERIES[name](spark, DATA).count() > 0
 
