@@ -170,7 +170,7 @@ def _texts(p) -> list[str]:
     """What a record's text must contain for a predicate to hold, if no escape hides it: the last key, and a string sought."""
     key = p.path.split(".")[-1].partition("[")[0]
     sought = p.value if isinstance(p, Eq) and isinstance(p.value, str) else p.text if isinstance(p, Prefix) else ""
-    return [t for t in (key, sought) if t]
+    return [t for t in (sought, key) if t]
 
 
 def necessary(selectors, raw: Column) -> Column:
@@ -179,4 +179,4 @@ def necessary(selectors, raw: Column) -> Column:
     A string in JSON is written as it is or with a backslash somewhere, so texts with a backslash always pass.
     """
     ways = [reduce(lambda a, b: a & b, (raw.contains(t) for p in s.all for t in _texts(p)), F.lit(True)) for s in selectors]
-    return raw.contains("\\") | reduce(lambda a, b: a | b, ways, F.lit(False))
+    return reduce(lambda a, b: a | b, ways, F.lit(False)) | raw.contains("\\")

@@ -140,8 +140,9 @@ def _finite_conn(spark, sf_dir) -> DataFrame:
 
 
 def network_activity(spark, sf_dir):
-    """Every conn record written as JSON, parsed again, selected and mapped."""
-    raw = _finite_conn(spark, sf_dir).select(F.to_json(F.struct(*(col(c) for c in _finite_conn(spark, sf_dir).columns))).alias("raw"))
+    """Every conn record written as JSON, parsed again, selected and mapped. The text is made once, whatever reads it."""
+    conn = _finite_conn(spark, sf_dir)
+    raw = conn.select(F.inline(F.array(F.struct(F.to_json(F.struct(*(col(c) for c in conn.columns))).alias("raw")))))
     return _activity_columns(apply_raw(raw, NetworkActivity()))
 
 
