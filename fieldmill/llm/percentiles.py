@@ -5,7 +5,7 @@ midpoints of the open intervals; the counts show the part that holds the rank, a
 largest value seen in that part. An interval is resolved when both are equal, and then the result is exact.
 
 The first pass uses midpoints common to all groups, spaced evenly in the logarithm of the value. Its counts, the state, are
-therefore combinable: states of days, files or partitions are added up (`merge_states`), also over groups (`roll_up`). A state alone
+therefore combinable: states of days, files or partitions are added up (`merge_states`), also over groups that are not named. A state alone
 bounds each percentile to one cell, whose ends are values of the data and lie within a factor of 2**(1/CELLS) of each other (0.55 %);
 further passes over the rows narrow that down to the value itself.
 
@@ -55,9 +55,6 @@ def merge_states(states: DataFrame, groups: list[str]) -> DataFrame:
     return states.groupBy(*(col(g) for g in groups), "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-roll_up = merge_states
-
-
 def intervals(merged: DataFrame, groups: list[str], at: list[float]) -> DataFrame:
     """groups, q, n (rows of the group), rank, below (rows under the interval), inside (rows in it), low, high, cell.
 
