@@ -7,6 +7,7 @@ through it) or works on batches of records in Python (`process_logs`). The selec
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,8 @@ from .predicates import matches, necessary
 class Mapper:
     name = "mapper"
     version = "0.1.0"
-    #: What a failing batch does: skip_batch, fail, or quarantine (its records come out with the error).
+    #: What a failing batch does: skip_batch (its records are counted in the worker's log), fail, or quarantine (its records come out with the
+    #: error, and a pipeline sets them aside).
     on_error = "skip_batch"
 
     def __init__(self, config: dict | None = None):
@@ -101,6 +103,8 @@ def _opaque(mapper: Mapper):
                     raise
                 if mapper.on_error == "quarantine":
                     out, error = raws, f"{type(e).__name__}: {e}"
+                else:
+                    logging.getLogger(__name__).warning("%s: %d records are left out: %s: %s", mapper.name, len(raws), type(e).__name__, e)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([error] * len(out), pa.string())], names=["out", "error"])
 

@@ -28,7 +28,7 @@ from .config import Config, ConfigError, Node, encoding_of
 class Compiled:
     #: What arrives at each sink, by (name, key prefix).
     sinks: dict[tuple[str, str | None], DataFrame]
-    #: What each plugin could not read, by name.
+    #: (raw, error) of what each plugin could not read, error null, or failed on, by name.
     quarantined: dict[str, DataFrame] = field(default_factory=dict)
     #: (raw, error) of payloads that could not be decoded, by source.
     undecoded: dict[str, DataFrame] = field(default_factory=dict)
@@ -90,12 +90,16 @@ def compile(spark: SparkSession, config: Config, sources: dict[str, DataFrame] |
         if not origins:
             continue
         fed = _union([lines(out[a.kind, a.name]) for a in origins if (a.kind, a.name) in out])
-        quarantined[node.name] = split_malformed(parsed(fed))[1].select("raw")
+        quarantined[node.name] = split_malformed(parsed(fed))[1].select("raw", F.lit(None).cast("string").alias("error"))
         mapper = mappers.get(node.name) or make_mapper(config.plugins[node.name], config.runtime)
         out["plugin", node.name] = apply_raw(fed, mapper)
-        if keep and len(config.targets(node)) > 1:
+        sets_aside = not mapper.native and mapper.on_error == "quarantine"
+        if keep and (sets_aside or len(config.targets(node)) > 1):
             out["plugin", node.name] = out["plugin", node.name].persist()
             kept.append(out["plugin", node.name])
+        if sets_aside:
+            failed = out["plugin", node.name].where(F.col("error").isNotNull()).select(F.col("out").alias("raw"), "error")
+            quarantined[node.name] = quarantined[node.name].unionByName(failed)
     arriving: dict[tuple[str, str | None], list[DataFrame]] = {}
     for a, b in config.edges:
         if b.kind == "sink" and (a.kind, a.name) in out:
@@ -132,7 +136,7 @@ def _write(config: Config, name: str, prefix: str | None, df: DataFrame, batch:
 
 def _set_aside(config: Config, made: Compiled, count: bool) -> None:
     """What could not be read, as JSON rows (kind, name, raw, error) in the folder `runtime.quarantine`; without one, counted and logged if asked for."""
-    kinds = [("plugin", n, df.select("raw", F.lit(None).cast("string").alias("error"))) for n, df in made.quarantined.items()]
+    kinds = [("plugin", n, df) for n, df in made.quarantined.items()]
     kinds += [("source", n, df) for n, df in made.undecoded.items()]
     folder = config.runtime.get("quarantine")
     for kind, name, df in kinds:
@@ -142,9 +146,14 @@ def _set_aside(config: Config, made: Compiled, count: bool) -> None:
             logging.getLogger(__name__).warning("%s %s: %d rows could not be read", kind, name, n)
 
 
-def _batches(spark: SparkSession, config: Config) -> None:
-    """Python mappers get batches of at most `runtime.batch_size` KiB, 256 without it, or one larger record."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(int(config.runtime.get("batch_size") or 256) << 10))
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _batches(spark: SparkSession, config: Config) -> str | None:
+    """Lets Python mappers get batches of at most `runtime.batch_size` KiB, 256 without it, or one larger record. Returns what was set before."""
+    held = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(int(config.runtime.get("batch_size") or 256) << 10))
+    return held
 
 
 def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
@@ -152,7 +161,7 @@ def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
 
     The records of a plugin that several nodes read are kept on the executors until all sinks are written.
     """
-    _batches(spark, config)
+    held = _batches(spark, config)
     made = compile(spark, config, keep=True, **more)
     try:
         for (name, prefix), df in made.sinks.items():
@@ -161,6 +170,7 @@ def run_once(spark: SparkSession, config: Config, **more) -> Compiled:
     finally:
         for df in made.kept:
             df.unpersist()
+        spark.conf.set(_BATCH, held) if held is not None else spark.conf.unset(_BATCH)
     return made
 
 

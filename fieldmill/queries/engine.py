@@ -401,17 +401,20 @@ class _Fails(_Batch):
     on_error = "quarantine"
 
     def process_log(self, log):
-        if log.get("event_id") % 11 == 0:
-            raise ValueError("eleven")
+        if log.get("event_id") % 97 == 0:
+            raise ValueError("ninety-seven")
         return {"event_id": log.get("event_id")}
 
 
 def mapper_quarantine(spark, sf_dir):
-    """Records of batches that failed come out with the error; every record is in one of the two."""
-    made = apply(parsed(logs(spark, sf_dir)), _Fails())
-    number = F.get_json_object("out", "$.event_id").cast("bigint")
-    error = F.when(number % 11 == 0, F.col("error"))
-    return made.agg(F.count("*").alias("n"), F.countDistinct(number).alias("n_distinct"), F.min(error).alias("least"), F.max(error).alias("most"))
+    """A pipeline sets the records of failed batches aside with the error; every record is there or in the sink."""
+    folder = _folder(spark)
+    _lines(spark, sf_dir).select(F.col("raw").alias("value")).write.text(f"{folder}/in")
+    run_once(spark, _config({"type": "file", "path": f"{folder}/in"}, folder, runtime={"quarantine": f"{folder}/quarantine", "batch_size": 1}), mappers={"flat": _Fails()})
+    aside = spark.read.schema("raw string, error string").json(f"{folder}/quarantine").select(F.get_json_object("raw", "$.event_id").cast("bigint").alias("event_id"), "error")
+    every = aside.unionByName(_read(spark, folder).select("event_id", F.lit(None).cast("string").alias("error")))
+    error = F.when(F.col("event_id") % 97 == 0, F.col("error"))
+    return every.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"), F.min(error).alias("least"), F.max(error).alias("most"), (F.sum(F.col("error").isNull().cast("bigint")) > 0).alias("some_pass"))
 
 
 class _Sizes(_Batch):
@@ -423,11 +426,7 @@ def mapper_batches(spark, sf_dir):
     """The batches that a Python mapper gets from a pipeline with a limit of 16 KiB: all records, none too large, more than one."""
     folder = _folder(spark)
     _lines(spark, sf_dir).select(F.col("raw").alias("value")).write.text(f"{folder}/in")
-    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    try:
-        run_once(spark, _config({"type": "file", "path": f"{folder}/in"}, folder, runtime={"batch_size": 16}), mappers={"flat": _Sizes()})
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held) if held is not None else spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    run_once(spark, _config({"type": "file", "path": f"{folder}/in"}, folder, runtime={"batch_size": 16}), mappers={"flat": _Sizes()})
     made = spark.read.schema("n bigint, bytes bigint").json(f"{folder}/out")
     return made.agg(F.sum("n").alias("records"), (F.max("bytes") <= 17 << 10).alias("within"), (F.count("*") > 1).alias("several"))
 
@@ -656,7 +655,7 @@ SQL = {n: _FLAT for n in ("source_tcp", "source_unix", "source_webhook", "source
     "duplicate_alert": """WITH t AS (SELECT count(*) AS n, count(DISTINCT user_id % 5) AS d FROM events)
         SELECT 'false' AS what, d AS n FROM t UNION ALL SELECT 'true', n - d FROM t UNION ALL SELECT 'told', n - d FROM t""",
     "remote_lookup": "SELECT event_id, event_type, upper(event_type) AS shout, true AS asked_once FROM events",
-    "mapper_quarantine": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, 'ValueError: eleven' AS least, 'ValueError: eleven' AS most FROM events",
+    "mapper_quarantine": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, 'ValueError: ninety-seven' AS least, 'ValueError: ninety-seven' AS most, true AS some_pass FROM events",
     "mapper_batches": "SELECT count(*) AS records, true AS within, true AS several FROM events",
     "mapper_metadata": "SELECT * FROM (VALUES ('whole', '1.2.3', CAST(1 AS BIGINT), true), ('flat_defaults', '0.1.0', 1, true), ('duplicate_alert', '0.1.0', 1, false)) AS t(name, version, selectors, native)",
     "sink_blackhole": f"SELECT count(*) AS records, CAST(sum(strlen({_RAW})) AS BIGINT) AS bytes FROM events",
