@@ -30,12 +30,19 @@ def _columns(names) -> list[Column]:
     return [col(n) for n in names]
 
 
+#: Columns that the tables here have besides the named ones.
+_OWN = frozenset(("word", "bits", "cells", "n", "level", "index"))
+
+
 def memberships(rows: DataFrame, scope: list[str], identifier: str, number: Column, groups: list[str] = ()) -> DataFrame:
     """scope, identifier, groups, word, bits: what holds each identifier of a scope. number numbers the part, null for none.
 
     Null identifiers are left out; a null scope or group value is a value; a row without a number makes its identifier count in the scope
-    and in the groups, but in no numbered part; repeated rows change nothing.
+    and in the groups, but in no numbered part; repeated rows change nothing. Other columns are
+    ignored; word, bits, cells, n, level and index are no names for the columns used.
     """
+    if taken := _OWN & {*scope, identifier, *groups}:
+        raise ValueError(f"rename {', '.join(sorted(taken))}")
     n = number.cast("bigint")
     held = rows.select(*_columns(scope), col(identifier), *_columns(groups), n.alias("__n")).where(col(identifier).isNotNull())
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("__n"), F.lit(BITS)).cast("int"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldmill.llm import distinct as D
@@ -86,6 +87,14 @@ def test_empty_far_and_long(spark):
     assert counts(spark.createDataFrame([("s", long, 1, "x"), ("s", "", 1, "x")], SCHEMA)) == {("s", -1): 2, ("s", 1): 2}
 
 
+def test_taken_names_are_refused(spark):
+    df = spark.createDataFrame([("s", "i", 1, "x")], "word string, id string, g int, n string")
+    for scope, identifier, groups in ((["word"], "id", []), ([], "n", []), ([], "id", ["word"])):
+        with pytest.raises(ValueError, match="rename"):
+            D.memberships(df, scope, identifier, F.col("g"), groups)
+    assert D.memberships(df, [], "id", F.col("g")).count() == 1
+
+
 def test_blank_and_far_days_change_no_other_count(spark, tmp_path):
     from __spark_entry__ import queries
 
