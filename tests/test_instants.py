@@ -134,3 +134,7 @@ def test_conversion_by_the_settled_history(spark):
     got = convert(spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "i int, p string, t string"), "t", "p", settled).orderBy("i").collect()
     want = [us(2024, 10, 27, 0, 30), None, us(2024, 10, 26, 10), us(2024, 10, 27, 0, 30), us(2024, 10, 28, 11), us(2024, 10, 28, 7), us(2024, 10, 26), None, None, None, us(2024, 10, 26, 9), None]
     assert [r.utc_us for r in got] == want and got[0].asDict().keys() == {"i", "p", "t", "utc_us"}
+    assert convert(spark.createDataFrame([], "p string, t string, utc_us int"), "t", "p", settled.limit(0)).columns == ["p", "t", "utc_us"]
+    assert estimate_offsets(df.limit(0), "place", "text", F.col("ref"), zones=zones.limit(0)).count() == 0
+    clash = spark.createDataFrame([("b", "2024-10-26 12:00:00", 1, 2)], "place string, t string, zone int, spans int")
+    assert convert(clash, "t", "place", settled).first().asDict() == {"place": "b", "t": "2024-10-26 12:00:00", "zone": 1, "spans": 2, "utc_us": us(2024, 10, 26, 10)}
