@@ -191,7 +191,7 @@ class VersionAlert(Mapper):
 
 
 class DuplicateAlert(Mapper):
-    """{triggered}: whether the source's name was seen before within the cache's time to live; each repeat is told to a chat service.
+    """{triggered}: whether the source's name was seen before within the cache's time to live; each repeat is told to a chat service, if one is named.
 
     Runs record by record against the worker's cache; `detect.seen_within` and `state.seen_within` say the same over a cluster.
     """
@@ -199,7 +199,7 @@ class DuplicateAlert(Mapper):
     name = "duplicate_alert"
     on_error = "fail"
 
-    def __init__(self, url: str = "https://slack.com/api/chat.postMessage", channel: str = "alerts", token: str | None = None, service: str | None = None, config: dict | None = None):
+    def __init__(self, url: str | None = None, channel: str = "alerts", token: str | None = None, service: str | None = None, config: dict | None = None):
         super().__init__(config)
         self.url, self.channel, self.token, self.service = url, channel, token, service
 
@@ -211,7 +211,9 @@ class DuplicateAlert(Mapper):
         if told.get(str(name)) is None:
             told.set(str(name), True)
             return {"triggered": False}
-        body = json.dumps({"text": f"Alert: duplicate source.name detected: {name}", "channel": self.channel})
+        if self.url is None:
+            return {"triggered": True}
+        body = json.dumps({"text": f"{name} came again", "channel": self.channel})
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.token}"}
         got = told.call([{"id": "alert", "method": "POST", "url": self.url, "headers": headers, "body": body}])[0]
         if got["status"] != 204 and not (got["status"] == 200 and json.loads(got["body"] or b"{}").get("ok")):

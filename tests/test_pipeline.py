@@ -1,4 +1,5 @@
 import json
+import random
 import socket
 import time
 from datetime import datetime, timezone
@@ -94,6 +95,50 @@ def test_detections(spark):
     assert {r.seq: r.triggered for r in got} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False, 8: False}
 
 
+@pytest.mark.parametrize("ttl,span", [(10, 400), (50, 120), (1, 300), (1000, 300)])
+def test_first_sights_over_many_partitions(spark, ttl, span):
+    """A key with most of the rows, cut anywhere by partitions, against a plain loop."""
+    pick = random.Random(ttl)
+    rows = [(pick.choice(["hot", "hot", "hot", "a", "b", None]), i, pick.randrange(span)) for i in range(900)]
+    want, anchors = {}, {}
+    for k, i, at in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[2], r[1])):
+        want[i] = k in anchors and at < anchors[k] + ttl
+        if not want[i]:
+            anchors[k] = at
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        df = spark.createDataFrame(rows, "k string, id int, at bigint")
+        assert {r.id: r.triggered for r in detect.seen_within(df, "k", F.col("at"), "id", ttl).collect()} == want
+        assert detect.seen_within(df.limit(0), "k", F.col("at"), "id", ttl).count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_publications_over_many_partitions(spark):
+    """One commit with nearly all lines, cut anywhere, against a plain loop."""
+    pick, minute, lines, want, marks = random.Random(3), 60_000, [], {}, {}
+    for i in range(700):
+        sha, f = pick.choice(["hot"] * 8 + ["a", None, ""]), pick.choice(["f", "f", "g", ""])
+        m = pick.choice(["##[group]Run npm publish", " + p@1", "+ p@1", "+ p@2", "npm notice name: x", "noise", None])
+        lines.append((sha, f, m, i * minute // 2, i))
+        if m not in (None, "noise", " + p@1"):
+            want[i] = bool(sha and f and m.startswith("+") and marks.get(sha, ("", 0))[0] == f and i * minute // 2 < marks[sha][1] + 15 * minute)
+            if sha and f and "publish" in m:
+                marks[sha] = (f, i * minute // 2)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        df = spark.createDataFrame(lines, "sha string, f string, m string, at bigint, seq int")
+        assert {r.seq: r.triggered for r in detect.publish_sequence(df, "sha", "f", "m", "at", "seq").collect()} == want and any(want.values())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_cache_and_locks():
     now = [0.0]
     c = Cache(clock=lambda: now[0])
