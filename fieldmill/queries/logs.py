@@ -13,7 +13,7 @@ from ..operators.lookup import enrich
 from ..operators.mapper import apply, apply_raw, parsed
 from ..operators.mappers import Enrich, FlatDefaults, FlatDefaultsBatch, NetworkActivity, VersionAlert
 from ..operators.predicates import Eq, Gt, Has, In, Prefix, Regex, Selector, matches
-from ..session import col
+from ..session import col, widened
 from .records import table
 
 LOG = (
@@ -141,7 +141,7 @@ def _finite_conn(spark, sf_dir) -> DataFrame:
 
 def network_activity(spark, sf_dir):
     """Every conn record written as JSON, parsed again, selected and mapped. The text is made once, whatever reads it."""
-    conn = _finite_conn(spark, sf_dir)
+    conn = widened(_finite_conn(spark, sf_dir))
     raw = conn.select(F.inline(F.array(F.struct(F.to_json(F.struct(*(col(c) for c in conn.columns))).alias("raw")))))
     return _activity_columns(apply_raw(raw, NetworkActivity()))
 

@@ -54,6 +54,12 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """df spread over the session's cores if it comes in fewer parts than there are, as from a file of one row group; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def col(name: str):
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
