@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, col, durable
+from ..session import broadcast_if_small, col, durable, widened
 from . import distinct, mixing, percentiles, residue, tokens
 
 
@@ -139,18 +139,18 @@ def p5_week_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    return tokens.encode(widened(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text")
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_chars and hash of each document's ids decoded again."""
-    coded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    coded = tokens.encode(widened(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text")
     decoded = tokens.decode(coded, ["doc_id"], "ids", out="decoded")
     return decoded.select("doc_id", F.octet_length("decoded").cast("bigint").alias("n_bytes"), F.length("decoded").cast("bigint").alias("n_chars"), F.md5(F.col("decoded").cast("binary")).alias("hash"))
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    docs = mixing.sized(widened(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text")
     return mixing.select(docs, table(spark, sf_dir, "mix_targets")).select("mix", F.col("doc").alias("doc_id"), "source", "n_tokens", "copies")
 
 
@@ -161,20 +161,20 @@ def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    docs = mixing.sized(widened(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text")
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.shares(mixing.select(docs, targets), docs, targets)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "cells", "path", "repo")
+    docs = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "cells", "path", "repo"))
     found = residue.residue(docs, "doc_id", "text", "cells", "path", "repo")
     return found.where("flagged").select(F.col("key").cast("bigint").alias("doc_id"))
 
 
 def p8_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the corpus alone shows to be residue, without the detectors, and the weights that decide it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "cells", "path", "repo")
+    docs = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "cells", "path", "repo"))
     found = residue.residue(docs, "doc_id", "text", "cells", "path", "repo", detectors=False)
     return found.where("flagged").select(F.col("key").cast("bigint").alias("doc_id"), "learned", "total")
 
