@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.instants import CANONICAL, FIRST, LAST, MICRO, convert, estimate_offsets, normalise, settled_histories
 from ..operators.nested import flat_tables, json_triples, leaf_name, pivot_table, table_of, typed_record, typed_table
 from ..operators.sessions import sessions
-from ..session import col, durable
+from ..session import col, durable, widened
 
 GAP_US = 30 * 60 * MICRO
 
@@ -115,7 +115,7 @@ LEAVES = {
 
 
 def raw_triples(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
-    return json_triples(table(spark, sf_dir, "conn_raw"), "raw_id", "payload", RAW_LISTS, RAW_TEXTS, keep=keep)
+    return json_triples(widened(table(spark, sf_dir, "conn_raw").select("raw_id", "payload")), "raw_id", "payload", RAW_LISTS, RAW_TEXTS, keep=keep)
 
 
 def observables(spark: SparkSession, sf_dir: str) -> DataFrame:
