@@ -18,6 +18,7 @@ from datetime import datetime, timezone
 from functools import reduce
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from io import BytesIO
+from urllib.parse import urlsplit
 from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -359,9 +360,14 @@ def _in_order(spark, sf_dir) -> DataFrame:
     return logs(spark, sf_dir).withColumn("n", F.get_json_object("raw", "$.event_id").cast("bigint")).repartition(1).sortWithinPartitions("n").select("raw")
 
 
+def _cache_file(spark) -> str:
+    """A new cache file beside the checkpoints."""
+    return urlsplit(_folder(spark)).path + ".db"
+
+
 def mapper_services(spark, sf_dir):
     """A cache with deletions, locks, configured values, and remote calls that are switched off, asked by a mapper record by record."""
-    mapper = _Asks({"flag": "on", "list": [1, "a"], "__runtime": {"cache": f"/tmp/fieldmill-{uuid.uuid4().hex}.db", "disable_remote_calls": True}})
+    mapper = _Asks({"flag": "on", "list": [1, "a"], "__runtime": {"cache": _cache_file(spark), "disable_remote_calls": True}})
     made = apply(parsed(_in_order(spark, sf_dir)), mapper)
     return made.select(F.from_json("out", "event_id bigint, first boolean, before bigint, flag string, list string, status bigint").alias("o")).select("o.*")
 
@@ -375,7 +381,7 @@ def duplicate_alert(spark, sf_dir):
         return 200, b'{"ok":true}'
 
     with _stub(post=post) as url:
-        mapper = DuplicateAlert(url, token="t", config={"__runtime": {"cache": f"/tmp/fieldmill-{uuid.uuid4().hex}.db"}})
+        mapper = DuplicateAlert(url, token="t", config={"__runtime": {"cache": _cache_file(spark)}})
         folder = _folder(spark)
         apply(parsed(_in_order(spark, sf_dir)), mapper).select("out").write.text(folder)
     counted = spark.read.json(folder, schema="triggered boolean").groupBy("triggered").agg(F.count("*").alias("n"))
