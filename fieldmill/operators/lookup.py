@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import http.client
 import json
+import select
+import threading
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +39,50 @@ def call(request: dict, disabled: bool = False) -> dict:
     """One HTTP request {id, method, url, headers, body, timeout_ms}: {id, status, headers, body, error}. A transport error gives status 0."""
     if disabled:
         return {"id": request["id"], "status": 204, "headers": [], "body": b"", "error": None}
+    at = urlsplit(request["url"])
+    if at.scheme in ("http", "https") and at.hostname and "@" not in at.netloc:
+        try:
+            return _kept(request, at)
+        except Exception as e:
+            _HELD.__dict__.pop(at[:2], None)
+            return {"id": request["id"], "status": 0, "headers": [], "body": b"", "error": str(e) or type(e).__name__}
+    return _alone(request)
+
+
+#: Each thread's open connections, by scheme and address.
+_HELD = threading.local()
+
+
+def _kept(request: dict, at) -> dict:
+    """The answer over the thread's connection to the address, which stays open. Proxies and redirections are left to `_alone`."""
+    conn = _HELD.__dict__.get(at[:2])
+    if conn is None:
+        if at.scheme in urllib.request.getproxies() and not urllib.request.proxy_bypass(at.netloc):
+            return _alone(request)
+        conn = _HELD.__dict__[at[:2]] = (http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection)(at.netloc)
+    if conn.sock is not None and select.select([conn.sock], [], [], 0)[0]:  # closed from the other side meanwhile
+        conn.close()
+    conn.timeout = (request.get("timeout_ms") or 30_000) / 1000
+    if conn.sock is not None:
+        conn.sock.settimeout(conn.timeout)
+    body, method = request.get("body"), request.get("method", "GET")
+    headers = {"User-Agent": f"Python-urllib/{urllib.request.__version__}"} | {k.title(): v for k, v in dict(request.get("headers") or {}).items()}
+    if body is not None:
+        headers.setdefault("Content-Type", "application/x-www-form-urlencoded")
+    conn.request(method, (at.path or "/") + (f"?{at.query}" if at.query else ""), body.encode() if isinstance(body, str) else body, headers)
+    got = conn.getresponse()
+    out = {"id": request["id"], "status": got.status, "headers": list(got.headers.items()), "body": got.read(), "error": None}
+    if got.status in (301, 302, 303, 307, 308) and "Location" in got.headers:
+        if method in ("GET", "HEAD"):
+            return _alone(request)
+        if method == "POST" and got.status <= 303:  # what was posted is not posted again
+            headers = {k: v for k, v in headers.items() if not k.startswith("Content-")}
+            return _alone({"id": request["id"], "url": urljoin(request["url"], got.headers["Location"]), "headers": headers, "timeout_ms": request.get("timeout_ms")})
+    return out
+
+
+def _alone(request: dict) -> dict:
+    """The answer over a connection of its own."""
     body = request.get("body")
     made = urllib.request.Request(request["url"], data=body.encode() if isinstance(body, str) else body, headers=dict(request.get("headers") or {}), method=request.get("method", "GET"))
     try:

@@ -193,7 +193,8 @@ class VersionAlert(Mapper):
 class DuplicateAlert(Mapper):
     """{triggered}: whether the source's name was seen before within the cache's time to live; each repeat is told to a chat service, if one is named.
 
-    Runs record by record against the worker's cache; `detect.seen_within` and `state.seen_within` say the same over a cluster.
+    Runs record by record against the worker's cache, and the repeats of a batch are told side by side; `detect.seen_within` and `state.seen_within`
+    say the same over a cluster.
     """
 
     name = "duplicate_alert"
@@ -206,16 +207,19 @@ class DuplicateAlert(Mapper):
     def selectors(self):
         return [Selector(all=(Eq("source.name", self.service) if self.service else Has("source.name"),))]
 
-    def process_log(self, log) -> dict:
-        name, told = log.get("source.name"), self.services
-        if told.get(str(name)) is None:
-            told.set(str(name), True)
-            return {"triggered": False}
-        if self.url is None:
-            return {"triggered": True}
-        body = json.dumps({"text": f"{name} came again", "channel": self.channel})
+    def process_logs(self, logs) -> bytes:
+        told, out, alerts = self.services, [], []
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.token}"}
-        got = told.call([{"id": "alert", "method": "POST", "url": self.url, "headers": headers, "body": body}])[0]
-        if got["status"] != 204 and not (got["status"] == 200 and json.loads(got["body"] or b"{}").get("ok")):
-            raise RuntimeError(f"the alert was not taken: status {got['status']} {got['error'] or ''}")
-        return {"triggered": True}
+        for log in logs:
+            name = log.get("source.name")
+            again = told.get(str(name)) is not None
+            if not again:
+                told.set(str(name), True)
+            elif self.url is not None:
+                body = json.dumps({"text": f"{name} came again", "channel": self.channel})
+                alerts.append({"id": "alert", "method": "POST", "url": self.url, "headers": headers, "body": body})
+            out.append('{"triggered": true}\n' if again else '{"triggered": false}\n')
+        for got in told.call(alerts) if alerts else []:
+            if got["status"] != 204 and not (got["status"] == 200 and json.loads(got["body"] or b"{}").get("ok")):
+                raise RuntimeError(f"the alert was not taken: status {got['status']} {got['error'] or ''}")
+        return "".join(out).encode()

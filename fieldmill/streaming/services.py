@@ -70,14 +70,24 @@ class Services:
 
     def __init__(self, cache: Cache, client: Callable[[dict], dict] = call, disabled: bool = False, threads: int = 8):
         self._cache, self.client, self.disabled, self.threads = cache, client, disabled, threads
+        self._pool: ThreadPoolExecutor | None = None  # its threads stay, and so do their connections
         self.get, self.set, self.delete, self.acquire, self.release = cache.get, cache.set, cache.delete, cache.acquire, cache.release
 
     def call(self, requests: list[dict]) -> list[dict]:
         """The answers {id, status, headers, body, error} in the order of the requests, asked side by side. An answer to a GET is kept for its `cache_ttl_ms`."""
         if self.disabled:
             return [call(r, disabled=True) for r in requests]
-        with ThreadPoolExecutor(self.threads) as pool:
-            return list(pool.map(self._one, requests))
+        if len(requests) == 1:
+            return [self._one(requests[0])]
+        self._pool = self._pool or ThreadPoolExecutor(self.threads)
+        rest, out = iter(enumerate(requests)), [None] * len(requests)
+
+        def work(_) -> None:
+            for i, request in rest:
+                out[i] = self._one(request)
+
+        list(self._pool.map(work, range(min(self.threads, len(requests)))))
+        return out
 
     def _one(self, request: dict) -> dict:
         ttl, kept = request.get("cache_ttl_ms"), f"\0http\0{request['url']}"

@@ -4,6 +4,7 @@ import io
 import json
 import logging
 import os
+import threading
 import time
 import urllib.request
 import zipfile
@@ -12,6 +13,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
 from fieldmill.operators.mapper import Mapper, apply, apply_raw, parsed, split_malformed
 from fieldmill.operators.mappers import FlatDefaults
 from fieldmill.operators.predicates import Eq, Has, Regex, Selector, matches
@@ -117,6 +119,79 @@ def test_services():
     assert services_of({}) is services_of({}) and services_of({}) is not services_of({"disable_remote_calls": True})
 
 
+def test_calls_keep_their_connections_and_come_side_by_side():
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    clients, seen = set(), []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version, wbufsize = "HTTP/1.1", -1
+
+        def do_POST(self):
+            clients.add(self.client_address)
+            seen.append((self.path, self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(303 if self.path == "/away" else 500 if self.path == "/no" else 200)
+            self.send_header("Location", "/here")
+            self.send_header("Content-Length", "2")
+            self.end_headers()
+            self.wfile.write(b"ok")
+
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Length", "3")
+            self.end_headers()
+            self.wfile.write(b"got")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    ask = lambda i, path="": {"id": str(i), "method": "POST", "url": url + path, "body": str(i)}
+    told = Services(Cache(), threads=4)
+    got = told.call([ask(i) for i in range(200)])
+    assert [g["id"] for g in got] == [str(i) for i in range(200)] and {(g["status"], g["body"]) for g in got} == {(200, b"ok")}
+    assert sorted(int(b) for _, b in seen) == list(range(200)) and len(clients) <= 4
+    seen.clear()
+    assert [(g["status"], g["body"]) for g in told.call([ask(1, "/away"), ask(2, "/no")])] == [(200, b"got"), (500, b"ok")]
+    assert sorted(seen) == [("/away", b"1"), ("/no", b"2")]  # nothing is posted twice
+    server.shutdown()
+    server.server_close()
+    assert told.call([{"id": "x", "url": "http://127.0.0.1:9/"}])[0]["status"] == 0
+
+
+def test_alerts_of_a_batch_are_told_together():
+    from fieldmill.functions.logview import LogView
+    from fieldmill.operators.mappers import DuplicateAlert
+
+    asked = []
+
+    class Told(Services):
+        def call(self, requests):
+            asked.append([json.loads(r["body"])["text"] for r in requests])
+            return [{"status": 200, "error": None, "body": b'{"ok":true}'} for _ in requests]
+
+    class Alert(DuplicateAlert):
+        services = Told(Cache())
+
+    logs = [LogView(json.dumps({"source": {"name": n}})) for n in "abaab"]
+    assert [json.loads(x)["triggered"] for x in Alert("http://chat").run_batch(logs).splitlines()] == [False, False, True, True, True]
+    assert asked == [["a came again", "a came again", "b came again"]]
+
+
+def test_keys_are_spread_over_the_cores_and_stay_in_order(spark):
+    from fieldmill.queries import engine
+
+    rows = engine._in_order(spark, DATA, "source.name").selectExpr("spark_partition_id() p", "get_json_object(raw, '$.source.name') k", "cast(get_json_object(raw, '$.event_id') as bigint) n").collect()
+    parts, last = {}, {}
+    for r in rows:
+        parts.setdefault(r.k, set()).add(r.p)
+        assert last.get(r.k, -1) < r.n
+        last[r.k] = r.n
+    assert len(parts) == 5 and all(len(p) == 1 for p in parts.values()) and len(set.union(*parts.values())) > 1
+
+
 def test_metrics():
     m = Metrics()
     for seconds in (0.00001, 0.003, 5.0):
