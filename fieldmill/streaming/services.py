@@ -1,4 +1,4 @@
-"""Services for batch mappers that run in one process: a cache with time to live, and try-locks, in one SQLite file.
+"""Services for batch mappers of one host: a cache with time to live, and try-locks, in SQLite files.
 
 State over a cluster belongs into keyed state (see state); this serves mappers that ask for a key by themselves.
 """
@@ -9,6 +9,7 @@ import json
 import sqlite3
 import threading
 import time
+import zlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,28 +17,53 @@ from ..operators.detect import ttl_of
 from ..operators.lookup import call
 
 
+def _opened(path: str) -> sqlite3.Connection:
+    db = sqlite3.connect(path, timeout=30, isolation_level=None, check_same_thread=False)
+    until = time.monotonic() + 30
+    while path != ":memory:":
+        try:
+            db.execute("PRAGMA journal_mode=WAL")
+            db.execute("PRAGMA synchronous=NORMAL")
+            break
+        except sqlite3.OperationalError:  # another process sets the new file up; SQLite doesn't wait for that by itself
+            if time.monotonic() > until:
+                raise
+            time.sleep(0.01)
+    db.execute("CREATE TABLE IF NOT EXISTS cache (key TEXT PRIMARY KEY, kind TEXT, value BLOB, expires_at INTEGER, updated_at INTEGER)")
+    db.execute("CREATE TABLE IF NOT EXISTS locks (key TEXT PRIMARY KEY)")
+    return db
+
+
 class Cache:
+    """A file has one writer at a time, so keys are dealt over PARTS files, `path` and others beside it, and processes rarely meet."""
+
+    PARTS = 32
+
     def __init__(self, path: str = ":memory:", clock: Callable[[], float] = time.time):
-        self.clock, self.lock = clock, threading.Lock()
-        self.db = sqlite3.connect(path, timeout=30, isolation_level=None, check_same_thread=False)
-        if path != ":memory:":
-            self.db.execute("PRAGMA journal_mode=WAL")
-        self._make()
+        self.clock, self.lock, self.path = clock, threading.Lock(), path
+        self.parts: list[sqlite3.Connection | None] = [None] * (1 if path == ":memory:" else self.PARTS)
+        self._part(0)
+
+    def _part(self, i: int) -> sqlite3.Connection:
+        if self.parts[i] is None:
+            self.parts[i] = _opened(f"{self.path}.{i}" if i else self.path)
+        return self.parts[i]
 
-    def _make(self) -> None:
-        self.db.execute("CREATE TABLE IF NOT EXISTS cache (key TEXT PRIMARY KEY, kind TEXT, value BLOB, expires_at INTEGER, updated_at INTEGER)")
-        self.db.execute("CREATE TABLE IF NOT EXISTS locks (key TEXT PRIMARY KEY)")
+    def _of(self, key: str) -> sqlite3.Connection:
+        """What holds a key, the same in every process."""
+        i = zlib.crc32(key.encode()) % len(self.parts)
+        return self.parts[i] or self._part(i)
 
     def _now(self) -> int:
         return int(self.clock() * 1000)
 
     def get(self, key: str):
         """The value, or None; one whose time has come is deleted."""
-        row = self.db.execute("SELECT kind, value, expires_at FROM cache WHERE key = ?", (key,)).fetchone()
+        row = self._of(key).execute("SELECT kind, value, expires_at FROM cache WHERE key = ?", (key,)).fetchone()
         if row is None:
             return None
         if row[2] <= self._now():
-            self.db.execute("DELETE FROM cache WHERE key = ?", (key,))
+            self._of(key).execute("DELETE FROM cache WHERE key = ?", (key,))
             return None
         return bytes(row[1]) if row[0] == "bytes" else json.loads(row[1])
 
@@ -45,24 +71,27 @@ class Cache:
         kind = "bytes" if isinstance(value, bytes) else type(value).__name__
         now = self._now()
         stored = value if kind == "bytes" else json.dumps(value)
-        self.db.execute(
+        self._of(key).execute(
             "INSERT INTO cache VALUES (?, ?, ?, ?, ?) ON CONFLICT (key) DO UPDATE SET kind = excluded.kind, value = excluded.value, expires_at = excluded.expires_at, updated_at = excluded.updated_at",
             (key, kind, stored, now + ttl_of(ttl_ms), now),
         )
 
     def delete(self, key: str) -> bool:
-        return self.db.execute("DELETE FROM cache WHERE key = ?", (key,)).rowcount > 0
+        return self._of(key).execute("DELETE FROM cache WHERE key = ?", (key,)).rowcount > 0
 
     def reset(self) -> None:
-        self.db.execute("DROP TABLE cache")
-        self._make()
+        for i in range(len(self.parts)):
+            self._part(i).execute("DELETE FROM cache")
 
     def acquire(self, key: str) -> bool:
         """Takes a lock if it is free; never waits."""
-        return self.db.execute("INSERT OR IGNORE INTO locks VALUES (?)", (key,)).rowcount > 0
+        db = self._of(key)
+        if db.execute("SELECT 1 FROM locks WHERE key = ?", (key,)).fetchone():  # no need to write
+            return False
+        return db.execute("INSERT OR IGNORE INTO locks VALUES (?)", (key,)).rowcount > 0
 
     def release(self, key: str) -> None:
-        self.db.execute("DELETE FROM locks WHERE key = ?", (key,))
+        self._of(key).execute("DELETE FROM locks WHERE key = ?", (key,))
 
 
 class Services:

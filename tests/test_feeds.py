@@ -180,6 +180,23 @@ def test_alerts_of_a_batch_are_told_together():
     assert asked == [["a came again", "a came again", "b came again"]]
 
 
+def test_a_key_has_one_place_in_all_processes_of_a_host(tmp_path):
+    one, two = Cache(str(tmp_path / "c.db")), Cache(str(tmp_path / "c.db"))
+    for i in range(100):
+        one.set(f"k{i}", i)
+    assert [two.get(f"k{i}") for i in range(100)] == list(range(100)) and two.delete("k7") and one.get("k7") is None
+    assert one.acquire("l") and not two.acquire("l")
+    two.release("l")
+    assert two.acquire("l")
+    held = one.parts[0]
+    held.execute("BEGIN IMMEDIATE")  # a writer in one file doesn't hold up the others
+    free = [k for k in map(str, range(100)) if two._of(k) is not two.parts[0]]
+    two.set(free[0], 1)
+    held.execute("COMMIT")
+    two.reset()
+    assert one.get("k1") is None and len(free) > 50
+
+
 def test_keys_are_spread_over_the_cores_and_stay_in_order(spark):
     from fieldmill.queries import engine
 
