@@ -16,7 +16,7 @@ from fieldmill.plans import config as C
 from fieldmill.plans import graph as G
 from fieldmill.streaming.services import Cache
 from fieldmill.tools.cli import main, scaffold
-from fieldmill.tools.harness import compare, run_mapper
+from fieldmill.tools.harness import compare, differing, passes, placed, run_mapper
 from fieldmill.tools.synth import Synth, generate
 
 FLAT = [{"msg": "my log", "msg.level": "info", "seen": 5, "duration": 6.3, "tags": ["tag1"], "source": {"name": "myservice"}}, {"source": {"name": "myservice"}, "seen": "5", "duration": 6}, {"source": {"name": "other"}}]
@@ -246,6 +246,33 @@ def test_streaming_first_seen(spark, tmp_path):
     assert {r.message: r.triggered for r in spark.table("published").collect()} == dict(zip(lines, (False, False, True)))
 
 
+def test_lines_are_compared_where_they_are(spark):
+    rows = [{"a": i, "b": {"y": i / 2, "x": "{\"k\": 1}"}} for i in range(100)]
+    made = lambda values, parts: placed(spark.createDataFrame(spark.sparkContext.parallelize([(json.dumps(v),) for v in values], parts), "raw string"))
+    got = made(rows, 4)
+    assert [(r.n, json.loads(r.text)["a"]) for r in got.orderBy("n").collect()] == [(i, i) for i in range(100)]
+    want = [{"b": {"x": "{\"k\":1.0}", "y": r["b"]["y"]}, "a": float(r["a"])} for r in rows]
+    assert passes(got, made(want, 3))
+    assert [r.n for r in differing(got, made([*want[:7], {"a": 0}, *want[8:]], 3)).collect()] == [7]
+    assert [(r.n, r.expected) for r in differing(got, made(want[:-1], 1)).collect()] == [(99, None)]
+    assert [(r.n, r.actual) for r in differing(made(rows[:-1], 2), made(want, 3)).collect()] == [(99, None)]
+    assert not passes(got, made([want[1], want[0], *want[2:]], 3))
+    empty = placed(spark.createDataFrame([], "raw string"))
+    assert not passes(empty, empty)
+
+
+def test_golden_query_does_not_bring_the_table_to_the_driver(spark, monkeypatch):
+    from compare import DATA
+    from fieldmill.queries import engine
+
+    kind, most = type(spark.range(1)), []
+    collect, n = kind.collect, spark.read.parquet(f"{DATA}/events.parquet").count()
+    monkeypatch.setattr(kind, "collect", lambda self: most.append(collect(self)) or most[-1])
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self: iter(self.collect()))
+    assert dict(map(tuple, collect(engine.golden_test(spark, DATA)))) == {"same": True, "changed": False, "none": False}
+    assert max(map(len, most)) < 100 < n
+
+
 def test_harness_and_scaffold(tmp_path, capsys):
     assert compare(['{"b":1,"a":"{\\"x\\":2}"}'], '{"a":{"x":2.0},"b":1}') == "" and compare([], "{}") == "no output" and "-" in compare(['{"a":1}'], '{"a":2}')
     files = scaffold(str(tmp_path), "Mine")
