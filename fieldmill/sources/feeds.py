@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import re
+import sqlite3
 import threading
 import time
 import zipfile
@@ -122,53 +123,83 @@ def queue_feed(spool: Spool, queue: Queue, form: str = "ndjson", compression: st
 
 #: Versions published within so many minutes are new.
 RECENT_MINUTES = 500
+#: Characters of events after which a page of them is given out.
+PAGE = 4 << 20
+_EPOCH, _MICRO = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(microseconds=1)
 
 
 class Registry:
-    """Polls a package registry: each version published of late is told once while it is recent."""
+    """Polls a package registry: each version published of late is told once while it is recent.
+
+    One package's document is in memory at a time; what was told is in a temporary file.
+    """
 
     def __init__(self, url: str, packages: list[str] | None, orgs: list[str] | None, token: str | None = None, client: Callable[[dict], dict] = call, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
         if not packages and not orgs:
             raise ValueError("a registry needs packages or orgs")
         self.url, self.packages, self.orgs, self.client, self.now = url.rstrip("/"), packages, orgs, client, now
         self.headers = {"Authorization": f"Bearer {token}"} if token else {}
-        self.told: dict[tuple[str, str], datetime] = {}
+        self._held = sqlite3.connect("", isolation_level=None, check_same_thread=False)
+        self._held.execute("CREATE TABLE told (name TEXT, version TEXT, at INTEGER, PRIMARY KEY (name, version)) WITHOUT ROWID")
+
+    @property
+    def told(self) -> dict[tuple[str, str], datetime]:
+        return {(name, version): _EPOCH + at * _MICRO for name, version, at in self._held.execute("SELECT name, version, at FROM told")}
+
+    def _tell(self, new: list[tuple[str, str, int]]) -> None:
+        self._held.execute("BEGIN")
+        self._held.executemany("INSERT OR REPLACE INTO told VALUES (?, ?, ?)", new)
+        self._held.execute("COMMIT")
+        new.clear()
 
     def _get(self, path: str):
         got = self.client({"id": path, "method": "GET", "url": f"{self.url}/{path}", "headers": self.headers})
         if got["error"] or not 200 <= got["status"] < 300:
             raise OSError(f"{self.url}/{path}: status {got['status']} {got['error'] or ''}")
-        return json.loads(got["body"])
+        return json.loads(got.pop("body").decode())
 
     def _names(self) -> list[str]:
         return list(self.packages) if self.packages else sorted({name for org in self.orgs for name in self._get(f"-/user/{org}/package")})
 
     def poll(self) -> list[str]:
-        """The events of new versions; a package that cannot be read is logged and the others go on."""
-        since, out = self.now() - timedelta(minutes=RECENT_MINUTES), []
-        self.told = {k: at for k, at in self.told.items() if at >= since}
+        """The events of new versions, all at once."""
+        return [line for page in self.pages() for line in page]
+
+    def pages(self) -> Iterator[list[str]]:
+        """The events of new versions, some megabytes at a time; a package that cannot be read is logged and the others go on."""
+        since, out, size, new = self.now() - timedelta(minutes=RECENT_MINUTES), [], 0, []
+        self._held.execute("DELETE FROM told WHERE at < ?", ((since - _EPOCH) // _MICRO,))
         for name in self._names():
+            document = None  # the last one's, before the next is read
             try:
                 document = self._get(name)
             except (OSError, ValueError) as e:
                 _LOG.warning("%s", e)
                 continue
+            known = {version for (version,) in self._held.execute("SELECT version FROM told WHERE name = ?", (name,))}
             times = document.get("time") or {}
             for version, held in (document.get("versions") or {}).items():
                 try:
                     at = datetime.fromisoformat(times[version])
                 except (KeyError, TypeError, ValueError):
                     continue
-                if at.tzinfo is not None and at >= since and (name, version) not in self.told:
-                    self.told[name, version] = at
+                if at.tzinfo is not None and at >= since and version not in known:
+                    new.append((name, version, (at - _EPOCH) // _MICRO))
                     out.append(json.dumps({"kind": "npm_package_version", "npm": held}, ensure_ascii=False))
-        return out
+                    size += len(out[-1])
+                    if size >= PAGE:
+                        self._tell(new)
+                        yield out
+                        out, size = [], 0
+            self._tell(new)
+        if out:
+            yield out
 
 
 def registry_feed(spool: Spool, registry: Registry, seconds: float = 5.0) -> Feed:
     def turn() -> None:
-        if lines := registry.poll():
-            spool.seal(lines)
+        for page in registry.pages():
+            spool.seal(page)
 
     return Feed(spool, turn, max(seconds, 5.0))
 

@@ -106,6 +106,25 @@ def test_registry_tells_a_version_once_while_it_is_recent():
         feeds.Registry("http://r", None, None)
 
 
+def test_a_large_registry_comes_in_pages_and_is_told_once(monkeypatch):
+    now = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+    document = json.dumps({"versions": {str(i): {"v": i} for i in range(1000)}, "time": {str(i): "2024-01-01T11:00:00.000001Z" for i in range(1000)}}).encode()
+    registry = feeds.Registry("http://r", ["p", "q", "p"], None, now=lambda: now, client=lambda r: {"status": 200, "error": None, "body": document})
+    monkeypatch.setattr(feeds, "PAGE", 3000)
+    pages = list(registry.pages())
+    assert len(pages) > 10 and max(sum(map(len, p)) for p in pages) < 3100
+    assert sorted(json.loads(x)["npm"]["v"] for p in pages for x in p) == sorted([*range(1000)] * 2) and list(registry.pages()) == []
+    assert len(registry.told) == 2000 and registry.told["q", "7"] == datetime(2024, 1, 1, 11, 0, 0, 1, tzinfo=timezone.utc)
+
+
+def test_registry_query_does_not_bring_the_table_to_the_driver(spark, monkeypatch):
+    from fieldmill.queries import engine
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows at the driver"))
+    monkeypatch.setattr(feeds.Registry, "poll", lambda *a: pytest.fail("all events at once"))
+    assert engine.source_npm(spark, DATA).count() > 0
+
+
 def test_services():
     asked = []
     client = lambda r: asked.append(r["url"]) or {"id": r["id"], "status": 200, "headers": [("a", "b")], "body": b"x", "error": None}
